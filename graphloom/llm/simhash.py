@@ -19,13 +19,12 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import connected_components, release, written
@@ -49,15 +48,19 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed 64-bit integer."""
+def row_fingerprint(words: int = 3, seed: int = 42):
+    """Column function: text -> fingerprint as a signed 64-bit integer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+    @F.pandas_udf("long")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words, seed) for t in text], "<u8").view("<i8"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return run
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, **extra: Column) -> DataFrame:
+    """``(doc_id, fp)``, and ``extra`` columns by name."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_fingerprint(words, seed)(F.col(text_col)).alias("fp"), *(c.alias(n) for n, c in extra.items()))
 
 
 def _signed(masks: list[int]) -> list[int]:
@@ -97,10 +100,9 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.where("a <> b and bit_count(a ^ b) <= 3").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: ``doc_id, fp, component_id`` (smallest id reachable over links)."""
-    spark = docs.sparkSession
-    rows = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+def components(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, fp, ...)`` with ``component_id``, the smallest id reachable over links."""
+    spark = rows.sparkSession
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     near = written(candidates(fps.select("fp")), "candidates")
     release(spark)
@@ -109,5 +111,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(edges)
     labelled = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(labelled.join(least, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """One row per input row: ``doc_id, fp, component_id``."""
+    rows = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+    return components(rows).select("doc_id", "fp", "component_id")
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """The input with one row of each group of near-duplicates: the longest text, then the smallest
+    id (null last), then any one of equal rows; all columns kept."""
+    size = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    rows = written(fingerprints(docs, id_col, text_col, words, seed, size=size), "fingerprints")
+    order = F.struct(-F.col("size"), F.col("doc_id").isNull(), "doc_id", "fp")
+    best = components(rows).groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.fp").alias("__fp"))
+    best = written(best, "winners")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(best, same, "left_semi")
+    marked = docs.withColumn("__own", row_fingerprint(words, seed)(F.col(text_col)))
+    own = marked.join(best, same & (F.col("__own") == F.col("__fp")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, "__own").orderBy(F.desc(size)))
+    return own.withColumn("__first", first).where("__first = 1").select(*docs.columns)
