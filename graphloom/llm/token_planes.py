@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,42 +87,63 @@ def decode_segment(data: bytes) -> tuple[list[tuple[int | None, int]], np.ndarra
     return [(int(d["id"]) if d["has"] else None, int(d["n"])) for d in docs], out.reshape(-1).view("<u4")
 
 
-class WordCache:
+class WordCache(dict):
     """Encodes texts with the tokenizers library, each distinct word once.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    words in a row; sentence punctuation after an ASCII letter or digit is a token run of its own.
-    Texts with special-token strings go to the library whole.  At most ``room`` words are kept.
+    words in a row.  Lower-case Latin-1 words pass its normalizer and splitter unchanged and go to
+    its model at once, in the byte alphabet; punctuation that ends such a word is a token run of its
+    own; all other words, and texts with special-token strings, go through the whole library.  At
+    most ``room`` words are kept.
     """
 
-    MARK = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[ \t-\r]|$)")
+    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?$%&*#]*)")
 
     def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = "Split" in str(self.tokenizer.pre_tokenizer) and "Lowercase" in str(self.tokenizer.normalizer) and "\\s+" in str(self.tokenizer.normalizer)
-        self.known: dict[bytes, bytes] = {}
+        from tokenizers.models import BPE
+
+        super().__init__()
+        self.tokenizer = t = Tokenizer.from_file(path)
+        parts = str(t.pre_tokenizer), str(t.normalizer)
+        self.by_word = isinstance(t.model, BPE) and "Split" in parts[0] and "ByteLevel" in parts[0] and "Lowercase" in parts[1] and "\\s+" in parts[1]
+        self.model = t.model
+        self.alphabet = {b: c for b, c in enumerate(_byte_alphabet())}
         self.room = room
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():
+            ids = array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        elif (letters := word.rstrip(b".,;:!?")).isalpha():
+            return self[letters] + self[word[len(letters) :]]  # kept as its parts
+        elif m := self.PLAIN.fullmatch(word):
+            letters, end = m.groups()
+            if end:
+                return self[letters] + self[end]  # kept as its parts
+            ids = array("I", [t.id for t in self.model.tokenize(letters.decode("latin-1").translate(self.alphabet))]).tobytes()
+        else:
+            ids = self.whole(word.decode())
+        self[word] = ids
+        return ids
+
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.by_word or "<|" in text:
             return self.whole(text)
-        words = self.MARK.sub(rb" \1", text.encode().lower()).split()
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > self.room:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        if len(self) > self.room:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
+
+
+def _byte_alphabet() -> list[str]:
+    """The letter that stands for each byte in byte-level models."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in shown)
+    extra = {b: chr(256 + k) for k, b in enumerate(rest)}
+    return [extra.get(b, chr(b)) for b in range(256)]
 
 
 _caches: dict[str, WordCache] = {}
