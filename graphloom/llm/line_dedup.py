@@ -26,25 +26,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACE, release, written
+from graphloom.llm.common import SPACE, discard, release, written
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(at, words, h1, h2)`` of every line with words; ``at`` orders lines: (doc_id, line_no)."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    words = F.split(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), SPACE)
-    rows = lines.select(F.struct("doc_id", "line_no").alias("at"), words.alias("words")).where(F.element_at("words", 1) != "")
-    return rows.select("at", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"))
+    """``(at, line)`` of every line with words, these joined by one space; ``at`` orders lines: (doc_id, line_no)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    line = F.col("line")
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        odd = odd | line.contains(c)
+    normal = F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+    return rows.select(F.struct("doc_id", "line_no").alias("at"), normal.alias("line")).where("line <> ''")
 
 
-def half_keys(words: Column) -> Column:
+def half_keys(line: str, n: str) -> Column:
     """Keys of the halves at which a partner of as many, one more or one fewer words is equal."""
-    n = F.size(words)
     keys = []
-    for m in (n, n + 1):
-        half = F.floor(m / 2).cast("int")
-        rest = m - half
-        keys += [F.xxhash64(m, F.lit(0), F.slice(words, 1, half)), F.xxhash64(m, F.lit(1), F.slice(words, F.greatest(n - rest + 1, F.lit(1)), rest))]
+    for m in (n, f"({n} + 1)"):
+        keys += [F.expr(f"xxhash64({m}, 0, substring_index({line}, ' ', {m} div 2))"), F.expr(f"xxhash64({m}, 1, substring_index({line}, ' ', -({m} - {m} div 2)))")]
     return F.array(*keys)
 
 
@@ -78,17 +78,21 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_lines(lines: DataFrame, first: DataFrame, least_words: int) -> DataFrame:
     """``(at, keep)``: for first occurrences, the earliest line within one edit, if earlier."""
-    keyed = written(lines.where(F.size("words") >= least_words).select("h1", "h2", F.explode(half_keys(F.col("words"))).alias("half")).groupBy("half", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "halves")
-    shared = keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    able = keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct().join(first.select("h1", "h2", "at"), ["h1", "h2"])
-    able = written(able, "able")
-    some = written(lines.select("at", "words").join(able.select("at"), "at").dropDuplicates(["at"]), "some")
-    release(lines.sparkSession)
+    spark = lines.sparkSession
+    halves = first.where(F.col("n_words") >= least_words).select("at", "h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
+    able = written(halves.select("at", "half").join(shared, "half", "left_semi").select("at").distinct(), "able")
+    release(spark)
+    some = lines.join(able, "at").dropDuplicates(["at"])
+    some = written(some.select("at", F.split("line", " ").alias("words")), "some")
+    release(spark)
     keys = written(variants(some), "variants")
+    release(spark)
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("whole").isNull(), F.col("at"))).alias("same"), F.min(F.when(F.col("whole"), F.col("at"))).alias("whole_at"), F.min(F.when(~F.col("whole"), F.col("at"))).alias("short_at")).where("n > 1")
     other = F.when(F.col("whole").isNull(), F.col("same")).when(F.col("whole"), F.col("short_at")).otherwise(F.col("whole_at"))
-    pairs = keys.join(met.drop("n"), "key").select("at", other.alias("keep")).where("keep < at").distinct()
-    release(lines.sparkSession)
+    pairs = written(keys.join(met.drop("n"), "key").select("at", other.alias("keep")).where("keep < at").distinct(), "pairs")
+    discard(keys)
+    release(spark)
     words = some.select(F.col("at").alias("keep"), F.col("words").alias("other"))
     checked = pairs.join(some, "at").join(words, "keep").where(one_edit(F.col("words"), F.col("other")))
     return checked.groupBy("at").agg(F.min("keep").alias("keep"))
@@ -97,11 +101,17 @@ def near_lines(lines: DataFrame, first: DataFrame, least_words: int) -> DataFram
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, heavy_k: int = 512) -> DataFrame:
     """One row per dropped line: ``doc_id, line_no, keep_doc_id, keep_line_no, edits``."""
     lines = lines_of(docs, id_col, text_col)
-    slim = written(lines.select("at", "h1", "h2"), "lines")
-    first = written(slim.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "first")
+    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    sized = lines.withColumn("n_words", n)
+    hashed = sized.select("at", "n_words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), half_keys("line", "n_words").alias("halves"))
+    slim = written(hashed, "lines")
+    # equal lines have equal halves, so any row's will do
+    first = written(slim.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"), F.max("halves").alias("halves")), "first")
+    release(docs.sparkSession)
     near = near_lines(lines, first, least_words)
+    slim = slim.select("at", "h1", "h2")
     total = slim.count()
-    again = first.where("n > 1").withColumnRenamed("at", "keep")
+    again = first.where("n > 1").select("h1", "h2", "n", F.col("at").alias("keep"))
     heavy = F.col("n") * heavy_k >= total  # at most heavy_k lines
     part = slim.join(F.broadcast(again.where(heavy).select("h1", "h2", "keep")), ["h1", "h2"], "left")
     exact = part.where("keep is not null").select("at", "keep").union(part.where("keep is null").drop("keep").join(again.where(~heavy), ["h1", "h2"]).select("at", "keep")).where("at <> keep")

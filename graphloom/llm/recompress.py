@@ -10,10 +10,11 @@ within 7 words of their ends.
 
 Of a window of 35 words, the cuts at offsets 7 to 14 (at least one exists) are hence the same
 wherever its words occur; so are the symbols from such a cut on until 7 words are covered (at
-offset 28 at most).  The least of these high-level names is the window's key: windows that are
-equal share a key.  Only keys travel to be counted (far fewer than words), then only windows whose
-key occurs again are named in full (128 bits over 35 words), and counting those names verifies the
-repeats.  Documents with identical text are named once, with their number as weight.
+offset 28 at most).  The cut with the least of these high-level names is the window's anchor, and
+the name of the 28 words around it (7 before), which every window with this anchor holds, is its
+key: windows that are equal share a key.  Only keys travel to be counted (a fifth as many as words),
+then only windows whose key occurs again are named in full (128 bits over 35 words), and counting
+those names verifies the repeats.  Documents with identical text are named once, with their number as weight.
 
 Defined results: null and empty texts have no words; windows never cross documents; a document
 shorter than a window loses nothing; repeated rows count as separate documents; other columns are
@@ -31,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import release, written
+from graphloom.llm.common import discard, release, written
 
 U = np.uint64
 ROUNDS = 3
 EDGE = (1 << ROUNDS) - 1  # words at either end whose symbols may differ
 CUTS = 1 << ROUNDS  # cuts to choose from
 COVER = 7  # words that a key covers at least
-SHORTEST = 2 * EDGE + CUTS - 1 + COVER + EDGE - 1  # 34: windows of fewer words have no guarantee
+AROUND = 28  # words that all windows with one anchor hold, EDGE of them before it
+SHORTEST = EDGE + AROUND  # windows of fewer words have no guarantee
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 NONE = U(2**64 - 1)
 #: Words handled at a time (a longer document is handled alone).
@@ -96,8 +98,8 @@ def name_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), U, len(words))
 
 
-def window_keys(names: np.ndarray, doc: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key at each cut (``NONE`` elsewhere), and the key of each valid window, by word position."""
+def anchors(names: np.ndarray, doc: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The starts of valid windows, the anchor of each, and the key of each."""
     n = len(names)
     sym, at = names, np.arange(n)
     for r in range(ROUNDS):
@@ -110,13 +112,15 @@ def window_keys(names: np.ndarray, doc: np.ndarray, valid: np.ndarray) -> tuple[
         stay[k + 1] = False
         sym, at = named[stay], at[stay]
     ends = np.searchsorted(at, at + COVER)
-    key = _mix(_spans(sym, np.arange(len(sym)), ends, M1))
     at_cut = np.full(n, NONE, U)
-    at_cut[at] = np.minimum(key, NONE - U(1))
-    least = np.full(n, NONE, U)
-    cuts = _best(at_cut, CUTS, np.minimum, NONE)
-    least[: max(0, n - EDGE)] = cuts[EDGE:]
-    return at_cut, np.where(valid, least, NONE)
+    at_cut[at] = np.minimum(_mix(_spans(sym, np.arange(len(sym)), ends, M1)), NONE - U(1))
+    starts = np.flatnonzero(valid)
+    least = _best(at_cut, CUTS, np.minimum, NONE)[starts + EDGE]
+    anchor = np.zeros(len(starts), np.int64)
+    for k in reversed(range(CUTS)):  # of equal names the first
+        p = starts + EDGE + k
+        anchor = np.where(at_cut[p] == least, p, anchor)
+    return starts, anchor, _mix(_spans(names, anchor - EDGE, anchor - EDGE + AROUND, M1))
 
 
 def _valid(doc: np.ndarray, window: int) -> np.ndarray:
@@ -161,15 +165,11 @@ def keys_of(docs: DataFrame, window: int) -> DataFrame:
                 names, doc, _ = _named(words)
                 if len(names) < window:
                     continue
-                valid = _valid(doc, window)
-                at_cut, least = window_keys(names, doc, valid)
-                # a cut is chosen if it is the least of some valid window
-                most = _best(np.where(valid, least, U(0))[::-1], CUTS, np.maximum, U(0))[::-1]
-                chosen = np.zeros(len(names), bool)
-                chosen[EDGE:] = (most[: len(names) - EDGE] == at_cut[EDGE:]) & (at_cut[EDGE:] != NONE)
-                k, d = at_cut[chosen], doc[chosen]
-                if not len(k):
+                _, anchor, key = anchors(names, doc, _valid(doc, window))
+                if not len(key):
                     continue
+                _, own = np.unique(anchor, return_index=True)
+                k, d = key[own], doc[anchor[own]]
                 order = np.lexsort((k, d))
                 k, d = k[order], d[order]
                 new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
@@ -189,14 +189,12 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
                 names, doc, starts = _named(words)
                 if len(names) < window:
                     continue
-                valid = _valid(doc, window)
-                least = window_keys(names, doc, valid)[1]
-                hit = np.zeros(len(names), bool)
+                start, _, key = anchors(names, doc, _valid(doc, window))
+                hit = np.zeros(len(start), bool)
                 for k, a in enumerate(starts):
-                    b = a + len(words[k])
-                    shared = batch.column(3)[first + k].values.to_numpy().view(U)
-                    hit[a:b] = valid[a:b] & np.isin(least[a:b], shared)
-                s = np.flatnonzero(hit)
+                    i, j = np.searchsorted(start, (a, a + len(words[k])))
+                    hit[i:j] = np.isin(key[i:j], batch.column(3)[first + k].values.to_numpy().view(U))
+                s = start[hit]
                 rows = first + doc[s]
                 for k in range(0, len(s), 1 << 17):
                     p, r = s[k : k + (1 << 17)], rows[k : k + (1 << 17)]
@@ -220,8 +218,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every word in a window of ``window`` words whose sequence starts anywhere else too is removed.
     """
-    if window <= SHORTEST:
-        raise ValueError(f"windows need more than {SHORTEST} words")
+    if window < SHORTEST:
+        raise ValueError(f"windows need {SHORTEST} words or more")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -231,12 +229,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = keys.join(shared, "key").groupBy(*same).agg(F.collect_set("key").alias("keys"))
     classes = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first"))
     marked = written(marked.join(classes, same), "marked")
+    discard(keys)
     release(spark)
     first = rows.join(marked, same).where(F.col("doc_id").eqNullSafe(F.col("first")))
     named = written(windows_of(first, window), "windows")
+    discard(marked)
     release(spark)
     again = named.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
     starts = written(named.join(again, ["w1", "w2"]).groupBy(*same).agg(F.collect_set("s").alias("starts")), "repeats")
+    discard(named)
     release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

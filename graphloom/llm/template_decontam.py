@@ -28,39 +28,44 @@ NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters; tex
 UNITS = "km|cm|mm|m|mi|miles?|kilomet(?:er|re)s?|met(?:er|re)s?|feet|foot|ft|inch(?:es)?|yards?|kg|kilograms?|mg|g|grams?|lbs?|pounds?|ounces?|oz|tons?|l|lit(?:er|re)s?|ml|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kph|usd|eur|dollars?|euros?|cents?|percent|degrees?"
 
 
-def _bare(text: Column) -> Column:
-    """Lower case, without punctuation and marks at word ends; word by word the same as below."""
-    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+", "")
-    return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+def _unmarked(text: Column) -> Column:
+    """The text without placeholder characters of its own, which next to no text has."""
+    found = text.contains(NAME) | text.contains(NUMBER) | text.contains(UNIT)
+    return F.when(found, F.translate(text, NAME + NUMBER + UNIT, "")).otherwise(text)
+
+
+def _split(lower: Column) -> Column:
+    """Words of lower-case text, without punctuation."""
+    text = F.regexp_replace(lower, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+", "")
+    return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), SPACE)
 
 
 def plain_words(text: Column) -> Column:
     """The words that a text's templates stand for."""
-    return F.split(_bare(F.translate(text, NAME + NUMBER + UNIT, "")), SPACE)
+    return _split(F.lower(_unmarked(text)))
 
 
 def template_words(text: Column) -> Column:
     """Words with placeholders, one for each of :func:`plain_words`."""
-    text = F.translate(text, NAME + NUMBER + UNIT, "")
-    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;:%][\x20\x09-\x0D]{1,3}\p{Lu})\p{Ll}+", NAME)
-    text = F.regexp_replace(text, rf"{NAME}[\p{{L}}\p{{M}}\p{{N}}]+", NAME)
+    text = F.regexp_replace(_unmarked(text), r"\p{Lu}(?<=[\p{L}\p{N},;:%][\x20\x09-\x0D]{1,3}\p{Lu})\p{Ll}+[\p{L}\p{M}\p{N}]*", NAME)
     text = F.regexp_replace(F.lower(text), r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
-    text = F.regexp_replace(text, rf"({NUMBER}[\x20\x09-\x0D]*)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
-    return F.split(_bare(text), SPACE)
+    return _split(F.regexp_replace(text, rf"({NUMBER}[\x20\x09-\x0D]*)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
 
 
-def _windows(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("width"), F.xxhash64(F.slice(words, i + 1, n)).alias("h")))
+def _hashes(words: Column, n: int) -> Column:
+    """Hashes of the windows of ``n`` words, by position."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
 
 
 def item_windows(items: DataFrame, window: int, fixed: int) -> DataFrame:
     """``(item_id, n_windows, ipos, width, h, tmpl, plain)`` of all usable windows."""
     words = items.where("text is not null").select("item_id", template_words(F.col("text")).alias("tmpl"), plain_words(F.col("text")).alias("plain")).where("size(tmpl) >= 5")
-    per = F.when(F.size("tmpl") >= window, _windows(F.col("tmpl"), window))
+    width = F.least(F.size("tmpl"), F.lit(window))
+    per = F.when(width == window, _hashes(F.col("tmpl"), window))
     for n in range(5, window):
-        per = per.when(F.size("tmpl") == n, _windows(F.col("tmpl"), n))
-    rows = words.select("item_id", "tmpl", "plain", F.explode(per).alias("w")).select("item_id", F.col("w.pos").alias("ipos"), "w.width", "w.h", F.slice("tmpl", F.col("w.pos") + 1, F.col("w.width")).alias("tmpl"), F.slice("plain", F.col("w.pos") + 1, F.col("w.width")).alias("plain"))
+        per = per.when(width == n, _hashes(F.col("tmpl"), n))
+    rows = words.select("item_id", "tmpl", "plain", width.alias("width"), F.posexplode(per).alias("ipos", "h")).select("item_id", "ipos", "width", "h", F.slice("tmpl", F.col("ipos") + 1, F.col("width")).alias("tmpl"), F.slice("plain", F.col("ipos") + 1, F.col("width")).alias("plain"))
     is_slot = lambda w: w.rlike(f"[{NAME}{NUMBER}{UNIT}]")
     usable = rows.where(F.size(F.filter("tmpl", lambda w: ~is_slot(w))) >= F.least(F.lit(fixed), F.col("width")))
     return usable.join(usable.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows")), "item_id")
@@ -76,8 +81,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     small = grams.limit(broadcast_windows + 1).count() <= broadcast_windows
     widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # at most window - 4 values
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tmpl", template_words(F.col("text")))
-    each = [_windows(F.col("tmpl"), n) for n in widths or [window]]
-    points = rows.select("doc_id", "text", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("w")).select("doc_id", "text", F.col("w.pos").alias("pos"), F.col("w.width").alias("width"), F.col("w.h").alias("h"))
+    points = None
+    for n in widths or [window]:
+        part = rows.select("doc_id", "text", F.lit(n).alias("width"), F.posexplode(_hashes(F.col("tmpl"), n)).alias("pos", "h"))
+        points = part if points is None else points.union(part)
     hits = points.join(F.broadcast(grams) if small else grams, ["width", "h"])
     values = F.slice(plain_words(F.col("text")), F.col("pos") + 1, F.col("width"))
     slots = F.filter(F.arrays_zip(F.col("tmpl").alias("t"), F.col("plain").alias("i"), values.alias("d")), lambda x: x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import importance, langid, line_dedup, template_decontam, url_graph
 
@@ -142,7 +143,7 @@ def test_decontamination(docs, spark):
     assert kept.columns == docs([]).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 10]
     assert template_decontam.leaks(docs([]), items).count() == 0
     assert template_decontam.leaks(docs(texts), items.limit(0)).count() == 0
-    words = docs(["it's 3 km, 4.5kg Über Öl  !! x. New York a\tb"]).select(template_decontam.template_words("text").alias("t"), template_decontam.plain_words("text").alias("p")).first()
+    words = docs(["it's 3 km, 4.5kg Über Öl  !! x. New York a\tb"]).select(template_decontam.template_words(F.col("text")).alias("t"), template_decontam.plain_words(F.col("text")).alias("p")).first()
     assert len(words["t"]) == len(words["p"])
 
 
