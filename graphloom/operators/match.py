@@ -201,6 +201,8 @@ def cascade_exact(t: DataFrame, r: DataFrame, key: str = "pair") -> DataFrame:
     fields = ["id", "ord", "strings", "deps_out", "deps_in", "ast_fingerprint", "stmtCount", "wrapKind", "bytes"]
 
     def dicts(pdf: pd.DataFrame) -> list[dict]:
+        if pdf.empty:  # the other side alone has this pair
+            return []
         rows = pdf.sort_values("ord")[fields].to_dict("records")
         return [{k: (list(v) if v is not None else []) if k in ("strings", "deps_out", "deps_in") else v for k, v in x.items()} for x in rows]
 
@@ -208,4 +210,6 @@ def cascade_exact(t: DataFrame, r: DataFrame, key: str = "pair") -> DataFrame:
         return pd.DataFrame([(key_value[0], *x) for x in match_in_order(dicts(a), dicts(b))], columns=[key, "t_id", "r_id", "confidence", "technique"])
 
     kind = t.schema[key].dataType.simpleString()
-    return t.select(key, *fields).groupBy(key).cogroup(r.select(key, *fields).groupBy(key)).applyInPandas(run, f"{key} {kind}, t_id string, r_id string, confidence double, technique string")
+    # new names for the columns: two sides from one table would lose those they share
+    side = lambda df: df.select(*(F.col(c).alias(c) for c in (key, *fields))).groupBy(key)
+    return side(t).cogroup(side(r)).applyInPandas(run, f"{key} {kind}, t_id string, r_id string, confidence double, technique string")

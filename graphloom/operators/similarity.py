@@ -76,30 +76,49 @@ def seed_acceptances(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least:
     return assign(best, by).groupBy(*by).agg(F.count_if("held").alias("accepted"), F.count_if(F.col("rank") == 1).alias("kept"))
 
 
-def structure_scores(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least_features: int = 3) -> DataFrame:
-    """Pairs of the fourth technique: Jaccard of string prefixes plus boosts for equal structure.
-
-    Pairs with nothing in common still get up to 0.13 from boosts.  They are formed from equality of
-    statement count or kind, or nearness of size (by size classes), never by a full product.
+def structure_scores(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least_features: int = 3, floor: float = 0.10 / 1.3) -> DataFrame:
+    """``(*by, t_id, t_ord, r_id, r_ord, score)`` for the fourth technique: Jaccard of string prefixes plus
+    boosts for equal structure; all pairs that can be a target's best or its runner-up.
+
+    Pairs that share a prefix are formed from it.  Any other pair has its boosts alone, equal for all
+    modules of one shape (statement count, kind, size), so shapes meet shapes, each shape stands for
+    its first two references, and each target keeps two of them.  Boosts under ``floor`` neither pass
+    the gate nor block a score that does.
     """
     by = list(by)
-    features = lambda: F.array_distinct(F.transform(F.filter("strings", lambda s: F.length(s) >= 6), lambda s: F.substring(s, 1, 30)))
+    features = F.array_distinct(F.transform(F.filter("strings", lambda s: F.length(s) >= 6), lambda s: F.substring(s, 1, 30)))
+    shape = {p: [f"{p}_n", f"{p}_kind", f"{p}_bytes"] for p in "tr"}
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        rows = df.withColumn("features", features()).where(F.size("features") >= least_features)
-        return rows.select(*by, F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), "features", F.col("stmtCount").alias(f"{p}_n"), F.col("wrapKind").alias(f"{p}_kind"), F.col("bytes").alias(f"{p}_bytes"))
+        rows = df.withColumn("features", features).where(F.size("features") >= least_features)
+        return rows.select(*by, F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), "features", F.size("features").alias(f"{p}_size"), F.col("stmtCount").alias(f"{p}_n"), F.col("wrapKind").alias(f"{p}_kind"), F.col("bytes").alias(f"{p}_bytes"))
 
-    a, b = side(t, "t"), side(r, "r")
-    x = a.select(*by, "t_id", F.explode("features").alias("f")).join(b.select(*by, "r_id", F.explode("features").alias("f")), [*by, "f"])
-    shared = x.groupBy(*by, "t_id", "r_id").agg(F.count(F.lit(1)).alias("shared"))
-    a = a.withColumn("t_size", F.size("features")).drop("features")
-    b = b.withColumn("r_size", F.size("features")).drop("features")
     # sizes within 30 % of the larger lie in the same or neighbouring classes of base 1.43
     level = lambda c: F.floor(F.log(F.greatest(c, F.lit(1))) / F.log(F.lit(1.43)))
-    near = a.select(*by, "t_id", F.explode(F.array(*(level(F.col("t_bytes")) + k for k in (-1, 0, 1)))).alias("c")).join(b.select(*by, "r_id", level(F.col("r_bytes")).alias("c")), [*by, "c"]).select(*by, "t_id", "r_id")
-    counts = a.select(*by, "t_id", F.col("t_n").alias("n")).join(b.select(*by, "r_id", F.col("r_n").alias("n")), [*by, "n"]).select(*by, "t_id", "r_id")
-    pairs = near.union(counts).union(shared.select(*by, "t_id", "r_id")).distinct()
-    full = pairs.join(shared, [*by, "t_id", "r_id"], "left").join(a, [*by, "t_id"]).join(b, [*by, "r_id"]).withColumn("shared", F.coalesce("shared", F.lit(0)))
     close = (F.col("t_bytes") > 0) & (F.col("r_bytes") > 0) & (F.abs(F.col("t_bytes") - F.col("r_bytes")) / F.greatest("t_bytes", "r_bytes") < 0.3)
     boost = F.when(F.col("t_n") == F.col("r_n"), 0.05).otherwise(0.0) + F.when(F.col("t_kind") == F.col("r_kind"), 0.03).otherwise(0.0) + F.when(close, 0.05).otherwise(0.0)
-    return full.withColumn("score", F.col("shared") / (F.col("t_size") + F.col("r_size") - F.col("shared")) + boost)
+    a, b = side(t, "t"), side(r, "r")
+    out = [*by, "t_id", "t_ord", "r_id", "r_ord", "score"]
+
+    x = a.select(*by, "t_id", F.explode("features").alias("f")).join(b.select(*by, "r_id", F.explode("features").alias("f")), [*by, "f"])
+    shared = x.groupBy(*by, "t_id", "r_id").agg(F.count(F.lit(1)).alias("shared"))
+    alike = shared.join(a.drop("features"), [*by, "t_id"]).join(b.drop("features"), [*by, "r_id"])
+    alike = alike.withColumn("score", F.col("shared") / (F.col("t_size") + F.col("r_size") - F.col("shared")) + boost).select(*out)
+
+    ts, rs = a.select(*by, *shape["t"]).distinct(), b.select(*by, *shape["r"]).distinct()
+    ts = ts.withColumn("c", F.explode(F.array(*(level(F.col("t_bytes")) + k for k in (-1, 0, 1)))))
+    rs = rs.withColumn("c", level(F.col("r_bytes")))
+
+    def met(*keys: str) -> DataFrame:
+        sides = [(df if "c" in keys else df.drop("c").distinct()).select("*", *(F.col(f"{p}_{k}").alias(k) for k in keys if k != "c")) for df, p in ((ts, "t"), (rs, "r"))]
+        return sides[0].join(sides[1].drop("c") if "c" not in keys else sides[1], [*by, *keys]).select(*by, *shape["t"], *shape["r"])
+
+    pairs = met("c", "n").union(met("c", "kind")).union(met("n", "kind")).distinct().withColumn("score", boost).where(F.col("score") >= floor)
+    first = Window.partitionBy(*by, *shape["r"]).orderBy("r_ord")
+    two = b.select(*by, "r_id", "r_ord", *shape["r"]).withColumn("k", F.row_number().over(first)).where("k <= 2").drop("k")
+    key = lambda cols: F.struct(*cols)  # noqa: E731  shapes that hold a null still equal themselves
+    stand = pairs.withColumn("rs", key(shape["r"])).select(*by, *shape["t"], "rs", "score").join(two.withColumn("rs", key(shape["r"])).select(*by, "rs", "r_id", "r_ord"), [*by, "rs"]).drop("rs")
+    best = Window.partitionBy(*by, *shape["t"]).orderBy(F.desc("score"), "r_ord")
+    stand = stand.withColumn("k", F.row_number().over(best)).where("k <= 2").withColumn("ts", key(shape["t"])).select(*by, "ts", "r_id", "r_ord", "score")
+    plain = a.withColumn("ts", key(shape["t"])).select(*by, "ts", "t_id", "t_ord").join(stand, [*by, "ts"]).select(*out)
+    return alike.union(plain).groupBy(*out[:-1]).agg(F.max("score").alias("score"))

@@ -25,7 +25,7 @@ VERSIONS = DOCS + r""",
 base AS (SELECT *, ['mod:' || (ord + 1), 'mod:' || (ord * 2)] AS deps_out FROM m),
 a AS (SELECT * FROM base WHERE ord % 5 <> 0),
 b AS (SELECT id, ord, CASE WHEN ord % 4 = 1 THEN 'new_' || "wrapKind" ELSE semantic_name END AS semantic_name, CASE WHEN ord % 4 = 1 THEN 0.5::DOUBLE ELSE semantic_confidence END AS semantic_confidence, source_file,
-  CASE WHEN ord % 6 = 1 THEN bytes * 2 ELSE bytes END AS bytes, CASE WHEN ord % 8 = 1 THEN list_reverse(deps_out) ELSE deps_out END AS deps_out, list_append(strings, "wrapKind") AS strings FROM base WHERE ord % 7 <> 0)"""
+  CASE WHEN ord % 6 = 1 THEN bytes * 2 ELSE bytes END AS bytes, CASE WHEN ord % 8 = 1 THEN list_reverse(deps_out) ELSE deps_out END AS deps_out, list_append(strings, "wrapKind") AS strings FROM base WHERE ord % 7 <> 0 OR ord % 5 = 0)"""
 
 DIFF = VERSIONS + r""",
 d AS (SELECT id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'shared' END AS status,
@@ -39,7 +39,7 @@ noise AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT source) >= 2),
 fresh AS (SELECT * FROM k WHERE key NOT IN (SELECT key FROM noise))"""
 
 EDGES = r"""
-e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 48),
+e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
 deg AS (SELECT id, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i) AS BIGINT) AS fan_in FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id)"""
 
 CUSTOMERS = r"""
@@ -59,8 +59,8 @@ ev AS (SELECT event_id % 64 AS k, event_id, event_type, event_id * 7919 % 40000
 hit AS (SELECT event_id, range_id, event_type FROM ev JOIN rg USING (k) WHERE o >= upto - n_chars AND o < upto)"""
 
 COUNTS = r"""
-t AS (SELECT source AS name, count(*) AS total, count(*) FILTER (lang = 'de') AS runtime, count(*) FILTER (lang = 'es') AS imports FROM documents WHERE doc_id % 9 <> 0 GROUP BY 1),
-mp AS (SELECT source AS name, count(*) - 4 AS n_sources FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1),
+t AS (SELECT source AS name, count(*) AS total, count(*) FILTER (lang = 'de') AS runtime, count(*) FILTER (lang = 'es') AS imports FROM documents GROUP BY 1),
+mp AS (SELECT source AS name, count(*) - count(*) % 4 AS n_sources FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1 HAVING count(*) % 5 <> 0),
 st AS (SELECT name, total - runtime - imports AS countable, n_sources, total - runtime - imports - n_sources AS diff,
   CASE WHEN total IS NULL THEN 'NO_TRACE' WHEN n_sources IS NULL THEN 'NO_MAP' WHEN total % 2 = 0 AND abs(total - runtime - imports - n_sources) > 1 THEN 'KNOWN_LIMITATION'
     WHEN abs(total - runtime - imports - n_sources) = 0 THEN 'EXACT' WHEN abs(total - runtime - imports - n_sources) = 1 THEN 'OFF_BY_ONE' ELSE 'MISMATCH' END AS status FROM mp FULL JOIN t USING (name))"""
@@ -107,14 +107,14 @@ ORACLES = {
     "string_samples": f"WITH {DOCS} SELECT id, coalesce(array_to_string(list_filter(strings, lambda s: length(s) > 4 AND s NOT IN ('__esModule', 'default', 'function', 'object', 'string', 'number', 'undefined', 'null', 'true', 'false'))[1:6], '|'), '') AS sample FROM m",
     "edge_degrees": f"WITH {EDGES} SELECT * FROM deg",
     "edge_hubs": f"WITH {EDGES} SELECT id, fan_in, row_number() OVER (ORDER BY fan_in DESC, id) AS rank FROM deg QUALIFY rank <= 10",
-    "bounded_closure": f"""WITH {CUSTOMERS}, d0 AS (SELECT DISTINCT src AS start, src AS id, 0 AS depth FROM e WHERE src % 10 = 1), d1 AS (SELECT start, dst AS id, 1 AS depth FROM d0 JOIN e ON e.src = d0.id), d2 AS (SELECT start, dst AS id, 2 AS depth FROM d1 JOIN e ON e.src = d1.id), d3 AS (SELECT start, dst AS id, 3 AS depth FROM d2 JOIN e ON e.src = d2.id)
+    "bounded_closure": f"""WITH {CUSTOMERS}, d0 AS (SELECT DISTINCT src AS start, src AS id, 0 AS depth FROM e), d1 AS (SELECT start, dst AS id, 1 AS depth FROM d0 JOIN e ON e.src = d0.id), d2 AS (SELECT start, dst AS id, 2 AS depth FROM d1 JOIN e ON e.src = d1.id), d3 AS (SELECT start, dst AS id, 3 AS depth FROM d2 JOIN e ON e.src = d2.id)
         SELECT start, id, min(depth) AS depth FROM (FROM d0 UNION ALL FROM d1 UNION ALL FROM d2 UNION ALL FROM d3) GROUP BY ALL""",
     "propagate_two_rounds": _round_two(),
     "merge_graphs": f"""WITH {VERSIONS} SELECT id, CASE WHEN a.id IS NULL OR win THEN b_name ELSE a.semantic_name END AS semantic_name, CASE WHEN a.id IS NULL OR win THEN b_conf ELSE a.semantic_confidence END AS semantic_confidence,
         CASE WHEN a.id IS NULL THEN b_file ELSE coalesce(a.source_file, b_file) END AS source_file, CASE WHEN a.id IS NULL THEN b_bytes ELSE a.bytes END AS bytes,
         CASE WHEN a.id IS NULL THEN len(b_strings) WHEN b_strings IS NULL THEN len(a.strings) ELSE least(50, len(list_distinct(list_concat(a.strings, b_strings)))) END AS n_strings, coalesce(win AND a.semantic_name <> '' AND a.semantic_name <> b_name, false) AS conflict
         FROM (SELECT id, x.semantic_name AS b_name, x.semantic_confidence AS b_conf, x.source_file AS b_file, x.bytes AS b_bytes, x.strings AS b_strings, y.id IS NOT NULL AND coalesce(x.semantic_confidence, 0) > coalesce(y.semantic_confidence, 0) AND x.semantic_name IS NOT NULL AS win FROM b x LEFT JOIN a y USING (id)) FULL JOIN a USING (id)""",
-    "merge_identifiers": """WITH x AS (SELECT doc_id AS id, lang AS semantic, (doc_id % 7) / 7.0::DOUBLE AS confidence FROM documents), y AS (SELECT doc_id + 5 AS id, source AS semantic, (doc_id % 5) / 5.0::DOUBLE AS confidence FROM documents WHERE doc_id % 3 <> 0)
+    "merge_identifiers": """WITH x AS (SELECT doc_id AS id, lang AS semantic, (doc_id % 7) / 7.0::DOUBLE AS confidence FROM documents), y AS (SELECT doc_id + 5 AS id, source AS semantic, (doc_id % 5) / 5.0::DOUBLE AS confidence FROM documents)
         SELECT id, CASE WHEN x.id IS NULL OR (y.id IS NOT NULL AND y.confidence > x.confidence) THEN y.semantic ELSE x.semantic END AS semantic, CASE WHEN x.id IS NULL OR (y.id IS NOT NULL AND y.confidence > x.confidence) THEN y.confidence ELSE x.confidence END AS confidence FROM x FULL JOIN y USING (id)""",
     "diff_graphs": f"WITH {DIFF} SELECT * FROM d",
     "diff_counts": f"WITH {DIFF} SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'shared') AS shared, count(*) FILTER (name_changed) AS name_changed, count(*) FILTER (deps_changed) AS deps_changed, count(*) FILTER (bytes_changed) AS bytes_changed FROM d",
@@ -168,7 +168,7 @@ ORACLES = {
     "module_counts": f"WITH {COUNTS} SELECT * FROM st",
     "count_status": f"WITH {COUNTS} SELECT status, count(*) AS n FROM st GROUP BY 1",
     "identifier_coverage": "WITH d AS (SELECT source, doc_id % 3 AS k FROM documents) SELECT source, count(*) FILTER (k = 0) AS identifiers_semantic, count(*) FILTER (k = 1) AS identifiers_placeholder, count(*) FILTER (k = 2) AS identifiers_raw, round(count(*) FILTER (k = 0) / count(*), 6) AS coverage_semantic, round((count(*) FILTER (k = 0) + count(*) FILTER (k = 1)) / count(*), 6) AS coverage_touched FROM d GROUP BY 1",
-    "positional_zip": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:40]) AS x, generate_subscripts(string_split(text, ' ')[1:40], 1) AS k FROM documents) SELECT a.doc_id, count(*) FILTER (a.x = b.x) AS identity, count(*) FILTER (a.x <> b.x AND length(b.x) >= 2) AS renamed, count(*) FILTER (a.x <> b.x AND length(b.x) < 2) AS short FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND b.k = a.k GROUP BY 1",
+    "positional_zip": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents) SELECT a.doc_id, count(*) FILTER (a.x = b.x) AS identity, count(*) FILTER (a.x <> b.x AND length(b.x) >= 2) AS renamed, count(*) FILTER (a.x <> b.x AND length(b.x) < 2) AS short FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND b.k = a.k GROUP BY 1",
     "script_statements": f"""WITH {SCRIPT} SELECT bundle_id, unnest([0, 1])::BIGINT AS ord, unnest(['VAR_DECL', 'EXPRESSION']) AS category, 'None' AS wrap_kind, unnest(['t', '-']) AS name, unnest([13, length(code) - 13])::BIGINT AS bytes FROM sc WHERE regexp_matches(code, '^var t="</p>";track\\([0-9]+\\);$')""",
     "script_bundlers": f"WITH {SCRIPT} SELECT bundle_id, 'unknown' AS bundler, 'low' AS confidence FROM sc",
     "script_bytes": f"WITH {SCRIPT} SELECT bundle_id, length(code) AS statement_bytes, 0::BIGINT AS gap_bytes, length(code) AS total, true AS balanced FROM sc",

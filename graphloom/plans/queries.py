@@ -67,7 +67,7 @@ def largest_modules(spark, sf):
 @query
 def largest_per_source(spark, sf):
     """S3."""
-    return ops.pick_per_group(a.module_docs(spark, sf).select("source", "id", "ord", "bytes"), ["source"], [F.desc("bytes"), F.col("ord")], 5)
+    return ops.pick_per_group(a.module_docs(spark, sf).select("source", "id", "ord", "bytes"), ["source"], [F.desc("bytes"), F.col("ord")], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
@@ -91,14 +91,14 @@ def edge_degrees(spark, sf):
 @query
 def edge_hubs(spark, sf):
     """S2, S4."""
-    return graph.hubs(a.part_edges(spark, sf)).select("id", "fan_in", "rank")
+    return graph.hubs(a.part_edges(spark, sf)).select("id", "fan_in", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def bounded_closure(spark, sf):
-    """What the first customers reach in three steps."""
+    """What each customer reaches in three steps."""
     edges = a.customer_edges(spark, sf)
-    return graph.closure(edges, edges.where("src % 10 = 1").select("bkg_id", F.col("src").alias("start")).distinct(), max_depth=3).select("start", "id", "depth")
+    return graph.closure(edges, edges.select("bkg_id", F.col("src").alias("start")).distinct(), max_depth=3).select("start", "id", "depth")
 
 
 @query
@@ -129,7 +129,7 @@ def merge_graphs(spark, sf):
 def merge_identifiers(spark, sf):
     """G9."""
     x = a.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("semantic"), ((F.col("doc_id") % 7) / 7.0).alias("confidence"))
-    y = a.table(spark, sf, "documents").where("doc_id % 3 <> 0").select((F.col("doc_id") + 5).alias("id"), F.col("source").alias("semantic"), ((F.col("doc_id") % 5) / 5.0).alias("confidence"))
+    y = a.table(spark, sf, "documents").select((F.col("doc_id") + 5).alias("id"), F.col("source").alias("semantic"), ((F.col("doc_id") % 5) / 5.0).alias("confidence"))
     return ops.merge_identifiers(x, y)
 
 
@@ -148,7 +148,7 @@ def diff_counts(spark, sf):
 @query
 def evolve_new(spark, sf):
     """A10, G8."""
-    return ops.evolve(a.module_docs(spark, sf).drop("text"), "source", 2).select("source", "id", "bytes", "rank")
+    return ops.evolve(a.module_docs(spark, sf).drop("text"), "source", 2).select("source", "id", "bytes", F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -424,8 +424,8 @@ def ground_truth(spark, sf):
 def module_counts(spark, sf):
     """J16, Q1."""
     d = a.table(spark, sf, "documents")
-    traced = d.where("doc_id % 9 <> 0").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("lang") == "de").alias("runtime"), F.count_if(F.col("lang") == "es").alias("imports"))
-    maps = d.where("lang in ('en', 'fr')").groupBy(F.col("source").alias("name")).agg((F.count(F.lit(1)) - 4).alias("n_sources"))
+    traced = d.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("lang") == "de").alias("runtime"), F.count_if(F.col("lang") == "es").alias("imports"))
+    maps = d.where("lang in ('en', 'fr')").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n % 5 <> 0").select("name", (F.col("n") - F.col("n") % 4).alias("n_sources"))
     return chain.module_count_check(traced, maps, traced.where("total % 2 = 0").select("name", F.lit("known").alias("known_limitation")))
 
 
@@ -445,7 +445,7 @@ def identifier_coverage(spark, sf):
 @query
 def positional_zip(spark, sf):
     """Words of neighbouring documents by place."""
-    w = a.table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 40)).alias("pos", "word"))
+    w = a.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     z = w.select("doc_id", "pos", F.col("word").alias("minified")).join(w.select((F.col("doc_id") - 1).alias("doc_id"), "pos", F.col("word").alias("semantic")), ["doc_id", "pos"])
     return align.name_quality(z, ["doc_id"])
 
