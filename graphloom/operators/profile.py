@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.parse.facts import parse_statements
+from graphloom.parse.layout import beautify_of
 
 LABELS = {"FunctionDeclaration": "FUNCTION_DECL", "ClassDeclaration": "CLASS_DECL", "ExpressionStatement": "EXPRESSION", "ExportNamedDeclaration": "EXPORT_NAMED", "ExportDefaultDeclaration": "EXPORT_DEFAULT", "ExportAllDeclaration": "EXPORT_ALL", "ImportDeclaration": "IMPORT", "IfStatement": "IF_STMT", "ForStatement": "FOR_STMT", "ForInStatement": "FOR_STMT", "ForOfStatement": "FOR_STMT", "WhileStatement": "WHILE_STMT", "DoWhileStatement": "WHILE_STMT", "TryStatement": "TRY_STMT", "SwitchStatement": "SWITCH_STMT", "BlockStatement": "BLOCK_STMT", "EmptyStatement": "EMPTY"}
 FACTORY = {"__commonJS": "MODULE_FACTORY.__commonJS", "__esm": "MODULE_FACTORY.__esm", "__toESM": "ADAPTED_IMPORT.__toESM", "__copyProps": "REEXPORT.__copyProps"}
@@ -20,6 +21,12 @@ def _map(pairs: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), key)
 
 
+def beautified(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
+    """``(bundle_id, text, ratio)``: sources laid out, and how much longer they got; only white space changes."""
+    out = bundles.select(key, "code", beautify_of()("code").alias("text"))
+    return out.select(key, "text", F.round(F.try_divide(F.length("text"), F.length("code")), 2).alias("ratio"))
+
+
 def statements_of(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
     """One row per top-level statement of ``bundles(bundle_id, code)``; none for text that does not parse."""
     return bundles.select(key, F.explode(parse_statements()("code")).alias("s")).select(key, "s.*")

@@ -173,6 +173,8 @@ ORACLES = {
     "script_bundlers": f"WITH {SCRIPT} SELECT bundle_id, 'unknown' AS bundler, 'low' AS confidence FROM sc",
     "script_bytes": f"WITH {SCRIPT} SELECT bundle_id, length(code) AS statement_bytes, 0::BIGINT AS gap_bytes, length(code) AS total, true AS balanced FROM sc",
     "script_graph": f"""WITH {SCRIPT} SELECT bundle_id AS bkg_id, 'mod:t' AS id, 'RUNTIME' AS "wrapKind", 2::BIGINT AS "stmtCount", '</p>' AS strings, '' AS ast_fingerprint FROM sc""",
+    "beautified_scripts": f"""WITH {SCRIPT} SELECT bundle_id, regexp_replace(code, ';', ';' || chr(10), 'g') AS text, round((length(code) + 2) / length(code), 2) AS ratio FROM sc""",
+    "split_modules": f"WITH {SCRIPT} SELECT bundle_id, 'mod_0000_RUNTIME.js' AS filename, 2::BIGINT AS stmt_count, md5(code) AS text_md5, true AS parseable FROM sc",
     "script_renames": f"WITH {SCRIPT} SELECT bundle_id::VARCHAR AS module, md5('var counter = 1; ' || code || ' counter++;') AS renamed_md5, 2::BIGINT AS replaced FROM sc",
     "unwrapped": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '// c' || chr(10) || text ELSE '(function (exports) {' || text || '})' END) AS body_md5 FROM documents",
     "inferred_names": "SELECT '' AS module, 0::BIGINT AS ord, '' AS minified, '' AS semantic WHERE false",

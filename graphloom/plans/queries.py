@@ -505,6 +505,21 @@ def script_graph(spark, sf):
     return g.select("bkg_id", "id", "wrapKind", F.col("stmtCount").cast("long").alias("stmtCount"), F.array_join("strings", "|").alias("strings"), "ast_fingerprint")
 
 
+@query
+def beautified_scripts(spark, sf):
+    """P1."""
+    return profile.beautified(a.page_scripts(spark, sf))
+
+
+@query
+def split_modules(spark, sf):
+    """Scripts cut into modules."""
+    b = a.page_scripts(spark, sf)
+    stmts = profile.statements_of(b)
+    split = features.split_modules(b, boundary.module_rollup(stmts, boundary.assign_modules(stmts)))
+    return split.select("bundle_id", "filename", F.col("stmt_count").cast("long").alias("stmt_count"), F.md5("text").alias("text_md5"), "parseable")
+
+
 @query
 def script_renames(spark, sf):
     """R1, R2, R3, R4."""
