@@ -30,8 +30,8 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     predict = langid.predictor(docs, langid.fit(docs))
-    found = docs.withColumn("__lang", predict(F.col("text")))
-    return found.where((F.col("__lang.lang") != "und") & (F.col("__lang.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = docs.select(F.struct(*docs.columns).alias("row"), predict(F.col("text")).alias("found"))
+    return found.where((F.col("found.lang") != "und") & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, F.array("source"), mixing.by_turns)
+    mixed = mixing.planned(docs, F.array("source"), mixing.by_turns)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ The cut is found by two pre-aggregated histograms of the hash, never by sorting
 
 Defined results: null text has size 0; null sources form a source of their own, last; empty
 documents take 0 words; repeated rows are separate documents but are taken alike; an empty table
-gives an empty result.  More than ``max_patterns`` patterns are refused with ``ValueError``.
+gives an empty result; columns of any name may be there.  More than ``max_patterns`` patterns are refused with ``ValueError``.
 """
 
 from __future__ import annotations
@@ -109,17 +109,18 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict
     return out
 
 
-def mix(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", text_col: str = "text", share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 2_000) -> DataFrame:
-    """Adds ``size, pattern, taken`` and, for the pattern's first source, ``source_size, target``.
+def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", text_col: str = "text", share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 2_000) -> DataFrame:
+    """``(row, size, pattern, taken, source_size, target)``: the input row as a struct, what the mix takes
+    of it and, for the pattern's first source, that source's figures.
 
     ``members``: array of the sources that a document may serve.  ``weigh``: function from the
     sorted source names to their weights.
     """
     spark = docs.sparkSession
     hash_ = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = (
-        docs.withColumn("pattern", F.array_sort(F.array_distinct(members))).withColumn("size", n_words(F.col(text_col)))
-        .withColumn("__b1", F.shiftrightunsigned(hash_, 54).cast("int")).withColumn("__b2", (F.shiftrightunsigned(hash_, 44) % FINE).cast("int"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.array_sort(F.array_distinct(members)).alias("pattern"), n_words(F.col(text_col)).alias("size"),
+        F.shiftrightunsigned(hash_, 54).cast("int").alias("__b1"), (F.shiftrightunsigned(hash_, 44) % FINE).cast("int").alias("__b2"),
     )
     slim = rows.select("pattern", "size", "__b1", "__b2")
     seen = slim.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
@@ -181,6 +182,13 @@ def mix(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", text_co
     return joined.withColumn("taken", F.col("size") * (F.col("__whole") + more.cast("long"))).drop("__p", "__b1", "__b2", "__whole", "__c1", "__c2")
 
 
+def mix(docs: DataFrame, members: Column, weigh, **options) -> DataFrame:
+    """The input with ``size, pattern, taken, source_size, target``, which replace columns of these names."""
+    own = ["size", "pattern", "taken", "source_size", "target"]
+    out = planned(docs, members, weigh, **options)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *own)
+
+
 def by_turns(names: list) -> list[float]:
     """Weights 3, 1, 2, repeating, in the order of the names."""
     return [(3.0, 1.0, 2.0)[k % 3] for k in range(len(names))]

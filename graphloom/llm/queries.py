@@ -28,7 +28,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.mix(docs, F.array("source"), mixing.by_turns)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 

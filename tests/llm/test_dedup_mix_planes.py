@@ -74,6 +74,10 @@ def test_mix_comes_near_targets(docs, spark):
         assert abs(taken[s] - t) <= 40
     assert sorted((r["doc_id"], r["taken"]) for r in run()) == sorted((r["doc_id"], r["taken"]) for r in got)
     assert mixing.mix(docs([]), F.array("source"), mixing.by_turns).count() == 0
+    clash = docs(texts, sources=sources).withColumns({"size": F.lit("x"), "target": F.lit("y"), "pattern": F.lit(1)})
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix(clash, F.array("source"), mixing.by_turns).collect()) == sorted((r["doc_id"], r["taken"]) for r in got)
+    row = mixing.planned(clash, F.array("source"), mixing.by_turns).select("row.*").first()
+    assert (row["size"], row["target"], row["pattern"]) == ("x", "y", 1)
 
 
 def brute_simhash(text):
