@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import utf16_length
 from graphloom.operators import boundary, profile
 from graphloom.parse.facts import features_of, parseable
 
@@ -32,7 +33,7 @@ def graph_modules(split: DataFrame, edges: DataFrame, key: str = "bundle_id") ->
     null = lambda t: F.lit(None).cast(t)
     return rows.select(
         F.col(key).alias("bkg_id"), F.col("module_id").alias("ord"), "id", "minified_name", null("string").alias("semantic_name"), null("double").alias("semantic_confidence"), null("string").alias("semantic_source"), null("string").alias("source_file"), "wrapKind",
-        F.struct(F.col("line_start").alias("startLine"), F.col("line_end").alias("endLine"), F.col("char_start").alias("charStart"), F.col("char_end").alias("charEnd")).alias("range"), F.length("text").alias("bytes"), F.col("stmt_count").cast("int").alias("stmtCount"),
+        F.struct(F.col("line_start").alias("startLine"), F.col("line_end").alias("endLine"), F.col("char_start").alias("charStart"), F.col("char_end").alias("charEnd")).alias("range"), utf16_length("text").alias("bytes"), F.col("stmt_count").cast("int").alias("stmtCount"),
         F.slice("f.strings", 1, CAP).alias("strings"), F.col("f.fingerprint").alias("ast_fingerprint"), F.when(F.col("first_name").isNotNull(), F.array("first_name")).otherwise(none).alias("exports"), F.coalesce("deps_out", none).alias("deps_out"), F.coalesce("deps_in", none).alias("deps_in"),
     )
 
@@ -49,6 +50,6 @@ def bundle_graph(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
 
 def split_stats(split: DataFrame, bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
     """Per bundle and kind: modules, bytes; and the share of the source that they cover."""
-    size = bundles.select(key, F.length("code").alias("size"))
-    sums = split.groupBy(key, "wrapKind").agg(F.count(F.lit(1)).alias("modules"), F.sum(F.length("text")).alias("bytes"), F.count_if("parseable").alias("parseable"))
+    size = bundles.select(key, utf16_length("code").alias("size"))
+    sums = split.groupBy(key, "wrapKind").agg(F.count(F.lit(1)).alias("modules"), F.sum(utf16_length("text")).alias("bytes"), F.count_if("parseable").alias("parseable"))
     return sums.join(size, key).withColumn("coverage", F.format_string("%.1f", F.col("bytes") * 100.0 / F.col("size"))).drop("size")

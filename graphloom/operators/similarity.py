@@ -109,11 +109,14 @@ def structure_scores(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least_f
     ts = ts.withColumn("c", F.explode(F.array(*(level(F.col("t_bytes")) + k for k in (-1, 0, 1)))))
     rs = rs.withColumn("c", level(F.col("r_bytes")))
 
-    def met(*keys: str) -> DataFrame:
-        sides = [(df if "c" in keys else df.drop("c").distinct()).select("*", *(F.col(f"{p}_{k}").alias(k) for k in keys if k != "c")) for df, p in ((ts, "t"), (rs, "r"))]
-        return sides[0].join(sides[1].drop("c") if "c" not in keys else sides[1], [*by, *keys]).select(*by, *shape["t"], *shape["r"])
-
-    pairs = met("c", "n").union(met("c", "kind")).union(met("n", "kind")).distinct().withColumn("score", boost).where(F.col("score") >= floor)
+    def met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        sides = [df.select("*", *(F.col(f"{p}_{k}").alias(k) for k in keys if k != "c")) for df, p in ((left, "t"), (right, "r"))]
+        return sides[0].join(sides[1], [*by, *keys]).select(*by, *shape["t"], *shape["r"])
+
+    # of one count and kind the first two references decide, be they near in size or not
+    order = Window.partitionBy(*by, "r_n", "r_kind").orderBy("r_ord")
+    early = b.select(*by, "r_ord", *shape["r"]).withColumn("k", F.row_number().over(order)).where("k <= 2").select(*by, *shape["r"])
+    pairs = met(ts, rs, "c", "n").union(met(ts, rs, "c", "kind")).union(met(ts.drop("c").distinct(), early, "n", "kind")).distinct().withColumn("score", boost).where(F.col("score") >= floor)
     first = Window.partitionBy(*by, *shape["r"]).orderBy("r_ord")
     two = b.select(*by, "r_id", "r_ord", *shape["r"]).withColumn("k", F.row_number().over(first)).where("k <= 2").drop("k")
     key = lambda cols: F.struct(*cols)  # noqa: E731  shapes that hold a null still equal themselves

@@ -1,5 +1,6 @@
 import pytest
 
+from graphloom.functions.text import utf16_length, utf16_order
 from graphloom.operators import profile
 from graphloom.parse import js
 from graphloom.parse.layout import beautify
@@ -25,6 +26,13 @@ def test_layout_column(spark):
     assert {r["bundle_id"]: (r["text"], r["ratio"]) for r in profile.beautified(rows).collect()} == {"a": ("var a=1;\nb()\n", 1.18), "n": (None, None), "e": ("", None)}
 
 
+def test_utf16(spark):
+    texts = ["", "abc", "\U0001f600", "é\U0001f600x\U0001f601", "\ufffd"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["n"] for r in rows.select("t", utf16_length("t").alias("n")).collect()} == {t: len(t.encode("utf-16-le")) // 2 for t in texts}
+    assert [r["t"] for r in rows.orderBy(utf16_order("t")).collect()] == sorted(texts, key=lambda t: t.encode("utf-16-be"))
+
+
 def test_stages_resume(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.js").write_text(CODE)
