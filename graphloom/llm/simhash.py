@@ -84,7 +84,8 @@ def candidates(fps: DataFrame) -> DataFrame:
     """Those of the distinct ``fps(fp)`` that share a five-block key with another one."""
     masks = F.array(*(F.lit(m) for m in block_keys()))
     keyed = fps.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    shared = keyed.groupBy("k", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "key")
+    # a table of its own, so that the join may split a key that very many fingerprints have
+    shared = written(keyed.groupBy("k", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "key"), "shared")
     return keyed.join(shared, ["k", "key"], "left_semi").select("fp").distinct()
 
 
@@ -109,8 +110,8 @@ def components(rows: DataFrame) -> DataFrame:
     edges = written(links(near), "links")
     release(spark)
     roots = connected_components(edges)
-    labelled = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
+    least = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = written(labelled.join(least, "root").select("fp", "root", "component_id"), "named")
     return rows.join(named, "fp")
 
