@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import n_words
+from graphloom.llm.common import discard, n_words, written
 
 #: Buckets of each histogram level.
 FINE = 1024
@@ -122,7 +122,7 @@ def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", tex
         F.struct(*docs.columns).alias("row"), F.array_sort(F.array_distinct(members)).alias("pattern"), n_words(F.col(text_col)).alias("size"),
         F.shiftrightunsigned(hash_, 54).cast("int").alias("__b1"), (F.shiftrightunsigned(hash_, 44) % FINE).cast("int").alias("__b2"),
     )
-    slim = rows.select("pattern", "size", "__b1", "__b2")
+    slim = written(rows.select("pattern", "size", "__b1", "__b2"), "sizes")  # texts are counted here and once more in the result
     seen = slim.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(seen) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -166,6 +166,7 @@ def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", tex
         edge = F.broadcast(kinds([(list(p), b) for p, (b, _, _) in first.items()], T.StructType([T.StructField("pattern", array), T.StructField("__b1", T.IntegerType())])))
         inside = with_key.join(edge.select(F.to_json(match).alias("__p"), F.col("__b1").alias("__e")), "__p").where("__b1 = __e")
         second = cut(inside.groupBy("pattern", "__b2").agg(F.sum("size").alias("n")), {p: r for p, (_, r, _) in first.items()}, "__b2")
+    discard(slim)
     table = []
     for p in capacity:
         whole = plan.get(p, (0, 0))[0]
