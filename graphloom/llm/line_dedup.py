@@ -76,25 +76,37 @@ def one_edit(a: Column, b: Column) -> Column:
     return (differs > 0) & F.when(F.size(a) == F.size(b), tail(a, differs + 1) == tail(b, differs + 1)).when(F.size(a) == F.size(b) + 1, tail(a, differs + 1) == tail(b, differs)).when(F.size(a) + 1 == F.size(b), tail(a, differs) == tail(b, differs + 1)).otherwise(False)
 
 
-def near_lines(lines: DataFrame, first: DataFrame, least_words: int) -> DataFrame:
-    """``(at, keep)``: for first occurrences, the earliest line within one edit, if earlier."""
-    spark = lines.sparkSession
+def able_lines(first: DataFrame, least_words: int) -> DataFrame:
+    """``at`` of the first occurrences that share a half with another line."""
     halves = first.where(F.col("n_words") >= least_words).select("at", "h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    able = written(halves.select("at", "half").join(shared, "half", "left_semi").select("at").distinct(), "able")
-    release(spark)
-    some = lines.join(able, "at").dropDuplicates(["at"])
+    # a table of its own, so that the join may split a half that very many lines have
+    shared = written(halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"), "shared")
+    release(first.sparkSession)
+    return written(halves.select("at", "half").join(shared, "half", "left_semi").select("at").distinct(), "able")
+
+
+def near_lines(lines: DataFrame, able: DataFrame) -> DataFrame:
+    """``(at, keep)``: for the lines ``able``, the earliest line within one edit, if earlier.
+
+    Joins that bring words back are shuffled at every size, so disk and network grow in proportion.
+    """
+    spark = lines.sparkSession
+    some = lines.join(able.hint("merge"), "at").dropDuplicates(["at"])
     some = written(some.select("at", F.split("line", " ").alias("words")), "some")
+    discard(able)
     release(spark)
     keys = written(variants(some), "variants")
     release(spark)
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("whole").isNull(), F.col("at"))).alias("same"), F.min(F.when(F.col("whole"), F.col("at"))).alias("whole_at"), F.min(F.when(~F.col("whole"), F.col("at"))).alias("short_at")).where("n > 1")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("whole").isNull(), F.col("at"))).alias("same"), F.min(F.when(F.col("whole"), F.col("at"))).alias("whole_at"), F.min(F.when(~F.col("whole"), F.col("at"))).alias("short_at"))
+    met = written(met.where("n > 1").drop("n"), "met")  # likewise
+    release(spark)
     other = F.when(F.col("whole").isNull(), F.col("same")).when(F.col("whole"), F.col("short_at")).otherwise(F.col("whole_at"))
-    pairs = written(keys.join(met.drop("n"), "key").select("at", other.alias("keep")).where("keep < at").distinct(), "pairs")
+    pairs = written(keys.join(met, "key").select("at", other.alias("keep")).where("keep < at").distinct(), "pairs")
     discard(keys)
+    discard(met)
     release(spark)
     words = some.select(F.col("at").alias("keep"), F.col("words").alias("other"))
-    checked = pairs.join(some, "at").join(words, "keep").where(one_edit(F.col("words"), F.col("other")))
+    checked = pairs.hint("merge").join(some, "at").hint("merge").join(words, "keep").where(one_edit(F.col("words"), F.col("other")))
     return checked.groupBy("at").agg(F.min("keep").alias("keep"))
 
 
@@ -104,14 +116,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     sized = lines.withColumn("n_words", n)
     hashed = sized.select("at", "n_words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), half_keys("line", "n_words").alias("halves"))
-    slim = written(hashed, "lines")
+    wide = written(hashed, "lines")
     # equal lines have equal halves, so any row's will do
-    first = written(slim.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"), F.max("halves").alias("halves")), "first")
+    first = written(wide.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words"), F.max("halves").alias("halves")), "first")
+    release(docs.sparkSession)
+    slim = written(wide.select("at", "h1", "h2"), "slim")
+    discard(wide)
+    again = written(first.where("n > 1").select("h1", "h2", "n", F.col("at").alias("keep")), "again")
+    able = able_lines(first, least_words)
+    discard(first)
     release(docs.sparkSession)
-    near = near_lines(lines, first, least_words)
-    slim = slim.select("at", "h1", "h2")
+    near = near_lines(lines, able)
     total = slim.count()
-    again = first.where("n > 1").select("h1", "h2", "n", F.col("at").alias("keep"))
     heavy = F.col("n") * heavy_k >= total  # at most heavy_k lines
     part = slim.join(F.broadcast(again.where(heavy).select("h1", "h2", "keep")), ["h1", "h2"], "left")
     exact = part.where("keep is not null").select("at", "keep").union(part.where("keep is null").drop("keep").join(again.where(~heavy), ["h1", "h2"]).select("at", "keep")).where("at <> keep")
