@@ -225,19 +225,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     same = ["d1", "d2"]
     keys = written(keys_of(rows, window), "keys")
-    shared = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    # a table of its own, so that the join may split a key that very many documents have
+    shared = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared")
+    release(spark)
     marked = keys.join(shared, "key").groupBy(*same).agg(F.collect_set("key").alias("keys"))
     classes = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first"))
     marked = written(marked.join(classes, same), "marked")
     discard(keys)
+    discard(shared)
     release(spark)
     first = rows.join(marked, same).where(F.col("doc_id").eqNullSafe(F.col("first")))
     named = written(windows_of(first, window), "windows")
     discard(marked)
     release(spark)
-    again = named.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
+    again = written(named.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "again")  # likewise
+    release(spark)
     starts = written(named.join(again, ["w1", "w2"]).groupBy(*same).agg(F.collect_set("s").alias("starts")), "repeats")
     discard(named)
+    discard(again)
     release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
