@@ -10,29 +10,30 @@ from graphloom.operators.match import cascade_exact, transfer
 from graphloom.sources.tables import settled
 
 
-def chain(modules: DataFrame, versions: list[str]) -> tuple[DataFrame, DataFrame]:
+def chain(modules: DataFrame, versions: list[str], graph: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(modules, report)``: each version is matched against the enriched one before it, then names spread.
 
-    ``modules(bkg_id, ...)`` holds all versions; steps depend on each other, so they run in order.
+    ``modules(bkg_id, ...)`` holds all versions.  Steps depend on each other, so they run in order;
+    ``graph`` names the column that tells bundles apart, whose steps run side by side, a task each.
     The report has one row per link.
     """
     if len(versions) < 2:
         raise ValueError("a chain needs two versions")
     spark = modules.sparkSession
-    of = lambda v: modules.where(F.col("bkg_id") == v)
+    keyed = modules.withColumn("pair", F.col(graph).cast("string") if graph else F.lit(""))
+    of = lambda v: keyed.where(F.col("bkg_id") == v)
     done, links, ref = [of(versions[0])], [], of(versions[0])
     for old, new in zip(versions, versions[1:], strict=False):
-        target = of(new).withColumn("pair", F.lit(new))
-        found = settled(cascade_exact(target, ref.withColumn("pair", F.lit(new))), "links")
-        named = transfer(target.drop("pair"), ref, found.drop("pair"))
-        ref = settled(propagate(named), "version")
+        target = of(new)
+        found = settled(cascade_exact(target, ref), "links")
+        ref = settled(propagate(transfer(target, ref, found, ["pair"]), "pair"), "version")
         done.append(ref)
         total, matched = target.count(), found.count()
         links.append((old, new, matched, total, matched / total if total else 0.0))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, spark.createDataFrame(links, "old string, new string, matched long, total long, ratio double")
+    return out.drop("pair"), spark.createDataFrame(links, "old string, new string, matched long, total long, ratio double")
 
 
 def module_count_check(traced: DataFrame, maps: DataFrame, limits: DataFrame) -> DataFrame:

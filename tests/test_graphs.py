@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, match, ops, similarity
+from graphloom.operators import chain, graph, match, ops, similarity
 
 MODULE = "id string, ord long, minified_name string, semantic_name string, semantic_confidence double, semantic_source string, source_file string, strings array<string>, ast_fingerprint string, deps_out array<string>, deps_in array<string>, stmtCount long, wrapKind string, bytes long"
 
@@ -110,6 +110,21 @@ def test_sequential_matching_takes_one_sided_pairs(modules):
     assert pairs(both) == {("t0", "r0"): 1.0}
 
 
+def test_chain_of_two_bundles(modules):
+    rows = []
+    for b in "xy":
+        for v in range(3):
+            rows += [module(k, f"{b}", strings=[f"{b}{k}s1", f"{b}{k}s2"], semantic_name=f"name{k}" if v == 0 and k == 0 else None, deps_out=[f"{b}1"] if k == 0 else [], deps_in=[f"{b}0"] if k == 1 else [], bytes=v) for k in range(2)]
+    df = modules(rows).withColumn("bkg_id", F.concat(F.lit("v"), "bytes")).withColumn("bundle", F.substring("id", 1, 1))
+    out, report = chain.chain(df, ["v0", "v1", "v2"], "bundle")
+    assert sorted(tuple(r) for r in report.collect()) == [("v0", "v1", 4, 4, 1.0), ("v1", "v2", 4, 4, 1.0)]
+    got = {(r["bkg_id"], r["id"]): r["semantic_name"] for r in out.collect()}
+    assert got["v1", "x0"] == got["v2", "y0"] == "name0" and got["v2", "x1"] == "m1" and len(got) == 12
+    assert "pair" not in out.columns
+    with pytest.raises(ValueError):
+        chain.chain(df, ["v0"])
+
+
 def test_transfer(modules):
     t, r = modules([module(0), module(1)]), modules([module(0, "r", semantic_name="", source_file="f.ts"), module(1, "r", semantic_name="good")])
     found = t.sparkSession.createDataFrame([("t0", "r0", 0.5, "string_seed"), ("t1", "r1", 0.6, "ast_fingerprint")], "t_id string, r_id string, confidence double, technique string")
