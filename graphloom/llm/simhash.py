@@ -81,12 +81,16 @@ def ball() -> tuple[list[int], list[int]]:
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """Those of the distinct ``fps(fp)`` that share a five-block key with another one."""
+    """Those of the distinct ``fps(fp)`` that share a five-block key with another one.
+
+    The join is shuffled at every size, so disk and network grow in proportion.
+    """
     masks = F.array(*(F.lit(m) for m in block_keys()))
     keyed = fps.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     # a table of its own, so that the join may split a key that very many fingerprints have
     shared = written(keyed.groupBy("k", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "key"), "shared")
-    return keyed.join(shared, ["k", "key"], "left_semi").select("fp").distinct()
+    release(fps.sparkSession)
+    return keyed.join(shared.hint("merge"), ["k", "key"], "left_semi").select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -94,7 +98,8 @@ def links(fps: DataFrame) -> DataFrame:
     inner, outer = ball()
     flips = F.explode(F.lit(inner + outer)).alias("flip")
     deep = len(inner)
-    points = fps.select("fp", flips).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") < 2).alias("inner"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = fps.repartition(parts).select("fp", flips).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") < 2).alias("inner"))
     groups = points.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("centre"), F.collect_list("fp").alias("members"))
     assert deep == 65
     pairs = groups.where(F.col("centre").isNotNull() & (F.size("members") > 1)).select(F.col("centre").alias("a"), F.explode("members").alias("b"))
