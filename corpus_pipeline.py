@@ -4,7 +4,7 @@ Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the column
 
 * ``language``: drops documents without letters and those predicted with a probability under 0.5;
   held-out rows are never trained on.
-* ``near_duplicates``: SimHash over three-word shingles, distance 3, as the operator's query has it; of each group the longest text,
+* ``near_duplicates``: texts whose sets of five-word shingles have a similarity of 0.8 or more; of each group the longest text,
   then the smallest doc_id stays (of wholly repeated rows one).
 * ``decontaminate``: drops documents that hold a benchmark item, its numbers, names and units
   changed or not.
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, mixing, simhash, template_decontam, token_planes
+from graphloom.llm import jaccard, langid, mixing, template_decontam, token_planes
 from graphloom.llm.common import shared_dir
 
 LEAST_SCORE = 0.5
@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_duplicates(docs)
+    return jaccard.drop_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from graphloom.llm import langid, simhash
+from graphloom.llm import jaccard, langid, simhash
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -45,3 +45,34 @@ def test_empty_table(spark, docs):
         if name != "decontaminate":
             assert stage(spark, empty, "").count() == 0
     assert langid.fit(empty).labels == []
+
+
+def test_near_duplicates_are_pairs_of_similar_five_word_shingles(docs, spark):
+    rng = random.Random(11)
+    base, texts = [f"w{k}" for k in range(150)], [None, "", "a b", "A  b"]
+    for group in range(4):
+        for _ in range(25):
+            ws = [f"{w}x{group}" for w in base[: 150 - 30 * group]]
+            for _ in range(rng.randint(0, 4)):
+                ws[rng.randrange(len(ws))] = f"z{rng.random()}"
+            texts.append(" ".join(ws))
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                far += ((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count()) > 3
+    best = {}
+    for k, t in enumerate(texts):
+        best[find(k)] = min(best.get(find(k), (1, 0)), (-len(t or ""), k))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(texts), "").collect())
+    assert got == sorted(k for _, k in best.values())
+    assert far > 50 and 4 < len(best) < 60
