@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation (built-in functions only).
 
 Words are lower-cased and lose their punctuation; numbers, units that follow a number, and names
-(capitalised words inside a sentence) become typed placeholders.  Windows of ``window`` such words
+(runs of capitalised words inside a sentence) become typed placeholders, one for a run.  Windows of ``window`` such words
 are hashed; documents' windows are joined with benchmark items' windows, so that questions with
 other numbers, names or units are found too.  Hits are gathered per document, item and diagonal
-(offset of one against the other).  A document is a leak of an item when at least ``share`` of the
-item's windows match on one diagonal and the placeholders' values correspond one to one over all
-of them: the same slot always holds the same value, and different slots different ones.
+(offset of one against the other), then over every range of at most ``shift + 1`` neighbouring
+diagonals, since words put in or taken out move what follows.  A document is a leak of an item when
+at least ``share`` of the item's windows match in one range (each window counts once) and the
+placeholders' values correspond one to one over all of them: the same slot always holds the same
+value, and different slots different ones.
 
 The item side is counted first: up to ``broadcast_windows`` windows it is broadcast, beyond that
 both sides are shuffled.  Windows in which fewer than ``fixed`` words are no placeholders are not
@@ -24,30 +26,34 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import SPACE
 
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters; texts' own ones are removed first
+NAME, NUMBER, UNIT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use characters; texts' own ones are removed first
+GAP = r"[\x20\x09-\x0D]{1,3}"
+CAPITALISED = r"\p{Lu}\p{Ll}+[\p{L}\p{M}\p{N}]*"
 UNITS = "km|cm|mm|m|mi|miles?|kilomet(?:er|re)s?|met(?:er|re)s?|feet|foot|ft|inch(?:es)?|yards?|kg|kilograms?|mg|g|grams?|lbs?|pounds?|ounces?|oz|tons?|l|lit(?:er|re)s?|ml|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kph|usd|eur|dollars?|euros?|cents?|percent|degrees?"
 
 
 def _unmarked(text: Column) -> Column:
     """The text without placeholder characters of its own, which next to no text has."""
-    found = text.contains(NAME) | text.contains(NUMBER) | text.contains(UNIT)
-    return F.when(found, F.translate(text, NAME + NUMBER + UNIT, "")).otherwise(text)
+    found = text.contains(NAME) | text.contains(NUMBER) | text.contains(UNIT) | text.contains(JOIN)
+    return F.when(found, F.translate(text, NAME + NUMBER + UNIT + JOIN, "")).otherwise(text)
 
 
 def _split(lower: Column) -> Column:
     """Words of lower-case text, without punctuation."""
-    text = F.regexp_replace(lower, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+", "")
+    text = F.regexp_replace(lower, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOIN}\x20\x09-\x0D]+", "")
     return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), SPACE)
 
 
 def plain_words(text: Column) -> Column:
-    """The words that a text's templates stand for."""
-    return _split(F.lower(_unmarked(text)))
+    """The words that a text's templates stand for; those of a name are joined."""
+    # a name's first word follows a word or a comma, each further one the last match
+    joined = F.regexp_replace(_unmarked(text), rf"([\p{{L}}\p{{N}},;:%]{GAP}{CAPITALISED}|\G(?!^){CAPITALISED}){GAP}(?=\p{{Lu}}\p{{Ll}})", f"$1{JOIN}")
+    return _split(F.lower(joined))
 
 
 def template_words(text: Column) -> Column:
     """Words with placeholders, one for each of :func:`plain_words`."""
-    text = F.regexp_replace(_unmarked(text), r"\p{Lu}(?<=[\p{L}\p{N},;:%][\x20\x09-\x0D]{1,3}\p{Lu})\p{Ll}+[\p{L}\p{M}\p{N}]*", NAME)
+    text = F.regexp_replace(_unmarked(text), rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;:%]{GAP}\p{{Lu}})\p{{Ll}}+[\p{{L}}\p{{M}}\p{{N}}]*(?:{GAP}{CAPITALISED})*", NAME)
     text = F.regexp_replace(F.lower(text), r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     return _split(F.regexp_replace(text, rf"({NUMBER}[\x20\x09-\x0D]*)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
 
@@ -71,7 +77,7 @@ def item_windows(items: DataFrame, window: int, fixed: int) -> DataFrame:
     return usable.join(usable.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows")), "item_id")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, fixed: int = 5, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, fixed: int = 5, share: float = 0.5, shift: int = 3, broadcast_windows: int = 200_000) -> DataFrame:
     """One row per contaminated (document, item): ``doc_id, item_id, kind, n_windows, n_matched, n_slots``.
 
     ``kind`` is ``verbatim`` when all slots hold the item's own values, else ``reparameterised``.
@@ -89,7 +95,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     values = F.slice(plain_words(F.col("text")), F.col("pos") + 1, F.col("width"))
     slots = F.filter(F.arrays_zip(F.col("tmpl").alias("t"), F.col("plain").alias("i"), values.alias("d")), lambda x: x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
     found = hits.select("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", slots.alias("slots"))
-    lines = found.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.countDistinct("ipos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    lines = found.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    ranges = F.array(*(F.struct((F.col("diagonal") - k).alias("low"), F.lit(more).alias("more")) for more in range(shift + 1) for k in range(more + 1)))
+    spread = lines.select("doc_id", "item_id", "n_windows", "at", "slots", F.explode(ranges).alias("range"))
+    lines = spread.groupBy("doc_id", "item_id", "n_windows", "range").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     part = lambda k: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x[k]))))
     n = F.size("slots")
     good = lines.where((F.col("n_matched") >= share * F.col("n_windows")) & (part("i") == n) & (part("d") == n))

@@ -147,6 +147,27 @@ def test_decontamination(docs, spark):
     assert len(words["t"]) == len(words["p"])
 
 
+LONG = "When a ship leaves the port of Boston with 40 barrels of oil and every barrel weighs 90 kg how much does the cargo weigh at noon tomorrow"
+
+
+def test_decontamination_finds_moved_words(docs, spark):
+    items = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    texts = [
+        LONG.replace("Boston", "New York"),
+        LONG.replace("Boston", "Rio de Janeiro").replace("40", "55"),
+        LONG.replace("and every", "and then every"),
+        LONG.replace("and every", "every"),
+        LONG.replace("Boston", "New York City").replace("and every", "and so every").replace("90 kg", "40 kg"),  # two slots, one value
+        LONG.replace("and every", "and " + "very " * 9 + "every").replace("cargo", "x"),  # too far apart, too little left
+    ]
+    got = sorted((r["doc_id"], r["kind"]) for r in template_decontam.leaks(docs(texts), items).collect())
+    assert got == [(0, "reparameterised"), (1, "reparameterised"), (2, "verbatim"), (3, "verbatim")]
+    odd = ["in New York City, Old Town x", "Paris Texas is New  Delhi\tHills", "a New York's B, Über Öl", "the New\ue003York x", "New York New York", "e\u0301 New Yor\u0301k City", "by A New B York c"]
+    words = docs(odd).select(template_decontam.template_words(F.col("text")).alias("t"), template_decontam.plain_words(F.col("text")).alias("p")).collect()
+    assert [len(r["t"]) for r in words] == [len(r["p"]) for r in words]
+    assert words[0]["p"] == ["in", "new\ue003york\ue003city", "old\ue003town", "x"]
+
+
 def brute_lines(texts, least=5):
     lines = [((d, k), tuple(x.encode().split())) for d, t in enumerate(texts) if t for k, x in enumerate(t.split("\n"))]
     lines = [(at, w) for at, w in lines if w]
