@@ -12,7 +12,12 @@ value, and different slots different ones.
 
 The item side is counted first: up to ``broadcast_windows`` windows it is broadcast, beyond that
 both sides are shuffled.  Windows in which fewer than ``fixed`` words are no placeholders are not
-used.  Items of 5 to ``window - 1`` words are compared as one window of their length.
+used as templates.  Items that have such windows, or one window only, are compared word by word
+too (names not joined, nothing replaced), so that their verbatim copies are found: by ``share`` of
+these windows where fewer than that are usable as templates, else by all of them.  Documents are
+hashed a second time only where there are such items.  ``n_windows`` counts the windows of the
+comparison that found the leak.  Items of 5 to ``window - 1`` words are compared as one window of
+their length.
 
 Defined results: null and empty texts match nothing; items under 5 words or with null text are
 never matched; rows that repeat a doc_id count as one document; repeated items with other ids each
@@ -64,17 +69,43 @@ def _hashes(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
 
 
-def item_windows(items: DataFrame, window: int, fixed: int) -> DataFrame:
-    """``(item_id, n_windows, ipos, width, h, tmpl, plain)`` of all usable windows."""
-    words = items.where("text is not null").select("item_id", template_words(F.col("text")).alias("tmpl"), plain_words(F.col("text")).alias("plain")).where("size(tmpl) >= 5")
-    width = F.least(F.size("tmpl"), F.lit(window))
-    per = F.when(width == window, _hashes(F.col("tmpl"), window))
+def raw_words(text: Column) -> Column:
+    """The words of a text as they are, in lower case."""
+    return _split(F.lower(_unmarked(text)))
+
+
+def _windows(items: DataFrame, words: str, window: int) -> DataFrame:
+    """``items`` with ``width, ipos, h`` of all windows of the column ``words``."""
+    width = F.least(F.size(words), F.lit(window))
+    per = F.when(width == window, _hashes(F.col(words), window))
     for n in range(5, window):
-        per = per.when(width == n, _hashes(F.col("tmpl"), n))
-    rows = words.select("item_id", "tmpl", "plain", width.alias("width"), F.posexplode(per).alias("ipos", "h")).select("item_id", "ipos", "width", "h", F.slice("tmpl", F.col("ipos") + 1, F.col("width")).alias("tmpl"), F.slice("plain", F.col("ipos") + 1, F.col("width")).alias("plain"))
+        per = per.when(width == n, _hashes(F.col(words), n))
+    return items.where(F.size(words) >= 5).select("*", width.alias("width"), F.posexplode(per).alias("ipos", "h"))
+
+
+def item_windows(items: DataFrame, window: int, fixed: int, share: float) -> DataFrame:
+    """``(item_id, n_windows, ipos, after, raw, need, width, h, tmpl, plain)`` of all usable windows.
+
+    ``raw``: windows of words as they are, of items whose templates do not cover them.
+    """
+    words = items.where("text is not null").select("item_id", template_words(F.col("text")).alias("tmpl"), plain_words(F.col("text")).alias("plain"), raw_words(F.col("text")).alias("words"))
+    part = lambda c: F.slice(c, F.col("ipos") + 1, F.col("width")).alias(c)
+    # as if a word came before the item, which may make a name of its first word and join it with the next ones
+    tail = lambda f: F.slice(f(F.concat(F.lit("x "), "text")), 2, F.size(f(F.concat(F.lit("x "), "text"))))
+    later = items.where("text is not null").select("item_id", template_words(F.col("text")).alias("own"), tail(template_words).alias("tmpl"), tail(plain_words).alias("plain"))
+    later = later.where(F.size("tmpl") != F.size("own")).select("item_id", "tmpl", "plain")
+    both = words.select("item_id", "tmpl", "plain", F.lit(False).alias("after")).union(later.withColumn("after", F.lit(True)))
+    rows = _windows(both, "tmpl", window).select("item_id", "ipos", "after", F.lit(False).alias("raw"), F.lit(share).cast("double").alias("need"), "width", "h", part("tmpl"), part("plain"))
     is_slot = lambda w: w.rlike(f"[{NAME}{NUMBER}{UNIT}]")
     usable = rows.where(F.size(F.filter("tmpl", lambda w: ~is_slot(w))) >= F.least(F.lit(fixed), F.col("width")))
-    return usable.join(usable.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows")), "item_id")
+    # items with more than one window, all of them usable, need no words
+    counts = words.groupBy("item_id").agg(F.max(F.greatest(F.size("tmpl") - (window - 1), F.lit(1))).alias("all")).join(usable.where("not after").groupBy("item_id").agg(F.countDistinct("ipos").alias("n")), "item_id", "left")
+    some = counts.withColumn("n", F.coalesce("n", F.lit(0))).where("n < all or n <= 1")
+    # where templates cover too little of an item to judge it, its words do; else they add whole copies only
+    bare = words.join(some.select("item_id", F.when(F.col("n") < share * F.col("all"), F.lit(share)).otherwise(1.0).alias("need")), "item_id")
+    raw = _windows(bare, "words", window).select("item_id", "ipos", F.lit(False).alias("after"), F.lit(True).alias("raw"), "need", "width", "h", part("words").alias("tmpl"), part("words").alias("plain"))
+    every = usable.union(raw)
+    return every.join(every.groupBy("item_id", "after", "raw").agg(F.countDistinct("ipos").alias("n_windows")), ["item_id", "after", "raw"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, fixed: int = 5, share: float = 0.5, shift: int = 3, broadcast_windows: int = 200_000) -> DataFrame:
@@ -83,28 +114,31 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ``kind`` is ``verbatim`` when all slots hold the item's own values, else ``reparameterised``.
     """
     items = items.select("item_id", "text")
-    grams = item_windows(items, window, fixed)
+    grams = item_windows(items, window, fixed, share)
     small = grams.limit(broadcast_windows + 1).count() <= broadcast_windows
-    widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # at most window - 4 values
+    kinds = sorted((r["raw"], r["width"]) for r in grams.select("raw", "width").distinct().collect())  # at most 2 * (window - 4) values
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tmpl", template_words(F.col("text")))
     points = None
-    for n in widths or [window]:
-        part = rows.select("doc_id", "text", F.lit(n).alias("width"), F.posexplode(_hashes(F.col("tmpl"), n)).alias("pos", "h"))
+    if any(raw for raw, _ in kinds):
+        rows = rows.withColumn("words", raw_words(F.col("text")))
+    for raw, n in kinds or [(False, window)]:
+        part = rows.select("doc_id", "text", F.lit(raw).alias("raw"), F.lit(n).alias("width"), F.posexplode(_hashes(F.col("words" if raw else "tmpl"), n)).alias("pos", "h"))
         points = part if points is None else points.union(part)
-    hits = points.join(F.broadcast(grams) if small else grams, ["width", "h"])
-    values = F.slice(plain_words(F.col("text")), F.col("pos") + 1, F.col("width"))
+    hits = points.join(F.broadcast(grams) if small else grams, ["raw", "width", "h"])
+    values = F.when(F.col("raw"), F.col("plain")).otherwise(F.slice(plain_words(F.col("text")), F.col("pos") + 1, F.col("width")))
     slots = F.filter(F.arrays_zip(F.col("tmpl").alias("t"), F.col("plain").alias("i"), values.alias("d")), lambda x: x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
-    found = hits.select("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", slots.alias("slots"))
-    lines = found.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    found = hits.select("doc_id", "item_id", "after", "raw", "need", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", slots.alias("slots"))
+    lines = found.groupBy("doc_id", "item_id", "after", "raw", "need", "n_windows", "diagonal").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     ranges = F.array(*(F.struct((F.col("diagonal") - k).alias("low"), F.lit(more).alias("more")) for more in range(shift + 1) for k in range(more + 1)))
-    spread = lines.select("doc_id", "item_id", "n_windows", "at", "slots", F.explode(ranges).alias("range"))
-    lines = spread.groupBy("doc_id", "item_id", "n_windows", "range").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    spread = lines.select("doc_id", "item_id", "after", "raw", "need", "n_windows", "at", "slots", F.explode(ranges).alias("range"))
+    lines = spread.groupBy("doc_id", "item_id", "after", "raw", "need", "n_windows", "range").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     part = lambda k: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x[k]))))
     n = F.size("slots")
-    good = lines.where((F.col("n_matched") >= share * F.col("n_windows")) & (part("i") == n) & (part("d") == n))
+    good = lines.where((F.col("n_matched") >= F.col("need") * F.col("n_windows")) & (part("i") == n) & (part("d") == n))
     kind = F.when(F.forall("slots", lambda x: x["i"] == x["d"]), "verbatim").otherwise("reparameterised")
-    best = good.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("n_matched", n.alias("n_slots"), kind.alias("kind"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.kind", "n_windows", "b.n_matched", F.col("b.n_slots").cast("long").alias("n_slots"))
+    score = F.struct((F.col("n_matched") / F.col("n_windows")).alias("part"), (kind == "verbatim").alias("same"), (~F.col("raw")).alias("tmpl"), "n_matched", "n_windows", n.alias("n_slots"), kind.alias("kind"))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(score).alias("b"))
+    return best.select("doc_id", "item_id", "b.kind", "b.n_windows", "b.n_matched", F.col("b.n_slots").cast("long").alias("n_slots"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -168,6 +168,15 @@ def test_decontamination_finds_moved_words(docs, spark):
     assert words[0]["p"] == ["in", "new\ue003york\ue003city", "old\ue003town", "x"]
 
 
+def test_decontamination_finds_every_verbatim_item(docs, spark):
+    texts = ["What is 12 plus 30?", "Add 3, 4, 5, 6 and 7, then subtract 2 and 1.", "The quick brown fox leaps over", "Who was Martin Luther King?", "1 2 3 4 5 6 7 8 9 10", "In Rome Anna met Karl at 5 pm and they ate 7 of 9 cakes before the long walk home began", "In Boston the ferry leaves at noon and the same ferry is back in Boston at night"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    around = [f"we said {t} And more" for t in texts] + [f"{t.lower()} x" for t in texts] + ["what is 13 plus 30 add 3 4 5 6 and 8"]
+    for limit in (200_000, 0):
+        got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in template_decontam.leaks(docs(around), items, broadcast_windows=limit).collect())
+        assert got == [(k, k % 7, "verbatim") for k in range(14)]
+
+
 def brute_lines(texts, least=5):
     lines = [((d, k), tuple(x.encode().split())) for d, t in enumerate(texts) if t for k, x in enumerate(t.split("\n"))]
     lines = [(at, w) for at, w in lines if w]
