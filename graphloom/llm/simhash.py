@@ -42,10 +42,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     ends = list(accumulate(map(len, parts), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends[: len(ends) - words])]
     hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8")
+    return int(majority(hashes)[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """One unsigned 64-bit number: each bit is 1 if set in over half the hashes."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 8192):
         total += np.unpackbits(hashes[k : k + 8192].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
 
 
 def row_fingerprint(words: int = 3, seed: int = 42):
