@@ -135,12 +135,12 @@ def test_decontamination(docs, spark):
         "12 13 14 " * 40, None, "", "too short one", "  " + ITEM.lower().replace("boston", "Boston"), "entirely clean text of no interest to anybody at all here",
         "w " * 40_000 + ITEM,
     ]
-    want = [(0, 1, "verbatim"), (1, 1, "reparameterised"), (4, 2, "verbatim"), (9, 1, "verbatim"), (11, 1, "verbatim")]
+    want = [(0, 1, "verbatim"), (1, 1, "reparameterised"), (4, 2, "verbatim"), (8, 3, "verbatim"), (9, 1, "verbatim"), (11, 1, "verbatim")]
     for limit in (200_000, 0):
         got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in template_decontam.leaks(docs(texts), items, broadcast_windows=limit).collect())
         assert got == want
     kept = template_decontam.decontaminate(docs(texts), items)
-    assert kept.columns == docs([]).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 10]
+    assert kept.columns == docs([]).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 7, 10]
     assert template_decontam.leaks(docs([]), items).count() == 0
     assert template_decontam.leaks(docs(texts), items.limit(0)).count() == 0
     words = docs(["it's 3 km, 4.5kg Über Öl  !! x. New York a\tb"]).select(template_decontam.template_words(F.col("text")).alias("t"), template_decontam.plain_words(F.col("text")).alias("p")).first()
