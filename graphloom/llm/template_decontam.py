@@ -17,8 +17,8 @@ fewer than that are usable as templates, else by all of them.  ``n_windows`` cou
 comparison that found the leak.  A text of fewer words than a window is one window: such an item is
 found in documents that have nothing else.
 
-Documents' windows first pass a bitmap of the items' hashes (at most ``BITS`` bits, a literal of the
-plan), so only those travel that have a partner or are among the few false hits.  The item side is counted:
+Documents' windows first pass a bitmap of the items' hashes (at most ``BITS`` bits, a
+subquery), so only those travel that have a partner or are among the few false hits.  The item side is counted:
 up to ``broadcast_windows`` windows it is broadcast, beyond that both sides are shuffled; what travels is
 a window's words, never a text.
 
@@ -29,8 +29,6 @@ give a row; other columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +126,7 @@ def _probes(h: Column, bits: int) -> list[Column]:
 
 
 def bitmap(grams: DataFrame, n: int) -> tuple[Column, int]:
-    """Bits of the hashes of ``grams(h)``, three for each, as a literal array of 64-bit numbers; and how many bits it has."""
+    """Bits of the hashes of ``grams(h)``, three for each, as a subquery for an array of 64-bit numbers; and how many bits it has."""
     bits = 1 << 12
     while bits < min(64 * n, BITS):
         bits *= 2
@@ -137,7 +135,7 @@ def bitmap(grams: DataFrame, n: int) -> tuple[Column, int]:
     longs = [0] * (bits // 64)
     for r in sums.collect():  # at most BITS / 64 rows
         longs[r["k"]] = r["v"]
-    return F.from_json(F.lit(json.dumps(longs)), "array<bigint>"), bits
+    return grams.sparkSession.createDataFrame([(longs,)], "known array<bigint>").scalar(), bits
 
 
 def points(rows: DataFrame, grams: DataFrame, n: int, window: int) -> DataFrame:
@@ -147,7 +145,7 @@ def points(rows: DataFrame, grams: DataFrame, n: int, window: int) -> DataFrame:
     def may(h: Column) -> Column:
         out = F.lit(True)
         for p in _probes(h, bits):
-            word, place = F.get(known, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")
+            word, place = F.get("known", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")
             out = out & (F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit(1)) == 1)
         return out
 
@@ -158,7 +156,7 @@ def points(rows: DataFrame, grams: DataFrame, n: int, window: int) -> DataFrame:
     once = lambda df, keep, **cols: df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
     keep = ["doc_id", "own", "text"]
     hashed = once(rows, keep, **{c: F.transform(f(F.col("text")), lambda w: F.xxhash64(w)) for c, f in (("t", template_words), ("r", raw_words))})
-    hashed = once(hashed, keep, **{c: _window_hashes(F.col(c), window) for c in ("t", "r")})
+    hashed = once(hashed, keep, known=known, **{c: _window_hashes(F.col(c), window) for c in ("t", "r")})
     found = once(hashed, [*keep, "t", "r"], in_t=passing("t"), in_r=passing("r")).where((F.size("in_t") > 0) | (F.size("in_r") > 0))
     split = once(found, ["doc_id", "own", "t", "r", "in_t", "in_r"], plain=plain_words(F.col("text")), words=raw_words(F.col("text")))
 
