@@ -52,7 +52,7 @@ def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8"))
 
 
-def sketch(found: np.ndarray) -> tuple[int, int, int, list[int], list[int]]:
+def sketch(found: np.ndarray) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     """Node, fingerprint, number of shingles, parity bits and band keys of a set of shingles."""
     least = np.full(BANDS * MINIMA, 2**64 - 1, "<u8")
     for k in range(0, len(found), 2048):
@@ -60,13 +60,14 @@ def sketch(found: np.ndarray) -> tuple[int, int, int, list[int], list[int]]:
     keys = (least.reshape(BANDS, MINIMA) * MIX).sum(1, dtype="<u8") ^ SALT
     parity = np.packbits(np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS) % 2 == 1)
     node = np.array([xxhash.xxh64_intdigest(found.tobytes(), 7)], "<u8").view("<i8")[0]
-    return int(node), simhash.majority(found).view("<i8").item(), len(found), parity.view("<i8").tolist(), keys.view("<i8").tolist()
+    return int(node), simhash.majority(found).view("<i8").item(), len(found), parity.view("<i8"), keys.view("<i8")
 
 
 def row_sketch(words: int):
     @F.pandas_udf("node long, fp long, n int, parity array<long>, keys array<long>")
     def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(shingles(t, words)) for t in text], columns=["node", "fp", "n", "parity", "keys"])
+        node, fp, n, parity, keys = zip(*(sketch(shingles(t, words)) for t in text), strict=True) if len(text) else ((),) * 5
+        return pd.DataFrame({"node": node, "fp": fp, "n": n, "parity": parity, "keys": keys})
 
     return run
 
