@@ -9,8 +9,8 @@ Raw counts cover all documents; the target model is fitted on at most ``max_targ
 documents (their ids are broadcast).  k is the labelled share of good documents times the number
 of documents.  The k-th key is found exactly by refining histograms; no sort of all rows.
 
-Defined results: null and empty texts have weight 0; ties at the cut go to the smaller id, then to
-an arbitrary one of equal rows; with no labels everything is kept; other columns are ignored.
+Defined results: null and empty texts have weight 0; rows with one id (null ids too) have one noise; ties at the cut go to the smaller
+id, null last, then to arbitrary ones of the rows, so that exactly k rows stay; with no labels everything is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
@@ -45,7 +45,7 @@ def grams(text: str | None) -> np.ndarray:
         _names.clear()
     h = np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD95)
-    return np.concatenate([h, pairs]) >> np.uint64(48)
+    return (np.concatenate([h, pairs]) >> np.uint64(48)).astype(np.int32)
 
 
 def log_ratios(docs: DataFrame, targets: DataFrame, smooth: float = 1.0) -> np.ndarray:
@@ -54,12 +54,25 @@ def log_ratios(docs: DataFrame, targets: DataFrame, smooth: float = 1.0) -> np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
+        held: tuple[list, list] = ([], [])
+        n = 0
+
+        def add() -> None:
+            for k in (0, 1):
+                if held[k]:
+                    total[k] += np.bincount(np.concatenate(held[k]), minlength=BUCKETS)
+                    held[k].clear()
+
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(grams(text.as_py()).astype(np.int64), minlength=BUCKETS)
-                total[0] += n
+                g = grams(text.as_py())
+                held[0].append(g)
                 if good:
-                    total[1] += n
+                    held[1].append(g)
+                if (n := n + len(g)) >= 1 << 20:
+                    add()
+                    n = 0
+        add()
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "target"])
 
@@ -97,6 +110,38 @@ def kth_largest(keys: DataFrame, k: int, few: int = 2000) -> tuple[float, int]:
             k -= r["n"]
 
 
+def first_tied(tied: DataFrame, n: int, step: int = 1000) -> Column:
+    """Condition on ``(doc_id, row)`` for the first ``n`` of the rows ``tied(doc_id, row)``: by id, null last, then by row.
+
+    ``row`` is a number unique among all rows, ``task << 33 | place``.  Ids are counted ``step`` at a time
+    and tasks counted for one id; no list of rows is gathered.
+    """
+    ids = tied.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    last, id_ = None, F.col("doc_id")
+    while True:
+        more = ids if last is None else ids.where(F.col("doc_id").isNull() | (F.col("doc_id") > last))
+        got = more.orderBy(F.asc_nulls_last("doc_id")).limit(step).collect()
+        for r in got:
+            if n <= r["n"]:
+                before = id_.isNotNull() if r["doc_id"] is None else F.coalesce(id_ < r["doc_id"], F.lit(False))
+                break
+            n, last = n - r["n"], r["doc_id"]
+        else:
+            if len(got) < step:
+                return F.lit(True)
+            continue
+        break
+    own = tied.where(id_.eqNullSafe(F.lit(r["doc_id"])))
+    task, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    for t in own.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect():  # one row for each task that wrote rows
+        if n <= t["n"]:
+            break
+        n -= t["n"]
+    cut, _ = kth_largest(own.where(task == t["task"]).select((-place).cast("double").alias("key")), n)
+    here = (task < t["task"]) | ((task == t["task"]) & (place <= int(-cut)))
+    return before | (id_.eqNullSafe(F.lit(r["doc_id"])) & here)
+
+
 def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = 20_000, seed: int = 13) -> DataFrame:
     """One row per input row: ``doc_id, log_weight, gumbel_key, kept``.
 
@@ -110,18 +155,17 @@ def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = [round(float(ratios.value[grams(t.as_py()).astype(np.int64)].sum()), 9) for t in batch.column(1)]
+            w = [round(float(ratios.value[grams(t.as_py())].sum()), 9) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64())], ["doc_id", "log_weight"])
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
-    scored = rows.mapInArrow(weigh, "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    scored = rows.mapInArrow(weigh, "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u))).withColumn("row", F.monotonically_increasing_id())
     scored = written(scored, "scored")
     n = scored.count()
     k = round(n * good / total) if total else n
     if not 0 < k < n:
         return scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), F.lit(k >= n).alias("kept"))
     cut, ties = kth_largest(scored.select("key"), k)
-    # rows at the cut: one document's copies with one id at most, since the noise is the id's
-    edge = [r["doc_id"] for r in scored.where(F.col("key") == cut).select("doc_id").orderBy("doc_id").limit(ties).collect()]
-    kept = (F.col("key") > cut) | ((F.col("key") == cut) & F.coalesce(F.col("doc_id").isin(edge), F.lit(False)))
+    tied = scored.where(F.col("key") == cut).select("doc_id", "row")
+    kept = (F.col("key") > cut) | ((F.col("key") == cut) & first_tied(tied, ties))
     return scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), kept.alias("kept"))
