@@ -14,10 +14,11 @@ Variant keys take one pass of running exclusive-ors over the words, however long
 An exact filter first drops lines that cannot have a partner: one edit leaves the first or the last
 half of the longer line untouched, so partners share one of four half keys.
 
-A line is dropped when an earlier one (by doc_id, then line number) lies within the bound.
+A line is dropped when an earlier one (by doc_id, then text, then line number) lies within the bound.
 
 Defined results: blank lines and null texts are never dropped; lines that differ in white space only
-are equal; rows that repeat a doc_id count as one document; null ids come first; other columns
+are equal; a document is an id and a text: rows that repeat both are one and lose the same lines, equal ids
+(or null ids) with other texts are separate and ordered by a hash of the text; null ids come first; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -30,14 +31,15 @@ from graphloom.llm.common import SPACE, discard, release, written
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(at, line)`` of every line with words, these joined by one space; ``at`` orders lines: (doc_id, line_no)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    """``(at, line)`` of every line with words, these joined by one space; ``at`` orders lines: (doc_id, own, line_no),
+    ``own`` being the hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     line = F.col("line")
     odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
     for c in "\t\r\x0b\x0c":
         odd = odd | line.contains(c)
     normal = F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
-    return rows.select(F.struct("doc_id", "line_no").alias("at"), normal.alias("line")).where("line <> ''")
+    return rows.select(F.struct("doc_id", "own", "line_no").alias("at"), normal.alias("line")).where("line <> ''")
 
 
 def half_keys(line: str, n: str) -> Column:
@@ -110,8 +112,13 @@ def near_lines(lines: DataFrame, able: DataFrame) -> DataFrame:
     return checked.groupBy("at").agg(F.min("keep").alias("keep"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, heavy_k: int = 512) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per dropped line: ``doc_id, line_no, keep_doc_id, keep_line_no, edits``."""
+    return repeats(docs, id_col, text_col, **options).select("at.doc_id", F.col("at.line_no").cast("long").alias("line_no"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").cast("long").alias("keep_line_no"), "edits")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, heavy_k: int = 512) -> DataFrame:
+    """``(at, keep, edits)``: the place of each dropped line and of the line that it repeats."""
     lines = lines_of(docs, id_col, text_col)
     n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     sized = lines.withColumn("n_words", n)
@@ -131,13 +138,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heavy = F.col("n") * heavy_k >= total  # at most heavy_k lines
     part = slim.join(F.broadcast(again.where(heavy).select("h1", "h2", "keep")), ["h1", "h2"], "left")
     exact = part.where("keep is not null").select("at", "keep").union(part.where("keep is null").drop("keep").join(again.where(~heavy), ["h1", "h2"]).select("at", "keep")).where("at <> keep")
-    both = exact.withColumn("edits", F.lit(0)).union(near.withColumn("edits", F.lit(1)))
-    return both.select("at.doc_id", F.col("at.line_no").cast("long").alias("line_no"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").cast("long").alias("keep_line_no"), "edits")
+    return exact.withColumn("edits", F.lit(0)).union(near.withColumn("edits", F.lit(1)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with their dropped lines taken out of the text."""
-    gone = dropped_lines(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<bigint>")), k.cast("long")))
-    return joined.withColumn(text_col, F.array_join(kept, "\n")).drop("__id", "__gone")
+    gone = repeats(docs, id_col, text_col, **options).groupBy(F.col("at.doc_id").alias("__id"), F.col("at.own").alias("__own")).agg(F.collect_set("at.line_no").alias("__gone"))
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__own")), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), k))
+    return joined.withColumn(text_col, F.array_join(kept, "\n")).drop("__id", "__own", "__gone")
