@@ -17,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent (tests, local runs).
+    A folder of our own is made only where the setting is absent and the master is local (tests).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -9,7 +9,7 @@ the whole repetitions, and those below an exact cut of the hash in the last one.
 The cut is found by two pre-aggregated histograms of the hash, never by sorting a source.
 
 Defined results: null text has size 0; null sources form a source of their own, last; empty
-documents take 0 words; repeated rows are separate documents but are taken alike; an empty table
+documents take 0 words; rows that repeat an id, or a text where the id is null, are separate documents but are taken alike; an empty table
 gives an empty result; columns of any name may be there.  More than ``max_patterns`` patterns are refused with ``ValueError``.
 """
 
@@ -117,7 +117,7 @@ def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", tex
     sorted source names to their weights.
     """
     spark = docs.sparkSession
-    hash_ = F.xxhash64(F.lit(seed), F.col(id_col))
+    hash_ = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.array_sort(F.array_distinct(members)).alias("pattern"), n_words(F.col(text_col)).alias("size"),
         F.shiftrightunsigned(hash_, 54).cast("int").alias("__b1"), (F.shiftrightunsigned(hash_, 44) % FINE).cast("int").alias("__b2"),
