@@ -51,6 +51,43 @@ def test_quality_prefers_target_like_text(docs, spark):
     assert importance.select_quality(docs([]), labels).count() == 0
 
 
+def test_quality_keeps_exactly_k_of_repeated_rows_and_null_ids(docs, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    for ids, k in (([5] * 8, 2), ([None] * 12, 3), ([9, None, None, 9, None, None, 9, None], 2), ([None] * 5 + [3] * 3, 2)):
+        out = importance.select_quality(docs(["one equal text"] * len(ids), ids=ids).repartition(3), labels).collect()
+        assert len(out) == len(ids) and sum(r["kept"] for r in out) == k
+
+
+def test_first_tied(spark):
+    rng = random.Random(3)
+    tied = [(rng.choice([None, 1, 2, 3, 9]), rng.randrange(4) << 33 | k) for k in range(60)]
+    df = spark.createDataFrame(tied, "doc_id long, row long")
+    order = sorted(tied, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for n in (1, 7, 30, 59, 60):
+        for step in (1, 2, 1000):
+            got = {tuple(r) for r in df.where(importance.first_tied(df, n, step)).collect()}
+            assert got == set(order[:n])
+
+
+def test_quality_weights_equal_plain_models(docs, spark):
+    rng = random.Random(21)
+    texts = [prose(rng, rng.choice(list(VOCAB)), rng.randint(0, 40)) for _ in range(80)] + [None, "", "word " * 30_000]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 9 == 0)) for k in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    grams = [importance.grams(t) for t in texts]
+    n = np.ones((2, importance.BUCKETS))
+    for k, g in enumerate(grams):
+        for b in g.tolist():
+            n[0, b] += 1
+            n[1, b] += k < 80 and k % 2 == 0 and k % 3 == 0 and k % 9 != 0
+    p = n / n.sum(1, keepdims=True)
+    out = {r["doc_id"]: r for r in importance.select_quality(docs(texts), labels).collect()}
+    for k, g in enumerate(grams):
+        assert out[k]["log_weight"] == pytest.approx(sum(np.log(p[1, b]) - np.log(p[0, b]) for b in g.tolist()), abs=1e-6)
+    k = round(len(texts) * 14 / 40)
+    best = sorted(out.values(), key=lambda r: -r["gumbel_key"])[:k]
+    assert {r["doc_id"] for r in out.values() if r["kept"]} == {r["doc_id"] for r in best}
+
+
 @pytest.mark.parametrize("n,k", [(50, 7), (9000, 4321), (9000, 1), (9000, 8999)])
 def test_kth_largest(spark, n, k):
     rng = random.Random(n + k)
@@ -177,6 +214,76 @@ def test_decontamination_finds_every_verbatim_item(docs, spark):
         assert got == [(k, k % 7, "verbatim") for k in range(14)]
 
 
+def test_decontamination_finds_changed_questions(docs, spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    texts = [ITEM.lower(), ITEM.upper(), ITEM.replace("Boston", "New York"), ITEM.replace("how far does", "how long does"), ITEM.replace("does the train", "does really that the train"), "an other text of no interest to any of us", ITEM]
+    got = {r["doc_id"]: r["kind"] for r in template_decontam.leaks(docs(texts), items).collect()}
+    assert got == {0: "verbatim", 1: "verbatim", 2: "reparameterised", 3: "verbatim", 4: "verbatim", 6: "verbatim"}
+    # null ids and equal ids with other texts are documents of their own
+    for id_ in (None, 7):
+        kept = template_decontam.decontaminate(docs([ITEM, "clean text", "clean text", "some other text"], ids=[id_] * 4), items).collect()
+        assert sorted(r["text"] for r in kept) == ["clean text", "clean text", "some other text"]
+
+
+def brute_leaks(docs, items, window=5, fixed=2, share=0.5, least=4, shift=3):
+    """Pairs found by the rule on lists of words: ``docs`` and ``items`` as (id, [(template words, plain words), ...], raw words)."""
+    slot = lambda w: any(c in w for c in "\ue000\ue001\ue002")
+    wins = lambda ws: [tuple(ws[i : i + window]) for i in range(max(1, len(ws) - window + 1))] if ws != [""] else []
+    out = set()
+    for i, forms, raw in items:
+        tries = []
+        for after, (tmpl, plain) in enumerate(forms):
+            use = [k for k, w in enumerate(wins(tmpl)) if sum(not slot(x) for x in w) >= fixed]
+            use = use if sum(not slot(x) for x in tmpl) >= window else []
+            tries.append((False, tmpl, plain, use, share))
+            if not after:
+                tries.append((True, raw, raw, range(len(wins(raw))), share if len(use) < share * len(wins(tmpl)) else 1.0))
+        for d, ((tmpl_d, plain_d), *_), raw_d in docs:
+            for is_raw, ws, vs, use, need in tries:
+                other, values = (raw_d, raw_d) if is_raw else (tmpl_d, plain_d)
+                hits = [(q - k, k, q) for k in use for q, w in enumerate(wins(other)) if w == wins(ws)[k]]
+                for low in {h[0] - m for h in hits for m in range(shift + 1)}:
+                    for more in range(shift + 1):
+                        part = [h for h in hits if low <= h[0] <= low + more]
+                        n = len({k for _, k, _ in part})
+                        if not n or n < need * len(use) or n < min(least, len(use)):
+                            continue
+                        pairs = {(ws[k + x], vs[k + x], values[q + x]) for _, k, q in part for x in range(min(window, len(ws))) if slot(ws[k + x])}
+                        if len({(t, a) for t, a, _ in pairs}) == len({(t, b) for t, _, b in pairs}) == len(pairs):
+                            out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_brute_force(docs, spark):
+    rng = random.Random(12)
+    vocab = ["alpha", "beta", "gamma", "delta", "the", "of", "12", "7", "km", "Boston", "New York", "Lima", "3.5", "and,", "in"]
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    sources = [make(n) for n in (3, 5, 6, 8, 9, 12, 15, 20, 30, 14, 18)]
+    texts = []
+    for _ in range(120):
+        ws = list(rng.choice(sources))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(ws))
+            ws[k : k + rng.randint(0, 1)] = rng.choice([[], [rng.choice(vocab)], make(2)])
+        if rng.random() < 0.2:
+            a, b = rng.sample(["12", "7", "3.5", "Boston", "Lima", "99"], 2)
+            ws = [b if w == a else w for w in ws]
+        texts.append(" ".join(make(rng.choice([0, 0, 4])) + ws + make(rng.choice([0, 3]))))
+    texts += ["", "..", None]
+    item_texts = [" ".join(s) for s in sources]
+    forms = lambda df: [(r["t"], r["p"], r["r"]) for r in df.orderBy("doc_id").select(template_decontam.template_words(F.col("text")).alias("t"), template_decontam.plain_words(F.col("text")).alias("p"), template_decontam.raw_words(F.col("text")).alias("r")).collect()]
+    some = [(k, t) for k, t in enumerate(texts) if t is not None]
+    doc_rows = [(k, [(t, p)], r) for (k, _), (t, p, r) in zip(some, forms(docs([t for _, t in some])), strict=True)]
+    first, later = forms(docs(item_texts)), forms(docs(["x " + t for t in item_texts]))
+    item_rows = [(k, [(t, p), (t2[1:], p2[1:])], r) for k, ((t, p, r), (t2, p2, _)) in enumerate(zip(first, later, strict=True))]
+    items = spark.createDataFrame(list(enumerate(item_texts)), "item_id long, text string")
+    want = brute_leaks(doc_rows, item_rows)
+    for limit in (200_000, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in template_decontam.leaks(docs(texts), items, broadcast_windows=limit).collect()}
+        assert got == want
+    assert 40 < len(want) < len(texts) * len(item_texts) / 3
+
+
 def brute_lines(texts, least=5):
     lines = [((d, k), tuple(x.encode().split())) for d, t in enumerate(texts) if t for k, x in enumerate(t.split("\n"))]
     lines = [(at, w) for at, w in lines if w]
@@ -222,3 +329,13 @@ def test_lines(docs):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(["a b\nc", "c\na  b\nd", None])).collect()}
     assert kept == {0: "a b\nc", 1: "d", 2: None}
     assert line_dedup.dropped_lines(docs([])).count() == 0
+
+
+def test_lines_of_repeated_ids_stay_apart(docs):
+    texts = ["first line of all here\nkeep me here please now", "first line of this one\nfirst line of all here", "first line of all here\nkeep me here please now", "keep me here please now"]
+    for id_ in (5, None):
+        out = line_dedup.dedup_lines(docs(texts[:2], ids=[id_, id_])).collect()
+        lines = [x for r in out for x in r["text"].split("\n")]
+        assert lines.count("keep me here please now") == 1 and len([x for x in lines if x == "first line of all here"]) == 1
+    kept = sorted(r["text"] for r in line_dedup.dedup_lines(docs(texts[2:], ids=[5, 6])).collect())
+    assert kept == ["", texts[0]]
