@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import inserted
 from graphloom.operators.profile import declarator_helpers
 
 
@@ -49,6 +50,13 @@ def anchored(kinds: DataFrame, key: str = "bundle_id") -> DataFrame:
     return full.withColumn("kind", F.when(F.col("is_import"), "IMPORT").otherwise(F.col("kind"))).select(key, "ord", "kind", "module", "names")
 
 
+def free_runs(rows: DataFrame, free: Column, key: str = "bundle_id") -> DataFrame:
+    """``(bundle_id, first, last, n)``: runs of statements next to each other for which ``free`` holds."""
+    upto = Window.partitionBy(key).orderBy("ord")
+    runs = rows.select(key, "ord", free.alias("free"), F.count_if(~free).over(upto).alias("run")).where("free")
+    return runs.groupBy(key, "run").agg(F.min("ord").cast("long").alias("first"), F.max("ord").cast("long").alias("last"), F.count(F.lit(1)).alias("n")).drop("run")
+
+
 def fold_runs(rows: list[tuple[int, str, int | None, list[int]]], least: float = 0.5) -> dict[int, tuple[int, str]]:
     """Clusters of the statements without a module: ``{ord: (first member, kind)}``.
 
@@ -148,11 +156,8 @@ def module_edges(edges: DataFrame, assigned: DataFrame, key: str = "bundle_id")
 
 def boundary_text(bundles: DataFrame, statements: DataFrame, assigned: DataFrame, key: str = "bundle_id") -> DataFrame:
     """``(bundle_id, text)``: the source with a comment where each module begins."""
-    rows = statements.join(assigned, [key, "ord"]).join(bundles.select(key, "code"), key)
-    first = F.col("ord") == F.min("ord").over(Window.partitionBy(key, "module_id"))
-    before = F.coalesce(F.lag("end").over(Window.partitionBy(key).orderBy("ord")), F.lit(0))
-    piece = lambda a, b: F.substring("code", a + 1, b - a)
-    note = F.when(first, F.format_string("/* --- module %d (%s) --- */\n", "module_id", "kind")).otherwise("")
-    parts = rows.withColumn("before", before).withColumn("note", note).select(key, "ord", "end", F.concat(piece(F.col("before"), F.col("start")), F.col("note"), piece(F.col("start"), F.col("end"))).alias("t"))
-    joined = parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]), "").alias("text"), F.max("end").alias("last"))
-    return bundles.select(key, "code").join(joined, key, "left").select(key, F.concat(F.coalesce("text", F.lit("")), F.expr("substring(code, coalesce(last, 0) + 1)")).alias("text"))
+    rows = statements.select(key, "ord", "start").join(assigned, [key, "ord"])
+    first = rows.groupBy(key, "module_id").agg(F.min_by(F.struct("start", "kind"), "ord").alias("f"))
+    note = F.format_string("/* --- module %d (%s) --- */\n", "module_id", "f.kind")
+    per = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f.start", note.alias("note")))).alias("n"))
+    return bundles.select(key, "code").join(per, key, "left").select(key, inserted()("code", "n.start", "n.note").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import utf16_length
+from graphloom.functions.text import numbered, slices, utf16_length
 from graphloom.operators import boundary, profile
 from graphloom.parse.facts import features_of, parseable
 
@@ -14,10 +14,12 @@ CAP = 50
 
 def split_modules(bundles: DataFrame, rollup: DataFrame, key: str = "bundle_id") -> DataFrame:
     """Module rows with their text (first to last statement), file name and whether they parse."""
-    rows = rollup.join(bundles.select(key, "code"), key)
-    text = F.substring("code", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    # a bundle's modules are cut out of its text at once, so that the text does not travel with each
+    per = rollup.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("module_id", "char_start", "char_end"))).alias("m"))
+    cut = bundles.select(key, "code").join(per, key).select(key, F.arrays_zip(F.col("m.module_id").alias("module_id"), slices()("code", "m.char_start", "m.char_end").alias("text")).alias("z"))
+    rows = rollup.join(cut.select(key, F.explode("z").alias("z")).select(key, "z.module_id", "z.text"), [key, "module_id"])
     label = F.when(F.col("wrapKind") == "RUNTIME", "RUNTIME").when((F.col("wrapKind") == "None") & (F.col("n") > 5), "TOPLEVEL").otherwise(F.coalesce("first_name", "wrapKind"))
-    out = rows.withColumn("text", text).withColumn("filename", F.concat(F.lit("mod_"), F.lpad(F.col("module_id").cast("string"), 4, "0"), F.lit("_"), label, F.lit(".js"))).drop("code")
+    out = rows.withColumn("filename", F.concat(F.lit("mod_"), numbered(F.col("module_id")), F.lit("_"), label, F.lit(".js")))
     return out.withColumn("parseable", parseable()("text"))
 
 

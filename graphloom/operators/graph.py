@@ -21,10 +21,12 @@ def hubs(edges: DataFrame, n: int = 10, key: str = "bkg_id") -> DataFrame:
     return degrees(edges, key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def closure(edges: DataFrame, starts: DataFrame, key: str = "bkg_id", max_depth: int = 50) -> DataFrame:
-    """``(bkg_id, start, id, depth)``: everything that ``starts(bkg_id, start)`` reach, breadth first."""
+def closure(edges: DataFrame, starts: DataFrame, key: str = "bkg_id", max_depth: int | None = None) -> DataFrame:
+    """``(bkg_id, start, id, depth)``: everything that ``starts(bkg_id, start)`` reach, breadth first, to the end or to a depth."""
     reached = front = settled(starts.select(key, "start", F.col("start").alias("id"), F.lit(0).alias("depth")), "reach")
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = front.select(key, "start", F.col("id").alias("src")).join(edges.select(key, "src", F.col("dst").alias("id")), [key, "src"]).select(key, "start", "id").distinct()
         front = settled(step.join(reached.select(key, "start", "id"), [key, "start", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():

@@ -54,7 +54,7 @@ def _open(t: DataFrame, r: DataFrame, te: DataFrame, matches: DataFrame) -> tupl
 
 def fingerprint_round(t: DataFrame, r: DataFrame, te: DataFrame, matches: DataFrame) -> DataFrame:
     """Third technique.  Similarity depends on the set of kinds and the length only, so both sides are
-    grouped by these; pairs meet on a shared kind and kept when they could matter (0.7 / 1.2)."""
+    grouped by these; pairs meet on the class of their length and are kept when they could matter (0.7 / 1.2)."""
     left, free = _open(t, r, te, matches)
     shape = lambda df, p: df.where("ast_fingerprint <> ''").select(F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), F.array_sort(F.array_distinct(F.split("ast_fingerprint", ":"))).alias(f"{p}_kinds"), F.size(F.split("ast_fingerprint", ":")).alias(f"{p}_len"))
     a, b = shape(left, "t").where("t_len >= 5"), shape(free, "r")

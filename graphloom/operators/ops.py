@@ -86,13 +86,14 @@ def content_key() -> Column:
     return F.struct(F.array_sort("strings").alias("strings"), F.coalesce("ast_fingerprint", F.lit("")).alias("fp"), (F.floor(F.coalesce("bytes", F.lit(0)) / 256) * 256).alias("size"))
 
 
-def evolve(modules: DataFrame, pair: str = "pair", threshold: int | None = None) -> DataFrame:
+def evolve(modules: DataFrame, pair: str = "pair", threshold: int | None = None, inputs: int | None = None) -> DataFrame:
     """Modules of several inputs whose content does not recur in most of them, largest first.
 
-    Content counts once per input; it is noise from ``max(2, ceil(5 N / 6))`` inputs on.  The
+    Content counts once per input; it is noise from ``max(2, ceil(5 N / 6))`` inputs on; N is ``inputs``, to be
+    given where some input has no rows, else the number of inputs that have some.  The
     content key is hashed once (128 bits), so wide keys do not travel twice.
     """
-    n = modules.select(pair).distinct().count() if threshold is None else 0
+    n = 0 if threshold is not None else inputs if inputs is not None else modules.select(pair).distinct().count()
     least = threshold if threshold is not None else max(2, -(-5 * n // 6))
     key = content_key()
     rows = modules.withColumn("k1", F.xxhash64(key)).withColumn("k2", F.xxhash64(F.lit(7), key))

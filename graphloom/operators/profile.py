@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import inserted, numbered
 from graphloom.parse.facts import parse_statements
 from graphloom.parse.layout import beautify_of
 
@@ -90,18 +91,14 @@ def wrap_kind(category: Column) -> Column:
 
 def header_comment(classified: DataFrame) -> Column:
     """The comment that goes before a statement."""
-    return F.format_string("/* === [%s] TYPE: %s | WRAPKIND: %s | NAME: %s | LINES: %d-%d | BYTES: %d === */", F.lpad(F.col("ord").cast("string"), 4, "0"), "category", "wrap_kind", "name", "line_start", "line_end", "bytes")
+    return F.format_string("/* === [%s] TYPE: %s | WRAPKIND: %s | NAME: %s | LINES: %d-%d | BYTES: %d === */", numbered(F.col("ord")), "category", "wrap_kind", "name", "line_start", "line_end", "bytes")
 
 
 def annotated_text(bundles: DataFrame, classified: DataFrame, key: str = "bundle_id") -> DataFrame:
     """``(bundle_id, text)``: the source with a comment before each statement, gaps kept."""
-    before = F.coalesce(F.lag("end").over(Window.partitionBy(key).orderBy("ord")), F.lit(0))
-    piece = lambda a, b: F.substring("code", a + 1, b - a)
-    rows = classified.withColumn("before", before).join(bundles.select(key, "code"), key)
-    text = F.concat(piece(F.col("before"), F.col("start")), header_comment(rows), F.lit("\n"), piece(F.col("start"), F.col("end")))
-    parts = rows.select(key, "ord", "end", text.alias("text"))
-    joined = parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("text"), F.max("end").alias("last"))
-    return bundles.select(key, "code").join(joined, key, "left").select(key, F.concat(F.coalesce("text", F.lit("")), F.expr("substring(code, coalesce(last, 0) + 1)")).alias("text"))
+    notes = classified.select(key, F.struct("start", F.concat(header_comment(classified), F.lit("\n")).alias("note")).alias("n"))
+    per = notes.groupBy(key).agg(F.array_sort(F.collect_list("n")).alias("n"))
+    return bundles.select(key, "code").join(per, key, "left").select(key, inserted()("code", "n.start", "n.note").alias("text"))
 
 
 def byte_accounting(bundles: DataFrame, statements: DataFrame, key: str = "bundle_id") -> DataFrame:

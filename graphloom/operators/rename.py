@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import replaced
 from graphloom.parse.facts import bindings_of, parseable
 
 
@@ -40,8 +41,6 @@ def apply_renames(modules: DataFrame, pairs: DataFrame, by: list[str], key: str
     hits = spots.join(wanted, [*by, key, "minified"]).select(*by, key, "start", "end", "semantic").distinct()
     per = hits.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "semantic"))).alias("hits"))
     rows = modules.join(per, [*by, key], "left")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    put = lambda s, h: F.struct(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, h["start"] - s["at"]), h["semantic"]).alias("out"), h["end"].alias("at"))
-    new = F.aggregate("hits", zero, put, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    new = replaced()("text", "hits.start", "hits.end", "hits.semantic")
     tried = rows.withColumn("new", F.coalesce(new, F.col("text"))).withColumn("ok", parseable()("new"))
     return tried.withColumn("renamed", F.when(F.col("ok"), F.col("new")).otherwise(F.col("text"))).withColumn("replaced", F.when(F.col("ok"), F.coalesce(F.size("hits"), F.lit(0))).otherwise(0)).withColumn("reverted", ~F.col("ok")).drop("hits", "new", "ok")

@@ -57,13 +57,13 @@ def range_join(points: DataFrame, ranges: DataFrame, key: list[str], bucket: int
     """Points with the last-starting range that holds them: ``start <= offset < end``.
 
     Both sides are cut into buckets of offsets, so the join is an equi-join; a range appears once for
-    each bucket that it touches.
+    each bucket that it touches.  Equal points stay separate rows.
     """
     at = points.withColumn("__b", F.floor(F.col("offset") / bucket))
     cover = ranges.where("end > start").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
     j = at.join(cover, [*key, "__b"]).where("offset >= start and offset < end")
     last = Window.partitionBy(*key, *(c for c in points.columns if c not in key)).orderBy(F.desc("start"), "range_id")
-    return j.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r", "__b")
+    return j.withColumn("__r", F.rank().over(last)).where("__r = 1").drop("__r", "__b")
 
 
 def source_votes(placed: DataFrame, by: list[str]) -> DataFrame:

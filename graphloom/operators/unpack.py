@@ -58,13 +58,19 @@ def payloads(binaries: DataFrame, marker: bytes = MARKER, key: str = "path") ->
     return binaries.select(key, "content").mapInPandas(run, f"{key} string, payload_ix long, start long, size long, text string")
 
 
+#: White space as scripts count it.
+BLANK = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def signals(text: Column, size: Column) -> Column:
-    """Score of a payload: size and counts of what scripts hold, in its first 200,000 characters."""
-    head = F.substring(text, 1, 200_000)
-    n = lambda p: F.regexp_count(head, F.lit(p))
-    iife = F.substring(text, 1, 4096).rlike(r"\(function\s*\(\s*exports\s*,\s*require\s*,\s*module")
-    code = F.substring(text, 1, 4096).contains("@bytecode")
-    score = F.log10(F.greatest(size, F.lit(1))) * 100 + F.when(iife, 500).otherwise(0) + F.when(code, 200).otherwise(0) + F.least(n(r"\bfunction\b"), F.lit(1000)) * 0.5 + F.least(n(r"\bvar\b"), F.lit(1000)) * 0.3 + F.least(n(r"\brequire\("), F.lit(500)) * 0.4
+    """Score of a payload: size and counts of what scripts hold, in its first 200,000 bytes; wrapper in the
+    first 4,096 bytes, flag in the first 200 characters."""
+    first = lambda n: F.substring(text.cast("binary"), 1, n).cast("string")
+    sample, head = first(200_000), first(4096)
+    n = lambda p: F.regexp_count(sample, F.lit(p))
+    iife = head.rlike(rf"\(function{BLANK}*\(exports{BLANK}*,{BLANK}*require{BLANK}*,{BLANK}*module")
+    code = F.substring(head, 1, 200).rlike("@bytecode|@bun-cjs")
+    score = F.log10(F.greatest(size, F.lit(1))) * 100 + F.when(iife, 500).otherwise(0) + F.when(code, 200).otherwise(0) + F.least(n(rf"\bfunction{BLANK}"), F.lit(1000)) * 0.5 + F.least(n(rf"\bvar{BLANK}"), F.lit(1000)) * 0.3 + F.least(n(r"\brequire\("), F.lit(500)) * 0.4
     return F.when(size < 1024, 0.0).otherwise(score)
 
 

@@ -75,8 +75,29 @@ def document_ranges(spark: SparkSession, sf_dir: str, blocks: int = 64) -> DataF
 
 
 def event_offsets(spark: SparkSession, sf_dir: str, blocks: int = 64) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select((F.col("event_id") % blocks).alias("k"), "event_id", (F.col("event_id") * 7919 % 40_000).alias("offset"))
+    """Offsets over the whole length of each block's texts."""
+    total = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % blocks).alias("k")).agg(F.sum("n_chars").alias("total"))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % blocks).alias("k"), "event_id")
+    return e.join(total, "k").select("k", "event_id", (F.col("event_id") * 7919 % F.col("total")).alias("offset"))
+
+
+HELPERS = {"y": "var y=(a,b)=>()=>(b||a((b={exports:{}}).exports,b),b.exports);", "u": "var u=(a,b)=>()=>(a&&(b=a(a=0)),b);", "p0": "var p0=Object.create;"}
+
+
+def turn_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as bundles ``(bundle_id, code)``: helpers (some conversations have one or none), then a
+    statement for each turn: users' are module factories, assistants' functions that use the turn before, others' calls."""
+    k, conv = F.col("turn").cast("string"), F.col("conv_id")
+    word = F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12)
+    stmt = (
+        F.when(F.col("role") == "user", F.concat(F.lit("var m"), k, F.lit('=y((e,m)=>{var s="'), word, F.lit('";m.exports=s});')))
+        .when(F.col("role") == "assistant", F.concat(F.lit("function f"), k, F.lit("(a){return m"), (F.col("turn") - 1).cast("string"), F.lit('&&a?new Map:"'), word, F.lit('"}')))
+        .otherwise(F.concat(F.lit("init"), k, F.lit('("'), word, F.lit('");')))
+    )
+    turns = table(spark, sf_dir, "conversations").groupBy(conv.alias("bundle_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", stmt.alias("s")))), lambda x: x["s"]).alias("t"))
+    b = F.col("bundle_id") % 4
+    head = F.array_compact(F.array(F.when(b != 3, HELPERS["y"]), F.when(b < 2, HELPERS["u"]), F.lit(HELPERS["p0"])))
+    return turns.select("bundle_id", F.array_join(F.concat(head, "t"), "\n").alias("code"))
 
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ edges AS (SELECT DISTINCT bundle_id, src, defs.ord AS dst FROM uses JOIN defs US
 
 RANGES = r"""
 rg AS (SELECT doc_id % 64 AS k, doc_id AS range_id, n_chars, sum(n_chars) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id) AS upto FROM documents),
-ev AS (SELECT event_id % 64 AS k, event_id, event_type, event_id * 7919 % 40000 AS o FROM events),
+ev AS (SELECT event_id % 64 AS k, event_id, event_type, event_id * 7919 % total AS o FROM events JOIN (SELECT doc_id % 64 AS k, sum(n_chars) AS total FROM documents GROUP BY 1) n ON n.k = event_id % 64),
 hit AS (SELECT event_id, range_id, event_type FROM ev JOIN rg USING (k) WHERE o >= upto - n_chars AND o < upto)"""
 
 COUNTS = r"""
@@ -70,12 +70,37 @@ FP = "len(list_intersect(list_distinct(string_split({0}, ':')), list_distinct(st
 LIST5 = "CASE WHEN len({0}) = 0 THEN 'none' ELSE array_to_string({0}[1:{1}], ', ') || CASE WHEN len({0}) > {1} THEN ' (+' || (len({0}) - {1}) || ' more)' ELSE '' END END"
 
 PAYLOADS = r"""
-p AS (SELECT doc_id, source, CASE WHEN strlen(text) < 1024 THEN 0 ELSE round(log10(strlen(text)) * 100 + CASE WHEN contains(substring(text, 1, 4096), '@bytecode') THEN 200 ELSE 0 END
-  + least(len(regexp_extract_all(substring(text, 1, 200000), '\bfunction\b')), 1000) * 0.5::DOUBLE + least(len(regexp_extract_all(substring(text, 1, 200000), '\bvar\b')), 1000) * 0.3::DOUBLE
-  + least(len(regexp_extract_all(substring(text, 1, 200000), '\brequire\(')), 500) * 0.4::DOUBLE, 6) END AS score FROM documents)"""
+w AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN '// @bun @bun-cjs' || chr(10) || '(function(exports, require, module) {function  a(){} var' || chr(9) || 'x; require(''y'')' || chr(10) WHEN 1 THEN repeat('-', 201) ELSE '' END
+  || CASE WHEN doc_id % 5 < 2 THEN '@bytecode function' || chr(9) || 'f function( var, var' || chr(10) || 'g require (' ELSE '' END || text AS t FROM documents),
+p AS (SELECT doc_id, source, CASE WHEN strlen(t) < 1024 THEN 0 ELSE round(log10(strlen(t)) * 100 + CASE WHEN regexp_matches(substring(t, 1, 4096), '\(function\s*\(exports\s*,\s*require\s*,\s*module') THEN 500 ELSE 0 END
+  + CASE WHEN regexp_matches(substring(t, 1, 200), '@bytecode|@bun-cjs') THEN 200 ELSE 0 END
+  + least(len(regexp_extract_all(substring(t, 1, 200000), '\bfunction\s')), 1000) * 0.5::DOUBLE + least(len(regexp_extract_all(substring(t, 1, 200000), '\bvar\s')), 1000) * 0.3::DOUBLE
+  + least(len(regexp_extract_all(substring(t, 1, 200000), '\brequire\(')), 500) * 0.4::DOUBLE, 6) END AS score FROM w)"""
 
 SCRIPT = r"""sc AS (SELECT page_id AS bundle_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS code FROM pages)"""
 
+#: Statements of the bundles made of conversations, and their modules.
+CODE = r"""
+c0 AS (SELECT conv_id AS b, turn AS o, role AS r, substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 12) AS w FROM conversations),
+s0 AS (SELECT b, o, r, w, CASE r WHEN 'user' THEN 'm' || o WHEN 'assistant' THEN 'f' || o END AS nm,
+    CASE r WHEN 'user' THEN 'var m' || o || '=y((e,m)=>{var s="' || w || '";m.exports=s});' WHEN 'assistant' THEN 'function f' || o || '(a){return m' || (o - 1) || '&&a?new Map:"' || w || '"}' ELSE 'init' || o || '("' || w || '");' END AS s FROM c0
+  UNION ALL SELECT DISTINCT b, -3, 'y', '', 'y', 'var y=(a,b)=>()=>(b||a((b={exports:{}}).exports,b),b.exports);' FROM c0 WHERE b % 4 <> 3
+  UNION ALL SELECT DISTINCT b, -2, 'u', '', 'u', 'var u=(a,b)=>()=>(a&&(b=a(a=0)),b);' FROM c0 WHERE b % 4 < 2
+  UNION ALL SELECT DISTINCT b, -1, 'p', '', 'p0', 'var p0=Object.create;' FROM c0),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY o) - 1 AS ord, r = 'user' AND b % 4 <> 3 AS cjs, min(CASE WHEN r = 'user' AND b % 4 <> 3 THEN o END) OVER (PARTITION BY b) AS first_cjs FROM s0),
+st AS (SELECT *, CASE WHEN r = 'y' THEN 'RUNTIME_HELPER.__commonJS' WHEN r = 'u' THEN 'RUNTIME_HELPER.__esm' WHEN r = 'p' THEN 'RUNTIME_HELPER.preamble' WHEN cjs THEN 'MODULE_FACTORY.__commonJS' WHEN r = 'user' THEN 'VAR_DECL' WHEN r = 'assistant' THEN 'FUNCTION_DECL' ELSE 'EXPRESSION' END AS category,
+    CASE WHEN o < 0 THEN 'RUNTIME' WHEN cjs THEN 'CJS' ELSE 'None' END AS wrap_kind,
+    CASE WHEN r = 'y' THEN 'y → __commonJS' WHEN r = 'u' THEN 'u → __esm' WHEN cjs THEN nm || ' (via __commonJS)' ELSE coalesce(nm, '-') END AS name,
+    CASE WHEN first_cjs IS NULL OR o < first_cjs THEN 'RUNTIME' WHEN cjs THEN 'CJS' ELSE 'None' END AS kind FROM s1),
+pl AS (SELECT *, dense_rank() OVER (PARTITION BY b ORDER BY CASE WHEN kind = 'RUNTIME' THEN -9 ELSE o END) - 1 AS module_id, length(s) AS len FROM st),
+mo AS (SELECT b, module_id, any_value(kind) AS kind, arg_min(nm, o) FILTER (nm IS NOT NULL) AS first_name, string_agg(s, chr(10) ORDER BY o) AS t, CASE WHEN count(*) FILTER (r = 'user') > 0 THEN 2 * count(*) FILTER (r = 'user') + count(*) - 1 ELSE count(*) END AS n,
+    coalesce(array_to_string(list_sort(list_distinct(list(w) FILTER (length(w) >= 2))), '|'), '') AS strings, coalesce(string_agg(CASE r WHEN 'y' THEN 'AF:AF' WHEN 'u' THEN 'AF:AF' WHEN 'user' THEN 'AF' WHEN 'assistant' THEN 'NEW:RET:FD' END, ':' ORDER BY o), '') AS fp, max(o) AS o FROM pl GROUP BY b, module_id),
+co AS (SELECT b, string_agg(s, chr(10) ORDER BY o) AS code FROM st GROUP BY b)"""
+MODULE_FILE = "'mod_' || printf('%04d', module_id) || '_' || CASE kind WHEN 'RUNTIME' THEN 'RUNTIME' ELSE first_name END || '.js'"
+DECLARED = "FROM st WHERE b % 7 <> 0 AND r IN ('user', 'assistant')"
+LONGER = "CASE r WHEN 'user' THEN 'mod_' || o ELSE 'fun_' || o END"
+
+
 
 def _round_two() -> str:
     """Two synchronous rounds of name propagation, unrolled."""
@@ -103,7 +128,7 @@ ORACLES = {
     "graph_stats": f"WITH {DOCS} SELECT source, count(*) AS modules, count(semantic_name) AS named, CAST(sum(len(strings)) AS BIGINT) AS strings, count(*) FILTER (ast_fingerprint <> '') AS fingerprints, CAST(sum(bytes) AS BIGINT) AS bytes, round(count(semantic_name) / count(*), 6) AS named_ratio FROM m GROUP BY source",
     "largest_modules": f"WITH {DOCS} SELECT id, ord, bytes FROM m ORDER BY bytes DESC, ord LIMIT 15",
     "largest_per_source": f"WITH {DOCS} SELECT source, id, ord, bytes, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bytes DESC, ord) AS rank FROM m) WHERE rank <= 5",
-    "string_search": f"WITH {DOCS} SELECT DISTINCT id FROM (SELECT id, unnest(strings) AS s FROM m) WHERE regexp_matches(s, '(?i)log|debug|trace')",
+    "string_search": f"WITH {DOCS} SELECT DISTINCT id FROM (SELECT id, unnest(strings) AS s FROM m) WHERE regexp_matches(s, '(?i)th.*nd|que l|der ')",
     "string_samples": f"WITH {DOCS} SELECT id, coalesce(array_to_string(list_filter(strings, lambda s: length(s) > 4 AND s NOT IN ('__esModule', 'default', 'function', 'object', 'string', 'number', 'undefined', 'null', 'true', 'false'))[1:6], '|'), '') AS sample FROM m",
     "edge_degrees": f"WITH {EDGES} SELECT * FROM deg",
     "edge_hubs": f"WITH {EDGES} SELECT id, fan_in, row_number() OVER (ORDER BY fan_in DESC, id) AS rank FROM deg QUALIFY rank <= 10",
@@ -147,21 +172,21 @@ ORACLES = {
         z AS (SELECT lt.id AS t_id, lt.ord AS t_ord, fr.id AS r_id, fr.ord AS r_ord, {FP.format("lt.ast_fingerprint", "fr.ast_fingerprint")} AS score FROM lt, fr), y AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM z WINDOW w AS (PARTITION BY t_id ORDER BY score DESC, r_ord))
         SELECT t_id, r_id, round(score * 0.8::DOUBLE, 9) AS confidence FROM y WHERE k = 1 AND score >= 0.7::DOUBLE AND (second = 0 OR score >= second * 1.2::DOUBLE) QUALIFY row_number() OVER (PARTITION BY r_id ORDER BY t_ord) = 1""",
     "fingerprint_similarity": f"WITH {DOCS} SELECT a.id, CASE WHEN a.ast_fingerprint <> '' AND b.ast_fingerprint <> '' THEN round({FP.format('a.ast_fingerprint', 'b.ast_fingerprint')}, 9) ELSE 0 END AS similarity FROM m a JOIN m b ON b.ord = a.ord + 1",
-    "neighbour_round": f"""WITH {SEEDS}, ring AS (SELECT id, 'mod:' || (ord + unnest([2, 4, 6])) AS near, true AS o, ord FROM m), ed AS (SELECT id, near, o, ord % 2 AS side FROM ring UNION ALL SELECT near, id, false, ord % 2 FROM ring),
+    "neighbour_round": f"""WITH {DOCS}, t AS (SELECT * FROM m WHERE ord % 2 = 0), r AS (SELECT * FROM m WHERE ord % 2 = 1), seeds AS (SELECT t.id AS t_id, r.id AS r_id FROM t JOIN r ON r.ord = t.ord + 1 WHERE (t.ord // 2) % 3 <> 0), ring AS (SELECT id, 'mod:' || (ord + unnest([2, 4, 6])) AS near, true AS o, ord FROM m), ed AS (SELECT id, near, o, ord % 2 AS side FROM ring UNION ALL SELECT near, id, false, ord % 2 FROM ring),
         seen AS (SELECT ed.id, seeds.r_id AS rn, o FROM ed JOIN seeds ON seeds.t_id = ed.near WHERE side = 0 AND ed.id NOT IN (SELECT t_id FROM seeds)), tot AS (SELECT id, count(*) AS n FROM seen GROUP BY id),
         v AS (SELECT seen.id, b.near AS r_id, count(*) AS score FROM seen JOIN ed b ON b.side = 1 AND b.id = seen.rn AND b.o <> seen.o WHERE b.near NOT IN (SELECT r_id FROM seeds) GROUP BY ALL),
         w AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM v WINDOW w AS (PARTITION BY id ORDER BY score DESC, r_id))
         SELECT w.id AS t_id, w.r_id, round(least(0.95::DOUBLE, 0.5::DOUBLE + score / n * 0.3::DOUBLE + CASE WHEN x.ast_fingerprint <> '' AND y.ast_fingerprint <> '' THEN {FP.format("x.ast_fingerprint", "y.ast_fingerprint")} ELSE 0 END * 0.3::DOUBLE), 9) AS confidence
         FROM w JOIN tot USING (id) JOIN t x ON x.id = w.id JOIN r y ON y.id = w.r_id WHERE k = 1 AND score >= 2 AND score > second QUALIFY row_number() OVER (PARTITION BY w.r_id ORDER BY x.ord) = 1""",
     "set_operations": f"WITH {DOCS} SELECT a.id, len(list_distinct(list_concat(a.strings, b.strings))) AS n_union, len(list_intersect(a.strings, b.strings)) AS n_both, len(a.strings) - len(list_intersect(a.strings, b.strings)) AS n_only, least(50, len(list_distinct(list_concat(a.strings, b.strings)))) AS n_kept FROM m a JOIN m b ON b.ord = a.ord + 1",
-    "statement_comments": f"""WITH {DOCS} SELECT id AS name, '/* === [' || CASE WHEN length(ord::VARCHAR) >= 4 THEN substring(ord::VARCHAR, 1, 4) ELSE lpad(ord::VARCHAR, 4, '0') END || '] TYPE: VAR_DECL.' || "wrapKind" || ' | WRAPKIND: ' || "wrapKind" || ' | NAME: ' || id || ' | LINES: ' || ord || '-' || (ord + 1) || ' | BYTES: ' || bytes || ' === */' AS comment FROM m""",
+    "statement_comments": f"""WITH {DOCS} SELECT id AS name, '/* === [' || printf('%04d', ord * 101) || '] TYPE: VAR_DECL.' || "wrapKind" || ' | WRAPKIND: ' || "wrapKind" || ' | NAME: ' || id || ' | LINES: ' || ord || '-' || (ord + 1) || ' | BYTES: ' || bytes || ' === */' AS comment FROM m""",
     "name_headers": f"""WITH {VERSIONS}, h AS (SELECT id, '// name: ' || CASE WHEN semantic_name IS NOT NULL THEN semantic_name || ' (' || CAST(round(semantic_confidence * 100) AS INT) || '%)' ELSE 'unnamed' END || chr(10) || '// source: ' || coalesce(semantic_source, 'none') || chr(10) || '// depends on: ' || {LIST5.format("deps_out", 5)} || chr(10) || '// used by: ' || id || chr(10) || '// strings: ' || coalesce(array_to_string(list_transform(strings[1:3], lambda s: substring(s, 1, 30)), ' | '), '') || chr(10) AS h FROM a) SELECT id, md5(h) AS header_md5, length(h) AS header_length FROM h""",
     "doc_headers": f"""WITH {VERSIONS}, nm AS (SELECT id, coalesce(semantic_name, minified_name) AS n FROM a), dp AS (SELECT a.id, coalesce(x.n, deps_out[1]) || ', ' || coalesce(y.n, deps_out[2]) AS l FROM a LEFT JOIN nm x ON x.id = deps_out[1] LEFT JOIN nm y ON y.id = deps_out[2])
         SELECT id, md5('/**' || chr(10) || ' * @module ' || id || chr(10) || ' * @name ' || n || chr(10) || ' * @source ' || coalesce(source_file, 'unknown') || chr(10) || ' * @matched ' || coalesce(semantic_source, 'none') || chr(10) || ' * @wrap ' || "wrapKind" || chr(10) || ' * @imports ' || l || chr(10) || ' * @importedBy 1' || chr(10) || ' * @stats ' || "stmtCount" || ' statements, ' || bytes || ' bytes' || chr(10) || ' */' || chr(10)) AS header_md5 FROM a JOIN nm USING (id) JOIN dp USING (id)""",
-    "find_modules": f"""WITH {DOCS}, f AS (SELECT CASE WHEN doc_id * 2 > 9999 THEN substring((doc_id * 2)::VARCHAR, 1, 4) ELSE lpad((doc_id * 2)::VARCHAR, 4, '0') END AS num, doc_id * 3 AS n FROM documents)
-        SELECT 'mod_' || num || '_m' || n || '.js' AS filename, coalesce(x.id, y.id) AS id FROM f LEFT JOIN m x ON x.minified_name = 'm' || n LEFT JOIN m y ON y.ord = num::INT AND num <> '0000' """,
+    "find_modules": f"""WITH {DOCS}, f AS (SELECT doc_id * 134 AS num, doc_id * 3 AS n FROM documents)
+        SELECT 'mod_' || printf('%04d', num) || '_m' || n || '.js' AS filename, coalesce(x.i, y.i) AS id FROM f LEFT JOIN (SELECT 'mod:' || ord * 67 AS i, minified_name FROM m) x ON x.minified_name = 'm' || n LEFT JOIN (SELECT 'mod:' || ord * 67 AS i, ord * 67 AS o FROM m) y ON y.o = num""",
     "reassembled": "WITH t AS (SELECT source AS bkg_id, '#!/usr/bin/env node' || chr(10) || string_agg('// --- d' || doc_id || ' ---' || chr(10) || text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source) SELECT bkg_id, sha256(t) AS sha256, length(t) AS length FROM t",
-    "file_names": "WITH p AS (SELECT p_partkey, p_name, 'mod_' || CASE WHEN p_partkey > 9999 THEN substring(p_partkey::VARCHAR, 1, 4) ELSE lpad(p_partkey::VARCHAR, 4, '0') END || '_' || p_name || '.js' AS f FROM part) SELECT p_partkey, p_name AS name, p_name AS bare, sha256(f) AS sha256 FROM p",
+    "file_names": "WITH p AS (SELECT p_partkey, p_name, 'mod_' || printf('%04d', p_partkey * 37) || '_' || p_name || '.js' AS f FROM part) SELECT p_partkey, p_name AS name, p_name AS bare, sha256(f) AS sha256 FROM p",
     "runs_next": "SELECT o_orderstatus, max(o_orderkey % 120) + 1 AS next_run FROM orders GROUP BY 1",
     "event_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "ground_truth": "SELECT d.doc_id::VARCHAR AS minified, CASE WHEN length(text) > 800 THEN '1' ELSE '0' END AS semantic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = CASE WHEN length(text) > 800 THEN 1 ELSE 0 END",
@@ -169,13 +194,26 @@ ORACLES = {
     "count_status": f"WITH {COUNTS} SELECT status, count(*) AS n FROM st GROUP BY 1",
     "identifier_coverage": "WITH d AS (SELECT source, doc_id % 3 AS k FROM documents) SELECT source, count(*) FILTER (k = 0) AS identifiers_semantic, count(*) FILTER (k = 1) AS identifiers_placeholder, count(*) FILTER (k = 2) AS identifiers_raw, round(count(*) FILTER (k = 0) / count(*), 6) AS coverage_semantic, round((count(*) FILTER (k = 0) + count(*) FILTER (k = 1)) / count(*), 6) AS coverage_touched FROM d GROUP BY 1",
     "positional_zip": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents) SELECT a.doc_id, count(*) FILTER (a.x = b.x) AS identity, count(*) FILTER (a.x <> b.x AND length(b.x) >= 2) AS renamed, count(*) FILTER (a.x <> b.x AND length(b.x) < 2) AS short FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND b.k = a.k GROUP BY 1",
-    "script_statements": f"""WITH {SCRIPT} SELECT bundle_id, unnest([0, 1])::BIGINT AS ord, unnest(['VAR_DECL', 'EXPRESSION']) AS category, 'None' AS wrap_kind, unnest(['t', '-']) AS name, unnest([13, length(code) - 13])::BIGINT AS bytes FROM sc WHERE regexp_matches(code, '^var t="</p>";track\\([0-9]+\\);$')""",
-    "script_bundlers": f"WITH {SCRIPT} SELECT bundle_id, 'unknown' AS bundler, 'low' AS confidence FROM sc",
-    "script_bytes": f"WITH {SCRIPT} SELECT bundle_id, length(code) AS statement_bytes, 0::BIGINT AS gap_bytes, length(code) AS total, true AS balanced FROM sc",
-    "script_graph": f"""WITH {SCRIPT} SELECT bundle_id AS bkg_id, 'mod:t' AS id, 'RUNTIME' AS "wrapKind", 2::BIGINT AS "stmtCount", '</p>' AS strings, '' AS ast_fingerprint FROM sc""",
+    "script_statements": f"WITH {CODE} SELECT b AS bundle_id, ord, category, wrap_kind, name, length(s) AS bytes FROM st",
+    "script_bundlers": f"WITH {CODE} SELECT b AS bundle_id, CASE WHEN b % 4 = 3 THEN 'unknown' ELSE 'esbuild' END AS bundler, CASE WHEN b % 4 < 2 THEN 'high' WHEN b % 4 = 2 THEN 'medium' ELSE 'low' END AS confidence FROM co",
+    "script_bytes": f"WITH {CODE} SELECT b AS bundle_id, CAST(sum(length(s)) AS BIGINT) AS statement_bytes, count(*) - 1 AS gap_bytes, CAST(sum(length(s)) + count(*) - 1 AS BIGINT) AS total, true AS balanced FROM st GROUP BY b",
+    "script_graph": f"""WITH {CODE} SELECT b AS bkg_id, 'mod:' || first_name AS id, kind AS "wrapKind", n AS "stmtCount", strings, fp AS ast_fingerprint, CASE kind WHEN 'CJS' THEN 'mod:y' WHEN 'None' THEN 'mod:m' || (o - 1) ELSE '' END AS deps_out FROM mo""",
     "beautified_scripts": f"""WITH {SCRIPT} SELECT bundle_id, regexp_replace(code, ';', ';' || chr(10), 'g') AS text, round((length(code) + 2) / length(code), 2) AS ratio FROM sc""",
-    "split_modules": f"WITH {SCRIPT} SELECT bundle_id, 'mod_0000_RUNTIME.js' AS filename, 2::BIGINT AS stmt_count, md5(code) AS text_md5, true AS parseable FROM sc",
-    "script_renames": f"WITH {SCRIPT} SELECT bundle_id::VARCHAR AS module, md5('var counter = 1; ' || code || ' counter++;') AS renamed_md5, 2::BIGINT AS replaced FROM sc",
+    "split_modules": f"WITH {CODE} SELECT b AS bundle_id, {MODULE_FILE} AS filename, n AS stmt_count, md5(t) AS text_md5, true AS parseable FROM mo",
+    "annotated_scripts": f"""WITH {CODE} SELECT b AS bundle_id, md5(string_agg('/* === [' || printf('%04d', ord) || '] TYPE: ' || category || ' | WRAPKIND: ' || wrap_kind || ' | NAME: ' || name || ' | LINES: ' || (ord + 1) || '-' || (ord + 1) || ' | BYTES: ' || length(s) || ' === */' || chr(10) || s, chr(10) ORDER BY o)) AS text_md5 FROM st GROUP BY b""",
+    "traced_scripts": f"""WITH {CODE}, f AS (SELECT *, row_number() OVER (PARTITION BY b, module_id ORDER BY o) AS k FROM pl) SELECT b AS bundle_id, md5(string_agg(CASE WHEN k = 1 THEN '/* --- module ' || module_id || ' (' || kind || ') --- */' || chr(10) ELSE '' END || s, chr(10) ORDER BY o)) AS text_md5 FROM f GROUP BY b""",
+    "split_totals": f"""WITH {CODE} SELECT b AS bundle_id, kind AS "wrapKind", count(*) AS modules, CAST(sum(length(t)) AS BIGINT) AS bytes, count(*) AS parseable, printf('%.1f', CAST(sum(length(t)) * 100.0 / any_value(length(code)) AS DOUBLE)) AS coverage FROM mo JOIN co USING (b) GROUP BY b, kind""",
+    "aligned_declarations": f"WITH {CODE} SELECT b AS pair, nm AS minified, {LONGER} AS semantic {DECLARED}",
+    "aligned_scopes": f"WITH {CODE} SELECT b AS pair, nm AS minified, {LONGER} AS semantic {DECLARED} AND nm <> 'm2'",
+    "declaration_counts": f"WITH {CODE}, n AS (SELECT b, count(nm) + count(*) FILTER (r = 'user') AS t FROM st GROUP BY b) SELECT b AS pair, t, t + CASE WHEN b % 7 = 0 THEN 1 ELSE 0 END AS r, CASE WHEN b % 7 = 0 THEN 'close' ELSE 'exact' END AS status FROM n",
+    "names_in_use": f"WITH {CODE}, n AS (SELECT b, unnest(CASE r WHEN 'user' THEN [nm] WHEN 'assistant' THEN [nm, 'm' || (o - 1)] WHEN 'p' THEN ['p0'] WHEN 'system' THEN ['init' || o] ELSE [] END) AS name FROM st) SELECT DISTINCT b AS bundle_id, name FROM n",
+    "script_renames": f"""WITH {CODE}, x AS (SELECT b, string_agg(CASE r WHEN 'user' THEN replace(s, 'var m', 'var renamed_') WHEN 'assistant' THEN replace(s, 'return m', 'return renamed_') ELSE s END, chr(10) ORDER BY o) AS t, count(*) FILTER (r IN ('user', 'assistant')) AS k FROM st GROUP BY b)
+        SELECT b::VARCHAR AS module, md5(CASE WHEN b % 5 = 0 THEN code ELSE t END) AS renamed_md5, CASE WHEN b % 5 = 0 THEN 0 ELSE k END AS replaced, b % 5 = 0 AS reverted FROM x JOIN co USING (b)""",
+    "source_map_modules": """WITH d AS (SELECT *, doc_id % 3 = 0 AS given, unnest(['mod:a', 'mod:b']) AS id FROM documents), e AS (SELECT *, CASE WHEN id = 'mod:a' THEN 'src/' || lang || '.ts' WHEN length(text) > 16 THEN 'lib/' || source || '.js' END AS f FROM d)
+        SELECT doc_id::VARCHAR AS bkg_id, id, CASE WHEN f IS NOT NULL AND (NOT given OR doc_id % 2 = 0) THEN CASE WHEN id = 'mod:a' THEN lang ELSE source END WHEN given THEN 'given' END AS semantic_name, CASE WHEN f IS NOT NULL AND (NOT given OR doc_id % 2 = 0) THEN 0.95::DOUBLE WHEN given THEN 0.7::DOUBLE END AS semantic_confidence,
+        CASE WHEN f IS NOT NULL AND (NOT given OR doc_id % 2 = 0) THEN 'source_map_file' WHEN given THEN CASE WHEN doc_id % 2 = 0 THEN 'propagation' ELSE 'manual' END END AS semantic_source, f AS source_file FROM e""",
+    "source_map_identifiers": """WITH d AS (SELECT doc_id, unnest(['mod:a', 'mod:b']) AS module, unnest(['firstName', 'otherName']) AS semantic, unnest([substring(text, 1, 100), CASE WHEN length(text) > 16 THEN substring(text, 17, 100) ELSE '' END]) AS t FROM documents), x AS (SELECT *, regexp_extract(t, '^[a-zA-Z_$][a-zA-Z0-9_$]*', 0) AS minified FROM d)
+        SELECT doc_id::VARCHAR AS bkg_id, 'var:' || module || ':' || minified AS id, minified, semantic, 'semantic' AS state, 'source_map' AS source FROM x WHERE minified <> ''""",
     "unwrapped": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '// c' || chr(10) || text ELSE '(function (exports) {' || text || '})' END) AS body_md5 FROM documents",
-    "inferred_names": "SELECT '' AS module, 0::BIGINT AS ord, '' AS minified, '' AS semantic WHERE false",
+    "inferred_names": rf"WITH {CODE}, f AS (SELECT b, list_sort(regexp_extract_all(code, '\b[A-Za-z_$][\w$]{{0,3}}\b'))[1] AS m FROM co) SELECT b::VARCHAR AS module, 0::BIGINT AS ord, m AS minified, 'named_' || m AS semantic FROM f",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text
 from graphloom.operators import align, boundary, chain, features, graph, infer, match, ops, profile, rename, report, similarity, sourcemap, unpack
 from graphloom.plans import adapters as a
 from graphloom.sources import files
@@ -48,7 +49,7 @@ def string_inventory(spark, sf):
 
 @query
 def kind_profile(spark, sf):
-    """A1, A2, A5, S5."""
+    """A1, A2, S5."""
     return profile.category_profile(a.module_docs(spark, sf), "wrapKind", "bytes", ["source"])
 
 
@@ -73,7 +74,7 @@ def largest_per_source(spark, sf):
 @query
 def string_search(spark, sf):
     """P31."""
-    return ops.with_string(a.module_docs(spark, sf), "(?i)log|debug|trace").select("id")
+    return ops.with_string(a.module_docs(spark, sf), "(?i)th.*nd|que l|der ").select("id")
 
 
 @query
@@ -84,7 +85,7 @@ def string_samples(spark, sf):
 
 @query
 def edge_degrees(spark, sf):
-    """A13, A20."""
+    """A13."""
     return graph.degrees(a.part_edges(spark, sf)).select("id", "fan_out", "fan_in")
 
 
@@ -168,7 +169,7 @@ def pair_votes(spark, sf):
 
 @query
 def rename_claims(spark, sf):
-    """W10, X5, P34."""
+    """W10."""
     first = F.element_at(F.split("text", " "), 1)
     p = a.table(spark, sf, "documents").select(F.lit("b").alias("bkg_id"), F.col("source").alias("module"), (F.col("doc_id") % 20).alias("module_ord"), F.col("doc_id").alias("ord"), first.alias("semantic"))
     taken = a.table(spark, sf, "benchmark").select(F.lit("b").alias("bkg_id"), first.alias("name"))
@@ -217,7 +218,7 @@ def identifier_at(spark, sf):
 
 @query
 def url_names(spark, sf):
-    """Name from a path (scalar family), G11."""
+    """Name from a path (scalar family)."""
     return a.table(spark, sf, "pages").select("page_id", sourcemap.base_name(F.regexp_replace("url", r"[?#].*$", "")).alias("name"))
 
 
@@ -244,10 +245,7 @@ def module_edges(spark, sf):
 @query
 def free_runs(spark, sf):
     """Runs of turns without a kind."""
-    s = a.turn_statements(spark, sf)
-    w = Window.partitionBy("bundle_id").orderBy("ord")
-    s = s.withColumn("run", F.sum(F.when(F.col("kind") == "None", 0).otherwise(1)).over(w))
-    return s.where("kind = 'None'").groupBy("bundle_id", "run").agg(F.min("ord").cast("long").alias("first"), F.max("ord").cast("long").alias("last"), F.count(F.lit(1)).alias("n")).drop("run")
+    return boundary.free_runs(a.turn_statements(spark, sf), F.col("kind") == "None")
 
 
 @query
@@ -279,7 +277,7 @@ def sequential_clusters(spark, sf):
 
 @query
 def module_rollup(spark, sf):
-    """A3, P23, W6."""
+    """A3, P23."""
     s = a.turn_statements(spark, sf).withColumn("inner", F.lit(0)).withColumn("line_start", F.col("ord") * 2).withColumn("line_end", F.col("ord") * 2 + 1).withColumn("start", F.col("ord")).withColumn("end", F.col("ord") + 1).drop("kind")
     out = boundary.module_rollup(s, s.select("bundle_id", "ord", F.floor(F.col("ord") / 3).alias("module_id"), F.lit("CJS").alias("kind")))
     return out.select("bundle_id", "module_id", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "bytes", "stmt_count", "first_name")
@@ -312,9 +310,9 @@ def fingerprint_similarity(spark, sf):
 
 @query
 def neighbour_round(spark, sf):
-    """One synchronous round of the second technique."""
+    """One synchronous round of the second technique; two of three documents are matched beforehand."""
     t, r = a.halves(spark, sf)
-    seeds = similarity.string_seeds(t, r)
+    seeds = t.where("floor(ord / 2) % 3 <> 0").join(r.select((F.col("ord") - 1).alias("ord"), F.col("id").alias("r_id")), "ord").select(F.col("id").alias("t_id"), "r_id")
     ring = lambda df: df.select("id", F.explode(F.transform(F.array(*(F.col("ord") + k for k in (2, 4, 6))), lambda x: F.concat(F.lit("mod:"), x.cast("string")))).alias("near"), F.lit(True).alias("out"))
     both = lambda df: df.union(df.select(F.col("near").alias("id"), F.col("id").alias("near"), F.lit(False).alias("out")))
     te, re = both(ring(t)), both(ring(r))
@@ -359,7 +357,7 @@ def set_operations(spark, sf):
 @query
 def statement_comments(spark, sf):
     """P8."""
-    m = a.module_docs(spark, sf).select(F.col("ord"), F.concat(F.lit("VAR_DECL."), "wrapKind").alias("category"), F.col("wrapKind").alias("wrap_kind"), F.col("id").alias("name"), F.col("ord").alias("line_start"), (F.col("ord") + 1).alias("line_end"), "bytes")
+    m = a.module_docs(spark, sf).select((F.col("ord") * 101).alias("ord"), F.concat(F.lit("VAR_DECL."), "wrapKind").alias("category"), F.col("wrapKind").alias("wrap_kind"), F.col("id").alias("name"), (F.col("ord")).alias("line_start"), (F.col("ord") + 1).alias("line_end"), "bytes")
     return m.select("name", profile.header_comment(m).alias("comment"))
 
 
@@ -380,14 +378,14 @@ def doc_headers(spark, sf):
 @query
 def find_modules(spark, sf):
     """J12, J13."""
-    m = a.module_docs(spark, sf).withColumn("bkg_id", F.lit("b"))
-    f = a.table(spark, sf, "documents").select(F.lit("b").alias("bkg_id"), F.concat(F.lit("mod_"), F.lpad((F.col("doc_id") * 2).cast("string"), 4, "0"), F.lit("_m"), (F.col("doc_id") * 3).cast("string"), F.lit(".js")).alias("filename"))
+    m = a.module_docs(spark, sf).withColumn("bkg_id", F.lit("b")).withColumn("id", F.concat(F.lit("mod:"), (F.col("ord") * 67).cast("string")))
+    f = a.table(spark, sf, "documents").select(F.lit("b").alias("bkg_id"), F.concat(F.lit("mod_"), text.numbered(F.col("doc_id") * 134), F.lit("_m"), (F.col("doc_id") * 3).cast("string"), F.lit(".js")).alias("filename"))
     return report.find_module(f, m).select("filename", "id")
 
 
 @query
 def reassembled(spark, sf):
-    """P27, P9, P28."""
+    """P27."""
     f = a.table(spark, sf, "documents").select(F.col("source").alias("bkg_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), "text")
     return report.reassemble(f).select("bkg_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("length"))
 
@@ -395,7 +393,7 @@ def reassembled(spark, sf):
 @query
 def file_names(spark, sf):
     """IO6, IO13, IO14, P17."""
-    p = a.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("mod_"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.lit("_"), "p_name", F.lit(".js")).alias("file"), F.concat(F.lit("02_traced-"), "p_name").alias("stage"))
+    p = a.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("mod_"), text.numbered(F.col("p_partkey") * 37), F.lit("_"), "p_name", F.lit(".js")).alias("file"), F.concat(F.lit("02_traced-"), "p_name").alias("stage"))
     return p.select("p_partkey", files.split_name(F.col("file")).alias("name"), files.bare_stage(F.col("stage")).alias("bare"), files.file_hash(F.col("file").cast("binary")).alias("sha256"))
 
 
@@ -403,12 +401,12 @@ def file_names(spark, sf):
 def runs_next(spark, sf):
     """IO11, W11."""
     e = a.table(spark, sf, "orders").select(files.run_number(F.concat(F.lit("/out/RUN_"), F.lpad((F.col("o_orderkey") % 120).cast("string"), 3, "0"), F.lit("/x"))).alias("run"), "o_orderstatus")
-    return e.groupBy("o_orderstatus").agg((F.max("run") + 1).cast("long").alias("next_run"))
+    return files.next_runs(e, ("o_orderstatus",))
 
 
 @query
 def event_props(spark, sf):
-    """JSON scalar family, IO8."""
+    """JSON scalar family."""
     return a.table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
@@ -444,22 +442,30 @@ def identifier_coverage(spark, sf):
 
 @query
 def positional_zip(spark, sf):
-    """Words of neighbouring documents by place."""
+    """Words of neighbouring documents by place."""
     w = a.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     z = w.select("doc_id", "pos", F.col("word").alias("minified")).join(w.select((F.col("doc_id") - 1).alias("doc_id"), "pos", F.col("word").alias("semantic")), ["doc_id", "pos"])
     return align.name_quality(z, ["doc_id"])
 
 
+def _flagged(doc_id, text):
+    """Texts with what the score looks for before some of them, and what it must not count before others."""
+    k = doc_id % 5
+    return F.concat(F.when(k == 0, "// @bun @bun-cjs\n(function(exports, require, module) {function  a(){} var\tx; require('y')\n").when(k == 1, F.repeat(F.lit("-"), 201)).otherwise(""), F.when(k < 2, "@bytecode function\tf function( var, var\ng require (").otherwise(""), text)
+
+
 @query
 def payload_scores(spark, sf):
     """U4, A16."""
-    return a.table(spark, sf, "documents").select("doc_id", F.round(unpack.signals(F.col("text"), F.octet_length("text").cast("long")), 6).alias("score"))
+    t = _flagged(F.col("doc_id"), F.col("text"))
+    return a.table(spark, sf, "documents").select("doc_id", F.round(unpack.signals(t, F.octet_length(t).cast("long")), 6).alias("score"))
 
 
 @query
 def best_payload(spark, sf):
     """U5, S7."""
-    f = a.table(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("payload_ix"), F.octet_length("text").cast("long").alias("size"), "text")
+    f = a.table(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("payload_ix"), _flagged(F.col("doc_id"), F.col("text")).alias("text"))
+    f = f.withColumn("size", F.octet_length("text").cast("long"))
     return unpack.choose(f).select("path", "payload_ix", F.round("score", 6).alias("score"))
 
 
@@ -479,30 +485,30 @@ def carved_payloads(spark, sf):
 
 @query
 def script_statements(spark, sf):
-    """IO1, P2, P5, P7: the scripts of pages, parsed."""
-    c = profile.classify(profile.statements_of(a.page_scripts(spark, sf)))
+    """Bundles made of conversations, parsed."""
+    c = profile.classify(profile.statements_of(a.turn_bundles(spark, sf)))
     return c.select("bundle_id", F.col("ord").cast("long").alias("ord"), "category", "wrap_kind", "name", F.col("bytes").cast("long").alias("bytes"))
 
 
 @query
 def script_bundlers(spark, sf):
     """P3, P4, P24."""
-    b = a.page_scripts(spark, sf)
+    b = a.turn_bundles(spark, sf)
     return profile.bundle_type(b, profile.statements_of(b)).select("bundle_id", "bundler", "confidence")
 
 
 @query
 def script_bytes(spark, sf):
     """P10."""
-    b = a.page_scripts(spark, sf)
+    b = a.turn_bundles(spark, sf)
     return profile.byte_accounting(b, profile.statements_of(b)).select("bundle_id", "statement_bytes", "gap_bytes", "total", "balanced")
 
 
 @query
 def script_graph(spark, sf):
     """Scripts to graph modules."""
-    g = features.bundle_graph(a.page_scripts(spark, sf))
-    return g.select("bkg_id", "id", "wrapKind", F.col("stmtCount").cast("long").alias("stmtCount"), F.array_join("strings", "|").alias("strings"), "ast_fingerprint")
+    g = features.bundle_graph(a.turn_bundles(spark, sf))
+    return g.select("bkg_id", "id", "wrapKind", F.col("stmtCount").cast("long").alias("stmtCount"), F.array_join("strings", "|").alias("strings"), "ast_fingerprint", F.array_join("deps_out", ",").alias("deps_out"))
 
 
 @query
@@ -514,21 +520,108 @@ def beautified_scripts(spark, sf):
 @query
 def split_modules(spark, sf):
     """Scripts cut into modules."""
-    b = a.page_scripts(spark, sf)
+    b = a.turn_bundles(spark, sf)
     stmts = profile.statements_of(b)
     split = features.split_modules(b, boundary.module_rollup(stmts, boundary.assign_modules(stmts)))
     return split.select("bundle_id", "filename", F.col("stmt_count").cast("long").alias("stmt_count"), F.md5("text").alias("text_md5"), "parseable")
 
 
+@query
+def annotated_scripts(spark, sf):
+    """P8, P9."""
+    b = a.turn_bundles(spark, sf)
+    return profile.annotated_text(b, profile.classify(profile.statements_of(b))).select("bundle_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def traced_scripts(spark, sf):
+    """A comment where each module begins."""
+    b = a.turn_bundles(spark, sf)
+    stmts = profile.statements_of(b)
+    return boundary.boundary_text(b, stmts, boundary.assign_modules(stmts)).select("bundle_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def split_totals(spark, sf):
+    """A5."""
+    b = a.turn_bundles(spark, sf)
+    stmts = profile.statements_of(b)
+    out = features.split_stats(features.split_modules(b, boundary.module_rollup(stmts, boundary.assign_modules(stmts))), b)
+    return out.select("bundle_id", "wrapKind", "modules", F.col("bytes").cast("long").alias("bytes"), "parseable", "coverage")
+
+
+def _declared(spark, sf):
+    """Bundles beside the same ones with longer names; one of seven has a declaration more."""
+    ref = F.concat(F.replace(F.replace(F.col("code"), F.lit("var m"), F.lit("var mod_")), F.lit("function f"), F.lit("function fun_")), F.when(F.col("bundle_id") % 7 == 0, "\nvar extra=1;").otherwise(""))
+    return a.turn_bundles(spark, sf).select(F.col("bundle_id").alias("pair"), F.col("code").alias("target_code"), ref.alias("ref_code"))
+
+
+@query
+def aligned_declarations(spark, sf):
+    """J17, G14."""
+    return align.align_declarations(_declared(spark, sf)).where("minified <> semantic").select("pair", "minified", "semantic")
+
+
+@query
+def aligned_scopes(spark, sf):
+    """One name is reserved."""
+    return align.align_scopes(_declared(spark, sf), spark.createDataFrame([("m2",)], "name string")).select("pair", "minified", "semantic")
+
+
+@query
+def declaration_counts(spark, sf):
+    """A14."""
+    return align.declaration_quality(_declared(spark, sf)).select("pair", F.col("t").cast("long").alias("t"), F.col("r").cast("long").alias("r"), "status")
+
+
+@query
+def names_in_use(spark, sf):
+    """X5."""
+    m = a.turn_bundles(spark, sf).select("bundle_id", F.col("code").alias("text"))
+    return rename.names_in_use(m, ["bundle_id"]).where("length(name) >= 2 and name rlike '[0-9]'").select("bundle_id", "name")
+
+
+def _mapped(spark, sf):
+    """Documents as bundles of two modules with source maps: ``(modules, maps, bundles)``."""
+    d = a.table(spark, sf, "documents").withColumn("bkg_id", F.col("doc_id").cast("string"))
+    text_ = F.to_json(F.struct(F.array(F.concat(F.lit("src/"), "lang", F.lit(".ts")), F.concat(F.lit("lib/"), "source", F.lit(".js"))).alias("sources"), F.array(F.lit("firstName"), F.lit("otherName")).alias("names"), F.lit("AAAAA,gBCAAC").alias("mappings")))
+    maps = files.parse_source_maps(d.select("bkg_id", text_.alias("json")), "json").select("bkg_id", "map.sources", "map.names", "map.mappings")
+    given = F.col("doc_id") % 3 == 0
+    spans = F.explode(F.array(F.struct(F.lit("mod:a").alias("id"), F.lit(0).alias("x"), F.lit(16).alias("y")), F.struct(F.lit("mod:b").alias("id"), F.lit(16).alias("x"), F.length("text").alias("y"))))
+    m = d.select("bkg_id", spans.alias("s"), F.when(given, "given").alias("semantic_name"), F.when(given, F.lit(0.7)).alias("semantic_confidence"), F.when(given, F.when(F.col("doc_id") % 2 == 0, "propagation").otherwise("manual")).alias("semantic_source"), F.lit(None).cast("string").alias("source_file"))
+    m = m.select("bkg_id", "s.id", "semantic_name", "semantic_confidence", "semantic_source", "source_file", F.struct(F.lit(0).alias("startLine"), F.lit(0).alias("endLine"), F.col("s.x").alias("charStart"), F.col("s.y").alias("charEnd")).alias("range"))
+    return m, maps, d.select("bkg_id", F.col("text").alias("code"))
+
+
+@query
+def source_map_modules(spark, sf):
+    """IO8, G11."""
+    return sourcemap.enrich(*_mapped(spark, sf))[0].select("bkg_id", "id", "semantic_name", "semantic_confidence", "semantic_source", "source_file")
+
+
+@query
+def source_map_identifiers(spark, sf):
+    """G11, P32."""
+    return sourcemap.enrich(*_mapped(spark, sf))[1].select("bkg_id", "id", "minified", "semantic", "state", "source")
+
+
 @query
 def script_renames(spark, sf):
     """R1, R2, R3, R4."""
-    m = a.page_scripts(spark, sf).select(F.lit("b").alias("bkg_id"), F.col("bundle_id").cast("string").alias("module"), F.concat(F.lit("var ab = 1; "), "code", F.lit(" ab++;")).alias("text"))
-    pairs = m.select("bkg_id", "module", F.lit("ab").alias("minified"), F.lit("counter").alias("semantic"))
-    return rename.apply_renames(m, pairs, ["bkg_id"]).select("module", F.md5("renamed").alias("renamed_md5"), F.col("replaced").cast("long").alias("replaced"))
+    m = a.turn_bundles(spark, sf).select(F.lit("b").alias("bkg_id"), F.col("bundle_id").cast("string").alias("module"), F.col("code").alias("text"))
+    turns = a.table(spark, sf, "conversations").where("role = 'user'")
+    name = F.when(F.col("conv_id") % 5 == 0, "class").otherwise(F.concat(F.lit("renamed_"), F.col("turn").cast("string")))  # no name: these texts are put back
+    pairs = turns.select(F.lit("b").alias("bkg_id"), F.col("conv_id").cast("string").alias("module"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("minified"), name.alias("semantic"))
+    return rename.apply_renames(m, pairs, ["bkg_id"]).select("module", F.md5("renamed").alias("renamed_md5"), F.col("replaced").cast("long").alias("replaced"), "reverted")
+
+
+def naming_client(prompt: str) -> str:
+    """Answers with a name for the first short name of a prompt, and with a pair that is not plausible."""
+    first = prompt.split("Short names: ", 1)[1].split("\n", 1)[0].split(", ")[0]
+    return f'Here it is:\n```json\n[{{"minified": "{first}", "semantic": "named_{first}"}}, {{"minified": "{first}", "semantic": "x"}}]\n```'
 
 
 @query
 def inferred_names(spark, sf):
-    """L1, IO15: with the silent client there are no suggestions."""
-    return infer.infer(a.page_scripts(spark, sf).select(F.col("bundle_id").cast("string").alias("module"), "code"))
+    """L1, IO15, F-prompt, F-pred: a client that answers from the prompt."""
+    return infer.infer(a.turn_bundles(spark, sf).select(F.col("bundle_id").cast("string").alias("module"), "code"), naming_client)

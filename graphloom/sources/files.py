@@ -99,9 +99,14 @@ def write_module_files(split: DataFrame, path: str, key: str = "bundle_id") -> N
     split.select(key, F.regexp_replace("filename", r"\.js$", "").alias("module"), "text").write.partitionBy(key, "module").option("lineSep", "\n").text(path)
 
 
+def next_runs(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``next_run``: one more than the highest run number, for each group."""
+    return runs.groupBy(*by).agg((F.coalesce(F.max("run"), F.lit(0)) + 1).cast("long").alias("next_run"))
+
+
 def next_run(runs: DataFrame) -> int:
     """One more than the highest run number."""
-    return (runs.agg(F.max("run")).first()[0] or 0) + 1
+    return next_runs(runs).first()[0]
 
 
 def run_number(folder: Column, prefix: str = "RUN_") -> Column:
