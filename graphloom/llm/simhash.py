@@ -8,11 +8,11 @@ other and every outer member is within 3 of every inner one, so linking each mem
 point's smallest inner member keeps exactly the components of the full relation, with no pairs
 enumerated; each link is verified all the same.  A point's members are bounded by the ball (1,057).
 
-Before that an exact filter drops fingerprints that cannot have a partner: of eight bit blocks,
-three differing bits leave five untouched, so a partner shares one of the 56 five-block keys.
+Before that an exact filter drops fingerprints that cannot have a partner: of eight (or twelve) bit blocks,
+three differing bits leave five (nine) untouched, so a partner shares a key of so many blocks.
 Without it every document would shuffle 1,057 rows.
 
-Defined results: null and empty texts have fingerprint zero and are linked like any other; texts
+Defined results: null ids count as no id (a component of such rows only has a null component_id); null and empty texts have fingerprint zero and are linked like any other; texts
 of fewer words than a shingle form one shingle; repeated rows share a fingerprint and are linked;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import connected_components, release, written
 
 
+#: Distinct fingerprints from which on the filter takes longer keys: at 2^30, one in 18 has a chance partner by eight blocks.
+MANY = 1 << 30
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the text's word shingles, as an unsigned integer."""
     parts = (text or "").encode().lower().split()
@@ -73,9 +77,9 @@ def _signed(masks: list[int]) -> list[int]:
 
 
 def block_keys(blocks: int = 8, keep: int = 5) -> list[int]:
-    """Masks of every choice of ``keep`` of ``blocks`` bit blocks."""
-    size = 64 // blocks
-    return _signed([sum(((1 << size) - 1) << (size * b) for b in chosen) for chosen in combinations(range(blocks), keep)])
+    """Masks of every choice of ``keep`` of ``blocks`` bit blocks of about the same size."""
+    edges = [64 * b // blocks for b in range(blocks + 1)]
+    return _signed([sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen) for chosen in combinations(range(blocks), keep)])
 
 
 def ball() -> tuple[list[int], list[int]]:
@@ -85,12 +89,14 @@ def ball() -> tuple[list[int], list[int]]:
     return _signed(inner), _signed(outer)
 
 
-def candidates(fps: DataFrame) -> DataFrame:
-    """Those of the distinct ``fps(fp)`` that share a five-block key with another one.
+def candidates(fps: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Those of the distinct ``fps(fp)`` that share a key of all but three blocks with another one.
 
-    The join is shuffled at every size, so disk and network grow in proportion.
+    Eight blocks (56 keys of 40 bits) up to ``MANY`` fingerprints, beyond that twelve (220 of 48 bits), so that
+    chance partners stay rare; either is exact.  The join is shuffled at every size, so disk and network grow in proportion.
     """
-    masks = F.array(*(F.lit(m) for m in block_keys()))
+    blocks = blocks or (8 if fps.count() <= MANY else 12)
+    masks = F.array(*(F.lit(m) for m in block_keys(blocks, blocks - 3)))
     keyed = fps.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     # a table of its own, so that the join may split a key that very many fingerprints have
     shared = written(keyed.groupBy("k", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "key"), "shared")
