@@ -2,14 +2,14 @@
 
 Rules judge the urls they fit.  Their verdicts seed the hosts: a host's trust seed is its share of
 all allowed pages, its distrust seed its share of all blocked ones.  Trust flows along links
-(personalised PageRank), distrust against them, both by power iteration over distinct host edges;
+(personalised PageRank), distrust against them, both by power iteration over distinct host edges until scores settle;
 the flow of a host with no link onward ends there.  A host is blocked when its distrust exceeds
 its trust by more than ``margin``.  Pages that no rule fits take their host's verdict.
 
 Hosts that hold a large share of the pages (at most ``heavy_k``) are broadcast; others meet their
 pages in one shuffle.
 
-Defined results: null urls and urls without ``://`` have empty host and path and take the verdict
+Defined results: null and repeated ids are pages like others; null urls and urls without ``://`` have empty host and path and take the verdict
 of the empty host; null html has no links; repeated rows count as separate pages; a host with
 neither trust nor distrust is allowed; other columns are ignored.
 """
@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import discard, written
 
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -55,21 +55,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """``(kind, host, score)`` from ``edges(kind, src, dst, p)`` and ``seeds(kind, host, seed)``."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 1000) -> DataFrame:
+    """``(kind, host, score)`` from ``edges(kind, src, dst, p)`` and ``seeds(kind, host, seed)``.
+
+    Ends when a round changes the scores (of 1 in all) by less than ``tolerance`` together; raises after ``max_rounds``.
+    """
     seeds = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = seeds
     if edges.isEmpty():
-        return scores
-    for k in range(rounds):
-        flow = scores.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        scores = flow.union(seeds).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 5 == 4:
-            scores = written(scores, "scores")
-    return scores
-
-
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, rounds: int = 20, margin: float = 0.0, heavy_k: int = 512) -> DataFrame:
+        return seeds
+    # every round reads a table, so that the join may split a host with very many links
+    scores = written(seeds.withColumn("change", F.col("score")), "scores")
+    for _ in range(max_rounds):
+        now = scores.select("kind", "host", "score")
+        flow = now.withColumnRenamed("host", "src").join(edges.hint("merge"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"), F.lit(0.0).alias("old"))
+        rows = flow.union(seeds.withColumn("old", F.lit(0.0))).union(now.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+        moved = written(rows.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.abs(F.sum("score") - F.sum("old")).alias("change")), "scores")
+        discard(scores)
+        scores = moved
+        if (scores.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+            return scores.drop("change")
+    raise RuntimeError(f"scores not settled after {max_rounds} rounds")
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, tolerance: float = 1e-4, margin: float = 0.0, heavy_k: int = 512) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, host_trust, host_distrust``."""
     url = F.col(url_col)
     seen = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -86,7 +94,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     named = hosts.select("host", "n")
     for kind, count, sum_ in kinds:
         seeds = hosts.where(F.col(count) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(count) / F.lit(float(sum_))).alias("seed"))
-        got = propagate(edges.where(F.col("kind") == kind), seeds, damping, rounds)
+        got = propagate(edges.where(F.col("kind") == kind), seeds, damping, tolerance)
         named = named.join(got.select("host", F.col("score").alias(kind)), "host", "left")
     for kind in ("trust", "distrust"):
         named = named.withColumn(f"host_{kind}", F.round(F.coalesce(F.col(kind), F.lit(0.0)), 12) if kind in named.columns else F.lit(0.0))
