@@ -25,23 +25,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests are; ``tracked`` bounds the summary.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("sha"), F.char_length(text).alias("len")), "digests")
+    rows = written(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("sha"), F.char_length(text).alias("len"), F.monotonically_increasing_id().alias("row")), "digests")
     key = F.xxhash64("sha")
     total, top = rows.select(F.count(F.lit(1)), F.expr(f"approx_top_k(xxhash64(sha), {heavy_k}, {tracked})")).first()
     found = [x["item"] for x in top or [] if x["count"] * heavy_k >= total and x["count"] > 1]
-    best = F.struct(F.col("len"), F.col("id").isNotNull(), -F.col("id"))
+    best = F.struct(F.col("len"), F.col("id").isNotNull(), -F.col("id"), F.col("row"))
     heavy = (
         rows.where(key.isin(found) if found else F.lit(False))
         .groupBy("sha").agg(F.max(best).alias("w"), F.count(F.lit(1)).alias("size"))
         .where(F.col("size") * heavy_k >= total)
-        .select("sha", "size", (-F.col("w").getField("col3")).alias("keep_id"), F.col("w").getField("len").alias("top_len"))
+        .select("sha", "size", (-F.col("w").getField("col3")).alias("keep_id"), F.col("w").getField("row").alias("keep_row"))
     )
     marked = rows.join(F.broadcast(heavy), "sha", "left")
-    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("top_len"))
     out = ("id", "keep_id", "size", "kept", "sha")
-    hot = marked.where(F.col("size").isNotNull())
-    lost = hot.where(~same).withColumn("kept", F.lit(False)).select(*out)
-    won = hot.where(same).withColumn("kept", F.row_number().over(Window.partitionBy("sha").orderBy("len")) == 1).select(*out)
+    hot = marked.where(F.col("size").isNotNull()).withColumn("kept", F.col("row") == F.col("keep_row")).select(*out)
     group = Window.partitionBy("sha")
     order = group.orderBy(F.desc("len"), F.asc_nulls_last("id"))
     rest = (
@@ -49,4 +46,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("keep_id", F.first("id").over(order)).withColumn("kept", F.row_number().over(order) == 1)
         .withColumn("size", F.count(F.lit(1)).over(group)).select(*out)
     )
-    return lost.union(won).union(rest).select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return hot.union(rest).select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
