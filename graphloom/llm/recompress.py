@@ -3,8 +3,7 @@
 Names are global: a name is a hash of what it stands for, so every executor gives equal substrings
 equal names with no dictionary.  In each round a salted bit of its name makes every symbol *left*
 or *right*; a left symbol followed by a right one becomes one symbol, named by the pair.  Equal
-neighbours never pair, so a run stays a run and is named once per document with its length (the
-count that goes with its key).  Whether two symbols join depends on nothing but these two, so after
+neighbours never pair, so a run stays a run; its windows share one key, which travels once per document with its count.  Whether two symbols join depends on nothing but these two, so after
 three rounds (symbols of at most 8 words) two equal stretches of text agree in all symbols except
 within 7 words of their ends.
 
@@ -13,10 +12,13 @@ wherever its words occur; so are the symbols from such a cut on until 7 words ar
 offset 28 at most).  The cut with the least of these high-level names is the window's anchor, and
 the name of the 28 words around it (7 before), which every window with this anchor holds, is its
 key: windows that are equal share a key.  Only keys travel to be counted (a fifth as many as words),
-then only windows whose key occurs again are named in full (128 bits over 35 words), and counting
-those names verifies the repeats.  Documents with identical text are named once, with their number as weight.
+then only windows whose key occurs again are named in full (128 bits over 35 words, from two independent names of each
+word), and counting those names verifies the repeats.  Documents with identical text are named once, with their number as weight.
 
-Defined results: null and empty texts have no words; windows never cross documents; a document
+All rounds of a document run in the task that holds it: since names are hashes, they need no exchange.  A table of
+(document, place, symbol) that Spark rounds would name holds a row of 20 bytes for each word, several times the input on disk.
+
+Defined results: null ids are ids like others; null and empty texts have no words; windows never cross documents; a document
 shorter than a window loses nothing; repeated rows count as separate documents; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -89,13 +91,21 @@ class _Words(dict):
         return name
 
 
-_words = _Words()
+class _Others(dict):
+    """A second name of each word, independent of the first."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = self[word] = xxhash.xxh3_64_intdigest(word, 5)
+        return name
+
+
+_words, _others = _Words(), _Others()
 
 
-def name_words(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1_000_000:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, words), U, len(words))
+def name_words(words: list[bytes], known: dict = _words) -> np.ndarray:
+    if len(known) > 1_000_000:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), U, len(words))
 
 
 def anchors(names: np.ndarray, doc: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,9 +206,10 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
                     hit[i:j] = np.isin(key[i:j], batch.column(3)[first + k].values.to_numpy().view(U))
                 s = start[hit]
                 rows = first + doc[s]
+                again = np.concatenate([name_words(w, _others) for w in words]) if len(s) else names
                 for k in range(0, len(s), 1 << 17):
                     p, r = s[k : k + (1 << 17)], rows[k : k + (1 << 17)]
-                    full = [_signed(_spans(names, s, s + window, m)[k : k + (1 << 17)]) for m in (M1, M2)]
+                    full = [_signed(_spans(n, p, p + window, m)) for n, m in ((names, M1), (again, M2))]
                     yield pa.RecordBatch.from_arrays([*full, pa.array(d1[r]), pa.array(d2[r]), pa.array((p - starts[doc[p]]).astype(np.int32)), pa.array(weight[r])], ["w1", "w2", "d1", "d2", "s", "weight"])
 
     return docs.select("d1", "d2", "text", "keys", "weight").mapInArrow(run, "w1 long, w2 long, d1 long, d2 long, s int, weight long")
