@@ -7,7 +7,7 @@ from all training documents.  The weights are trained with follow-the-regularise
 over the languages by a seeded hash of the id, and a temperature fitted on a fifth of
 those calibrates the probabilities.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0; with no labelled
+Defined results: a null id counts as an empty text in the split; a null text, or one without letters, is ``und`` with score 0; with no labelled
 rows everything is; repeated rows are predicted alike; other columns are ignored.
 """
 

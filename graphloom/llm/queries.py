@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_graph.judge(_table(spark, sf_dir, "pages"))
+    return url_graph.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,10 @@ def test_links_lose_no_component(spark):
                 x ^= 1 << b
     fps = sorted(f - 2**64 if f >> 63 else f for f in fps)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(simhash.candidates(df))).collect()}
+    for blocks in (8, 12):
+        near = simhash.candidates(df, blocks)
+        assert {x for r in near.collect() for x in r} >= {a for a in fps for b in fps if a != b and ((a ^ b) % 2**64).bit_count() <= 3}
+    got = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(near)).collect()}
     root = {f: f for f in fps}
 
     def find(x):
