@@ -6,7 +6,8 @@ than the one before (convex), so repeats are used only where quotas demand them.
 how many words each pattern gives; a seeded hash then picks the documents: all of a pattern in
 the whole repetitions, and those below an exact cut of the hash in the last one.
 
-The cut is found by two pre-aggregated histograms of the hash, never by sorting a source.
+The cut is found by two pre-aggregated histograms of the hash, never by sorting a source.  The driver holds
+one row for each pattern; flows are solved for each group of patterns that share sources.
 
 Defined results: null text has size 0; null sources form a source of their own, last; empty
 documents take 0 words; rows that repeat an id, or a text where the id is null, are separate documents but are taken alike; an empty table
@@ -18,9 +19,8 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.llm.common import discard, n_words, written
 
@@ -109,7 +109,47 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict
     return out
 
 
-def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", text_col: str = "text", share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 2_000) -> DataFrame:
+def routed(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple, int]:
+    """Words that each pattern gives, by :func:`min_cost_flow` over each group of patterns that share sources.
+
+    A pattern alone with its one source gives what the source takes; no flow is needed for it.
+    """
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for p in capacity:
+        for a in p[1:]:
+            root[find(("s", a))] = find(("s", p[0]))
+    groups: dict = defaultdict(list)
+    for p in capacity:
+        if p:
+            groups[find(("s", p[0]))].append(p)
+    out = dict.fromkeys(capacity, 0)
+    for group in groups.values():
+        if len(group) == 1 and len(group[0]) == 1:
+            p = group[0]
+            out[p] = min(int(round(quota[p[0]])), capacity[p] * repeats)
+        else:
+            some = {s for p in group for s in p}
+            for p, f in min_cost_flow({p: capacity[p] for p in group}, {s: q for s, q in quota.items() if s in some}, repeats).items():
+                out[p] = int(sum(f.values()))
+    return out
+
+
+def last_buckets(level: DataFrame, want: dict[str, int], bucket: str) -> dict[str, tuple[int, int, int]]:
+    """For each pattern's words wanted: the bucket of ``level(__p, <bucket>, n)`` in which they end, how many fall in it, its size."""
+    wanted = level.sparkSession.createDataFrame(list(want.items()), "__p string, rest long")
+    upto = F.sum("n").over(Window.partitionBy("__p").orderBy(bucket))  # FINE rows in a group at most
+    ends = level.join(F.broadcast(wanted), "__p").withColumn("upto", upto).where("upto > rest")
+    found = ends.groupBy("__p").agg(F.min(F.struct(bucket, (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"), "n")).alias("x")).collect()
+    return {r["__p"]: tuple(r["x"]) for r in found}
+
+
+def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", text_col: str = "text", share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 100_000) -> DataFrame:
     """``(row, size, pattern, taken, source_size, target)``: the input row as a struct, what the mix takes
     of it and, for the pattern's first source, that source's figures.
 
@@ -121,11 +161,12 @@ def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", tex
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.array_sort(F.array_distinct(members)).alias("pattern"), n_words(F.col(text_col)).alias("size"),
         F.shiftrightunsigned(hash_, 54).cast("int").alias("__b1"), (F.shiftrightunsigned(hash_, 44) % FINE).cast("int").alias("__b2"),
-    )
-    slim = written(rows.select("pattern", "size", "__b1", "__b2"), "sizes")  # texts are counted here and once more in the result
-    seen = slim.groupBy("pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
+    ).withColumn("__p", F.to_json(F.transform("pattern", lambda x: F.coalesce(x, F.lit("\0null")))))
+    slim = written(rows.select("__p", "pattern", "size", "__b1", "__b2"), "sizes")  # texts are counted here and once more in the result
+    seen = slim.groupBy("__p").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(seen) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
+    key = {tuple(r["pattern"]): r["__p"] for r in seen}
     capacity = {tuple(r["pattern"]): r["n"] for r in seen}
     names = sorted({s for p in capacity for s in p}, key=lambda s: (s is None, s or ""))
     total = defaultdict(int)
@@ -133,53 +174,26 @@ def planned(docs: DataFrame, members: Column, weigh, id_col: str = "doc_id", tex
         for s in p:
             total[s] += c
     target = dict(zip(names, water_fill([total[s] for s in names], weigh(names), share, repeats), strict=True))
-    flow = min_cost_flow(capacity, target, repeats)
     # whole repetitions, and the words of the last, partial one
-    plan = {p: divmod(int(sum(f.values())), capacity[p]) if capacity[p] else (0, 0) for p, f in flow.items()}
-    part = {p: r for p, (_, r) in plan.items() if r}
-    kinds = docs.sparkSession.createDataFrame
-    ids = {p: k for k, p in enumerate(capacity)}
-    array = slim.schema["pattern"].dataType
-
-    def cut(level: DataFrame, want: dict, bucket: str) -> dict:
-        """The last bucket that fits below the words wanted, and the words left over."""
-        sums = defaultdict(dict)
-        for r in level.collect():
-            sums[tuple(r["pattern"])][r[bucket]] = r["n"]
-        out = {}
-        for p, rest in want.items():
-            at = FINE
-            for b in sorted(sums[p]):
-                if sums[p][b] > rest:
-                    at = b
-                    break
-                rest -= sums[p][b]
-            out[p] = (at, rest, sums[p].get(at, 0))
-        return out
-
-    only = F.broadcast(kinds([(list(p), ids[p]) for p in part], T.StructType([T.StructField("pattern", array), T.StructField("__k", T.IntegerType())])))
+    plan = {p: divmod(n, capacity[p]) if capacity[p] else (0, 0) for p, n in routed(capacity, target, repeats).items()}
+    part = {key[p]: r for p, (_, r) in plan.items() if r}
     first, second = {}, {}
     if part:
-        match = F.transform("pattern", lambda x: F.coalesce(x, F.lit("\0null")))
-        with_key = slim.withColumn("__p", F.to_json(match)).join(only.select(F.to_json(match).alias("__p")), "__p", "left_semi")
-        first = cut(with_key.groupBy("pattern", "__b1").agg(F.sum("size").alias("n")), part, "__b1")
-        edge = F.broadcast(kinds([(list(p), b) for p, (b, _, _) in first.items()], T.StructType([T.StructField("pattern", array), T.StructField("__b1", T.IntegerType())])))
-        inside = with_key.join(edge.select(F.to_json(match).alias("__p"), F.col("__b1").alias("__e")), "__p").where("__b1 = __e")
-        second = cut(inside.groupBy("pattern", "__b2").agg(F.sum("size").alias("n")), {p: r for p, (_, r, _) in first.items()}, "__b2")
+        first = last_buckets(slim.groupBy("__p", "__b1").agg(F.sum("size").alias("n")), part, "__b1")
+        edge = F.broadcast(spark.createDataFrame([(k, b) for k, (b, _, _) in first.items()], "__p string, __e int"))
+        inside = slim.join(edge, "__p").where("__b1 = __e")
+        second = last_buckets(inside.groupBy("__p", "__b2").agg(F.sum("size").alias("n")), {k: r for k, (_, r, _) in first.items()}, "__b2")
     discard(slim)
     table = []
-    for p in capacity:
-        whole = plan.get(p, (0, 0))[0]
-        b1 = first[p][0] if p in first else 0
-        b2, rest, n = second.get(p, (0, 0, 0))
+    for p, k in key.items():
+        b1 = first[k][0] if k in first else 0
+        b2, rest, n = second.get(k, (0, 0, 0))
         b2 += 2 * rest >= n > 0  # the bucket at the cut goes to the nearer side
         s = p[0] if p else None
-        table.append((list(p), whole, b1, b2, total.get(s, 0), float(target.get(s, 0.0))))
-    schema = T.StructType([T.StructField("pattern", array), *(T.StructField(n, T.LongType()) for n in ("__whole", "__c1", "__c2", "source_size")), T.StructField("target", T.DoubleType())])
-    plans = spark.createDataFrame(table, schema)  # at most max_patterns rows
-    key = F.to_json(F.transform("pattern", lambda x: F.coalesce(x, F.lit("\0null"))))
+        table.append((k, plan[p][0], b1, b2, total.get(s, 0), float(target.get(s, 0.0))))
+    plans = spark.createDataFrame(table, "__p string, __whole long, __c1 long, __c2 long, source_size long, target double")  # at most max_patterns rows
     more = (F.col("__b1") < F.col("__c1")) | ((F.col("__b1") == F.col("__c1")) & (F.col("__b2") < F.col("__c2")))
-    joined = rows.withColumn("__p", key).join(F.broadcast(plans.withColumn("__p", key).drop("pattern")), "__p")
+    joined = rows.join(F.broadcast(plans), "__p")
     return joined.withColumn("taken", F.col("size") * (F.col("__whole") + more.cast("long"))).drop("__p", "__b1", "__b2", "__whole", "__c1", "__c2")
 
 

@@ -52,6 +52,54 @@ def test_flow_serves_overlapping_sources():
     assert sum(max(0, sum(f.values()) - {("a",): 10, ("a", "b"): 10, ("b",): 5}[p]) for p, f in flow.items()) == 5
 
 
+def least_cost(capacity, quota, repeats):
+    """Most words and least cost of a flow in whole words, by trying all of them (two sources)."""
+    best = (0, 0)
+    patterns = list(capacity)
+
+    def go(k, left, flow, cost):
+        nonlocal best
+        if k == len(patterns):
+            best = min(best, (-flow, cost))
+            return
+        p, c = patterns[k], capacity[patterns[k]]
+        for x in range(min(left.get(p[0], 0), c * repeats) + 1):
+            for y in range(min(left.get(p[-1], 0), c * repeats - x) + 1) if len(p) > 1 else (0,):
+                n = x + y
+                new = dict(left)
+                new[p[0]] -= x
+                if len(p) > 1:
+                    new[p[1]] -= y
+                go(k + 1, new, flow + n, cost + sum(r * min(c, max(0, n - r * c)) for r in range(repeats)))
+
+    go(0, dict(quota), 0, 0)
+    return best
+
+
+def test_flow_has_least_cost():
+    rng = random.Random(5)
+    for _ in range(25):
+        capacity = {p: rng.randint(1, 3) for p in [("a",), ("a", "b"), ("b",)] if rng.random() < 0.8} or {("a",): 2}
+        quota = {s: rng.randint(0, 5) for s in {s for p in capacity for s in p}}
+        got = mixing.routed(capacity, quota, 2)
+        cost = sum(r * min(capacity[p], max(0, n - r * capacity[p])) for p, n in got.items() for r in range(2))
+        assert (-sum(got.values()), cost) == least_cost(capacity, quota, 2)
+
+
+def test_mix_of_many_sources_and_null_ids(docs):
+    from pyspark.sql import functions as F
+
+    many = docs(["w w w w"] * 5000, sources=[f"s{k % 2500}" for k in range(5000)])
+    got = mixing.mix(many, F.array("source"), mixing.by_turns).collect()
+    assert len(got) == 5000 and abs(sum(r["taken"] for r in got) - 30_000) <= 4 * 2500
+    nulls = docs([f"w{k} " * 20 for k in range(300)], ids=[None] * 300, sources=["ab"[k % 2] for k in range(300)])
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(nulls, F.array("source"), mixing.by_turns).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 40 for s, t in target.items())
+
+
 def test_mix_comes_near_targets(docs, spark):
     rng = random.Random(1)
     texts = ["w " * rng.randint(0, 40) for _ in range(600)] + [None, ""]
