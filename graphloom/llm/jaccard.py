@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
-from graphloom.llm.common import connected_components, discard, release, written
+from graphloom.llm.common import connected_components, discard, release, small_batches, written
 
 BANDS, MINIMA, BINS = 48, 6, 256
 _rng = np.random.default_rng(42)
@@ -147,7 +147,8 @@ def components(rows: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
     release(spark)
     some = written(nodes.drop("keys", "fp").join(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "some")
     own = texts.join(some.select("node", "hash"), "hash").groupBy("node").agg(F.min("text").alias("text"))
-    sets = written(own.select("node", row_shingles(words)(F.col("text")).alias("found")), "sets")
+    with small_batches(spark):
+        sets = written(own.select("node", row_shingles(words)(F.col("text")).alias("found")), "sets")
     discard(nodes)
     release(spark)
     side = lambda x: some.select(F.col("node").alias(x), F.struct("n", "parity").alias(f"s{x}"))
@@ -173,7 +174,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, own = F.char_length(text), F.xxhash64(text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), own.alias("hash"), row_sketch(words)(F.col(text_col)).alias("s"))
-    rows = written(rows.select("doc_id", "size", "hash", "s.*"), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = written(rows.select("doc_id", "size", "hash", "s.*"), "sketches")
     roots = components(rows, docs.select(own.alias("hash"), text.alias("text")), words)
     named = rows.select("doc_id", "size", "hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(-F.col("size"), F.col("doc_id").isNull(), "doc_id", "hash")
