@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to and read from the shared folder of ``spark.checkpoint.dir``."""
+    """``df`` written to and read from the shared folder of ``spark.checkpoint.dir``.
+
+    A folder of our own is made only where the setting is absent and the master is local.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # local runs and tests
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
