@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.parse.facts import declarations_of, scopes_of
+from graphloom.operators.infer import RESERVED, unreserved
+from graphloom.parse.facts import bindings_of, declarations_of, scopes_of
 
 
 def align_scopes(pairs: DataFrame, reserved: DataFrame | None = None, tolerance: int = 0, key: str = "pair") -> DataFrame:
     """``pairs(pair, target_code, ref_code)`` to ``(pair, scope, var, minified, semantic)``.
 
-    Scopes and their variables are zipped by position.  A pair of texts must agree in the number of
-    scopes, a pair of scopes in the number of variables, up to ``tolerance``.  Equal names, names
-    under two letters and reserved ones are left out.
+    Scopes and their variables are zipped by position.  Texts with equally many scopes align where a
+    scope has equally many variables on both sides; texts whose scopes differ by up to ``tolerance``
+    align as far as both go, where the variables of a scope differ by no more than that.  Equal names,
+    new names under two letters, names that are reserved everywhere and those of ``reserved(name)`` or
+    ``reserved(pair, name)`` are left out, on either side.
     """
-    sides = []
-    for side, name in (("target_code", "minified"), ("ref_code", "semantic")):
-        rows = pairs.select(key, F.explode(scopes_of()(side)).alias("s")).select(key, "s.scope", "s.var", F.col("s.name").alias(name))
-        sides.append(rows)
-    t, r = sides
-    n = lambda df, p: df.groupBy(key).agg(F.max("scope").alias(f"{p}_scopes"))
-    v = lambda df, p: df.groupBy(key, "scope").agg(F.count(F.lit(1)).alias(f"{p}_vars"))
-    alike = n(t, "t").join(n(r, "r"), key).where(F.abs(F.col("t_scopes") - F.col("r_scopes")) <= tolerance).select(key)
-    level = v(t, "t").join(v(r, "r"), [key, "scope"]).where(F.abs(F.col("t_vars") - F.col("r_vars")) <= tolerance).select(key, "scope")
-    zipped = t.join(r, [key, "scope", "var"]).join(alike, key, "left_semi").join(level, [key, "scope"], "left_semi")
-    zipped = zipped.where((F.col("minified") != F.col("semantic")) & (F.length("semantic") >= 2))
-    return zipped if reserved is None else zipped.join(reserved.select(F.col("name").alias("minified")), "minified", "left_anti")
+    both = pairs.select(key, scopes_of()("target_code").alias("t"), scopes_of()("ref_code").alias("r"))
+    gap = F.abs(F.size("t") - F.size("r"))
+    near = both.where(gap <= tolerance).withColumn("slack", F.when(gap == 0, 0).otherwise(tolerance))
+    zip_ = lambda n: F.arrays_zip(*(F.slice(c, 1, n).alias(c) for c in "tr"))
+    at = near.select(key, "slack", F.posexplode(zip_(F.least(F.size("t"), F.size("r")))).alias("scope", "z")).select(key, "slack", "scope", "z.t", "z.r")
+    level = at.where(F.abs(F.size("t") - F.size("r")) <= F.col("slack"))
+    zipped = level.select(key, "scope", F.posexplode(zip_(F.least(F.size("t"), F.size("r")))).alias("var", "z")).select(key, "scope", "var", F.col("z.t").alias("minified"), F.col("z.r").alias("semantic"))
+    out = zipped.where((F.col("minified") != F.col("semantic")) & (F.length("semantic") >= 2) & ~F.col("minified").isin(*RESERVED) & ~F.col("semantic").isin(*RESERVED))
+    return out if reserved is None else unreserved(unreserved(out, reserved, key), reserved, key, "semantic")
+
+
+def runtime_names(split: DataFrame, key: str = "bundle_id") -> DataFrame:
+    """``(bundle_id, name)``: every identifier that the runtime module of a bundle uses."""
+    runtime = split.where("wrapKind = 'RUNTIME'")
+    return runtime.select(key, F.explode(bindings_of()("text")).alias("b")).select(key, F.col("b.name").alias("name")).distinct()
 
 
 def vote(raw: DataFrame, by: list[str], share: float = 0.7) -> DataFrame:

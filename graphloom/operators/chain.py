@@ -36,15 +36,19 @@ def chain(modules: DataFrame, versions: list[str], graph: str | None = None) ->
     return out.drop("pair"), spark.createDataFrame(links, "old string, new string, matched long, total long, ratio double")
 
 
-def module_count_check(traced: DataFrame, maps: DataFrame, limits: DataFrame) -> DataFrame:
+def module_count_check(traced: DataFrame, maps: DataFrame, limits: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """``traced(name, total, runtime, imports)`` against ``maps(name, n_sources)``; ``limits(name, known_limitation)``.
 
-    Modules of the runtime and of imports do not count; one off is tolerated.
+    Modules of the runtime and of imports do not count; one off is tolerated.  ``targets(name,
+    has_config, has_bundle)`` are what is to be checked, by default whatever has a count: those without a
+    configuration are skipped, those without a bundle reported.  A target with a known limitation that has both counts gets that status whatever they are.
     """
-    j = maps.join(traced, "name", "full_outer").join(limits, "name", "left")
+    j = maps.join(traced, "name", "full_outer")
+    j = j.withColumns({"has_config": F.lit(True), "has_bundle": F.lit(True)}) if targets is None else targets.join(j, "name", "left")
+    j = j.join(limits, "name", "left")
     countable = F.col("total") - F.col("runtime") - F.col("imports")
     gap = F.abs(countable - F.col("n_sources"))
-    status = F.when(F.col("total").isNull(), "NO_TRACE").when(F.col("n_sources").isNull(), "NO_MAP").when(F.col("known_limitation").isNotNull() & (gap > 1), "KNOWN_LIMITATION").when(gap == 0, "EXACT").when(gap == 1, "OFF_BY_ONE").otherwise("MISMATCH")
+    status = F.when(~F.col("has_config"), "SKIP").when(~F.col("has_bundle"), "NO_BUNDLE").when(F.col("n_sources").isNull(), "NO_MAP").when(F.col("total").isNull(), "NO_TRACE").when(F.col("known_limitation").isNotNull(), "KNOWN_LIMITATION").when(gap == 0, "EXACT").when(gap == 1, "OFF_BY_ONE").otherwise("MISMATCH")
     return j.select("name", countable.alias("countable"), "n_sources", (countable - F.col("n_sources")).alias("diff"), status.alias("status"))
 
 

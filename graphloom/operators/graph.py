@@ -21,6 +21,14 @@ def hubs(edges: DataFrame, n: int = 10, key: str = "bkg_id") -> DataFrame:
     return degrees(edges, key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def totals(edges: DataFrame, definitions: DataFrame, key: str = "bkg_id") -> DataFrame:
+    """``(bkg_id, total_edges, top_level_names)`` from edges and ``definitions(bkg_id, name)``; graphs without edges have 0."""
+    n = edges.groupBy(key).agg(F.count(F.lit(1)).alias("total_edges"))
+    names = definitions.groupBy(key).agg(F.count_distinct("name").alias("top_level_names"))
+    both = names.join(n, key, "full_outer")
+    return both.select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total_edges", "top_level_names")))
+
+
 def closure(edges: DataFrame, starts: DataFrame, key: str = "bkg_id", max_depth: int | None = None) -> DataFrame:
     """``(bkg_id, start, id, depth)``: everything that ``starts(bkg_id, start)`` reach, breadth first, to the end or to a depth."""
     reached = front = settled(starts.select(key, "start", F.col("start").alias("id"), F.lit(0).alias("depth")), "reach")

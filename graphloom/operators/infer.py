@@ -12,7 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Client = Callable[[str], str]
-SHORT, LONG = r"\b[A-Za-z_$][\w$]{0,3}\b", r"\b[A-Za-z_$][\w$]{3,}\b"
+NAME = r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b"
+
+# Keywords, and the names that are never given or taken.
+KEYWORDS = (
+    "do", "if", "in", "of", "for", "let", "new", "try", "var", "case", "else",
+    "enum", "null", "this", "true", "void", "with", "await", "break", "catch", "class", "const", "false",
+    "super", "throw", "while", "yield", "delete", "export", "import", "return", "switch", "typeof",
+    "default", "extends", "finally", "function", "debugger", "arguments", "instanceof",
+)
+RESERVED = (*KEYWORDS, "implements", "name", "length", "prototype", "constructor", "__proto__", "exports", "module", "require", "undefined", "NaN", "Infinity")
 
 
 def http_client(model: str, url: str = "http://localhost:11434/api/generate", timeout: float = 120) -> Client:
@@ -45,13 +54,19 @@ def answers(text: str) -> list[dict]:
 
 
 def prompts(modules: DataFrame, paired: bool) -> DataFrame:
-    """``module, prompt`` from ``(module, code[, ref_code])``: at most 50 short and 50 long names (30 alone), 3,000 characters of code."""
-    names = lambda c, p, n: F.array_join(F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))), 1, n), ", ")
+    """``module, prompt`` from ``(module, code[, ref_code])``, with 3,000 characters of each text.
+
+    Paired: the first 50 names of up to four letters that the reference lacks, and the first 50 of five
+    or more that the code lacks.  Alone: the first 30 of up to three letters.  Keywords are no names.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(NAME), F.lit(0)))
+    keyword = F.array(*(F.lit(k) for k in (*KEYWORDS, "undefined")))
+    shown = lambda ws, ok, n: F.array_join(F.slice(F.filter(F.array_except(ws, keyword), ok), 1, n), ", ")
     head = F.substring("code", 1, 3000)
     if paired:
-        ask = F.concat(F.lit("Match short names to readable ones.\nShort names: "), names("code", SHORT, 50), F.lit("\nReadable names: "), names("ref_code", LONG, 50), F.lit("\nShort code:\n"), head, F.lit("\nReadable code:\n"), F.substring("ref_code", 1, 3000))
+        ask = F.concat(F.lit("Match short names to readable ones.\nShort names: "), shown(F.array_except(words("code"), words("ref_code")), lambda w: F.length(w) <= 4, 50), F.lit("\nReadable names: "), shown(F.array_except(words("ref_code"), words("code")), lambda w: F.length(w) >= 5, 50), F.lit("\nShort code:\n"), head, F.lit("\nReadable code:\n"), F.substring("ref_code", 1, 3000))
     else:
-        ask = F.concat(F.lit("Suggest readable names.\nShort names: "), names("code", SHORT, 30), F.lit("\nCode:\n"), head)
+        ask = F.concat(F.lit("Suggest readable names.\nShort names: "), shown(words("code"), lambda w: F.length(w) <= 3, 30), F.lit("\nCode:\n"), head)
     return modules.select("module", F.concat(ask, F.lit('\nReply with a JSON array of {"minified": ..., "semantic": ...}.')).alias("prompt"))
 
 
@@ -79,6 +94,7 @@ def against_truth(pairs: DataFrame, truth: DataFrame, by: list[str]) -> DataFram
     return j.where(F.col("true_name").isNull() | (F.col("true_name") == F.col("semantic"))).drop("true_name")
 
 
-def unreserved(pairs: DataFrame, reserved: DataFrame) -> DataFrame:
-    """Pairs whose minified name is no keyword, global or runtime name (``reserved(name)``)."""
-    return pairs.join(reserved.select(F.col("name").alias("minified")).distinct(), "minified", "left_anti")
+def unreserved(pairs: DataFrame, reserved: DataFrame, key: str = "pair", side: str = "minified") -> DataFrame:
+    """Pairs whose name on one side is not reserved: by ``reserved(name)`` everywhere, by ``reserved(pair, name)`` in its pair."""
+    by = [key] if key in reserved.columns else []
+    return pairs.join(reserved.select(*by, F.col("name").alias(side)).distinct(), [*by, side], "left_anti").select(*pairs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.schema import modules_of
+
 COMMON = ("__esModule", "default", "function", "object", "string", "number", "undefined", "null", "true", "false")
 
 
@@ -63,6 +65,38 @@ def merge_identifiers(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> D
     return j.select(*keys, F.when(second, F.col("b")).otherwise(F.col("a")).alias("x")).select(*keys, "x.*")
 
 
+def merge_documents(a: DataFrame, b: DataFrame, key: str = "bkg_id", at: Column | None = None, cap: int = 50) -> DataFrame:
+    """Graph documents of both sides (see ``schema.GRAPH``), one for each key that both have.
+
+    Modules follow :func:`merge_modules`; of identifiers the surer stays (ties: side 1).  Both keep side 1's order
+    before what side 2 adds.  Annotations and enrichments are strung together, and the merge itself is
+    the last enrichment, at the time ``at``.  A list that is null counts as empty.
+    """
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSX") if at is None else at
+    shared = a.select(key).join(b.select(key), key, "left_semi")
+    place = lambda df, side: modules_of(df.join(shared, key, "left_semi"), key).withColumn("ord", F.struct(F.lit(side).alias("side"), "ord"))
+    merged = merge_modules(place(a, 0), place(b, 1), (key,), cap)
+    fields = [c for c in merged.columns if c not in (key, "ord", "conflict")]
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("ord", x.alias("x")))), lambda p: p["x"])
+    modules = merged.groupBy(key).agg(in_order(F.struct(*fields)).alias("modules"), F.count(F.lit(1)).cast("int").alias("modules_total"), F.count_if(named(F.col("semantic_name"))).cast("int").alias("modules_named"), F.count_if("conflict").alias("conflicts"))
+
+    each = lambda df, side: df.join(shared, key, "left_semi").select(key, F.posexplode("identifiers").alias("pos", "x")).select(key, F.col("x.id").alias("id"), F.struct(F.lit(side).alias("side"), "pos").alias("ord"), "x")
+    surer = F.struct(F.coalesce("x.confidence", F.lit(0.0)).alias("c"), (-F.col("ord.side")).alias("s"))
+    kept = each(a, 0).union(each(b, 1)).groupBy(key, "id").agg(F.max_by("x", surer).alias("x"), F.min("ord").alias("ord"))
+    states = ("semantic", "placeholder", "raw")
+    identifiers = kept.groupBy(key).agg(in_order(F.col("x")).alias("identifiers"), *(F.count_if(F.col("x.state") == s).cast("int").alias(f"identifiers_{s}") for s in states))
+
+    rest = lambda df, p: df.select(key, *(F.col(c).alias(f"{p}_{c}") for c in ("bundle", "reference", "annotations", "enrichments", "identifiers")))
+    j = rest(a, "a").join(rest(b, "b"), key).join(modules, key, "left").join(identifiers, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    kinds = {c: a.schema[c].dataType.simpleString() for c in ("identifiers", "annotations", "enrichments")}
+    both = lambda c: F.concat(*(F.coalesce(f"{p}_{c}", F.array().cast(kinds[c])) for p in "ab"))
+    entry = F.struct(at.alias("timestamp"), F.lit("merge").alias("technique"), F.lit(None).cast("string").alias("reference_version"), zero("modules_total").alias("modules_enriched"), zero(F.size("identifiers")).alias("identifiers_enriched"), F.format_string("merge: %d conflicts resolved by confidence", zero("conflicts")).alias("provenance"))
+    log = F.array(entry).cast(kinds["enrichments"])
+    cover = F.struct(*(zero(c).alias(c) for c in ("modules_named", "modules_total", *(f"identifiers_{s}" for s in states))), F.lit(0).alias("identifier_coverage_semantic"), F.lit(0).alias("identifier_coverage_touched"))
+    return j.select(key, F.lit("1.0").alias("bkg_version"), F.col("a_bundle").alias("bundle"), F.coalesce("a_reference", "b_reference").alias("reference"), "modules", F.coalesce("identifiers", both("identifiers")).alias("identifiers"), both("annotations").alias("annotations"), F.concat(both("enrichments"), log).alias("enrichments"), cover.alias("coverage"))
+
+
 def diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``(id, status, name_changed, deps_changed, bytes_changed)``; one full outer join."""
     keys = [*by, "id"]

@@ -110,6 +110,12 @@ def byte_accounting(bundles: DataFrame, statements: DataFrame, key: str = "bundl
     return out.withColumn("balanced", F.col("statement_bytes") + F.col("gap_bytes") == F.col("total"))
 
 
+def by_count(rows: DataFrame, group: str, by: list[str], order: str = "ord") -> DataFrame:
+    """Count per value of ``group`` and its ``rank``, most frequent first; ties go to the value seen first."""
+    n = rows.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))).drop("first")
+
+
 def category_profile(rows: DataFrame, group: str, size: str, by: list[str]) -> DataFrame:
     """Count, bytes and share of bytes per value of ``group``."""
     sums = rows.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))

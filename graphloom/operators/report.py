@@ -28,6 +28,18 @@ def find_module(files: DataFrame, modules: DataFrame, key: str = "bkg_id") -> Da
     return rows.withColumn("id", F.coalesce("by_name", "by_number", "by_id")).drop("__name", "__number", "by_name", "by_number", "by_id")
 
 
+def paired_files(targets: DataFrame, refs: DataFrame, modules: DataFrame, key: str = "pair", spread: bool = True) -> DataFrame:
+    """``(pair, minified_name, ref_name, target_code, ref_code)``: files of matched modules side by side.
+
+    ``targets`` and ``refs`` are ``(pair, filename, name, text)``, ``modules`` the matched graph.  A name that spread from a
+    neighbour stands for that neighbour's if ``spread`` is set.  Of files of one name the last counts; the runtime has none.
+    """
+    last = lambda df, name, text: df.groupBy(key, F.col("name").alias(name)).agg(F.max_by("text", "filename").alias(text))
+    name = F.regexp_replace("semantic_name", "^near_", "") if spread else F.col("semantic_name")
+    known = modules.where((F.coalesce("semantic_name", F.lit("")) != "") & ~F.col("minified_name").eqNullSafe("RUNTIME")).select(key, "minified_name", name.alias("ref_name"))
+    return known.join(last(targets, "minified_name", "target_code"), [key, "minified_name"]).join(last(refs, "ref_name", "ref_code"), [key, "ref_name"])
+
+
 def name_header(modules: DataFrame) -> DataFrame:
     """Modules with ``header``: name, certainty, neighbours and a few strings."""
     sure = F.when(F.col("semantic_confidence").isNotNull(), F.format_string(" (%.0f%%)", F.col("semantic_confidence") * 100)).otherwise("")

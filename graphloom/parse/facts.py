@@ -173,8 +173,8 @@ def declarations(code: str | None) -> list[dict] | None:
 FUNCTIONS = frozenset(("FunctionDeclaration", "FunctionExpression", "ArrowFunctionExpression"))
 
 
-def scopes(code: str | None) -> list[dict] | None:
-    """Variables by scope in order of appearance: ``(scope, var, name)``; scopes are functions and blocks."""
+def scopes(code: str | None) -> list[list[str]] | None:
+    """The variables of each scope in order of appearance; scopes are the script, functions and blocks."""
     try:
         program = parse(code or "")
     except ParseError:
@@ -216,7 +216,7 @@ def scopes(code: str | None) -> list[dict] | None:
         visit(program, top, top)
     except RecursionError:
         return None
-    return [{"scope": s, "var": v, "name": n} for s, names in enumerate(out) for v, n in enumerate(names)]
+    return out
 
 
 def _column(f, kind: str):
@@ -241,7 +241,7 @@ def declarations_of():
 
 
 def scopes_of():
-    return _column(scopes, "array<struct<scope:int,var:int,name:string>>")
+    return _column(scopes, "array<array<string>>")
 
 
 def parseable():

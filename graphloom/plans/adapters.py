@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.schema import to_graph
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +47,27 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
+def graph_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both versions as graph documents of 20 modules, with identifiers, annotations and an enrichment."""
+    null = lambda t: F.lit(None).cast(t)
+    block = lambda c: F.concat(F.lit("g"), F.floor(c / 20).cast("string")).alias("bkg_id")
+
+    def documents(rows: DataFrame, shift: int) -> DataFrame:
+        filled = rows.withColumns({"bkg_id": block(F.col("ord")), "range": null("struct<startLine:int,endLine:int,charStart:int,charEnd:int>"), "exports": F.array().cast("array<string>"), "deps_in": F.array().cast("array<string>")})
+        d = table(spark, sf_dir, "documents").where(F.col("doc_id") % (5 + shift) != 0)
+        state = F.when(F.col("doc_id") % 3 == shift, "semantic").when(F.col("doc_id") % 3 == 2, "placeholder").otherwise("raw")
+        ident = F.struct(F.concat(F.lit("var:"), F.col("doc_id").cast("string")).alias("id"), null("string").alias("module"), F.col("lang").alias("minified"), F.col("source").alias("semantic"), state.alias("state"), ((F.col("doc_id") * (3 + shift)) % 7 / 7.0).alias("confidence"), null("string").alias("source"), null("string").alias("role"))
+        note = F.struct(F.lit("note").alias("type"), F.col("source").alias("module"), F.lit(shift).alias("line"), null("string").alias("text"), null("string").alias("origin"))
+        own = d.groupBy(block(F.col("doc_id"))).agg(F.array_sort(F.collect_list(ident)).alias("i"), F.array_sort(F.collect_list(F.when(F.col("doc_id") % 4 == shift, note))).alias("n"))
+        info = filled.select("bkg_id").distinct().withColumn("bundle", F.struct(F.col("bkg_id").alias("file"), null("string").alias("version"), null("string").alias("bundler"), null("int").alias("size_bytes"), null("int").alias("total_modules"), null("int").alias("total_statements"), null("string").alias("hash_sha256")))
+        graphs = to_graph(info, filled).join(own, "bkg_id", "left")
+        log = F.array(F.struct(null("string").alias("timestamp"), F.lit(f"side{shift}").alias("technique"), null("string").alias("reference_version"), F.lit(0).alias("modules_enriched"), F.lit(0).alias("identifiers_enriched"), null("string").alias("provenance")))
+        return graphs.withColumns({"identifiers": F.coalesce("i", "identifiers"), "annotations": F.coalesce("n", "annotations"), "enrichments": log}).drop("i", "n")
+
+    a, b = versions(spark, sf_dir)
+    return documents(a, 0), documents(b, 1)
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (part, supplier) edges."""
     li = table(spark, sf_dir, "lineitem")

@@ -59,11 +59,13 @@ ev AS (SELECT event_id % 64 AS k, event_id, event_type, event_id * 7919 % total
 hit AS (SELECT event_id, range_id, event_type FROM ev JOIN rg USING (k) WHERE o >= upto - n_chars AND o < upto)"""
 
 COUNTS = r"""
-t AS (SELECT source AS name, count(*) AS total, count(*) FILTER (lang = 'de') AS runtime, count(*) FILTER (lang = 'es') AS imports FROM documents GROUP BY 1),
-mp AS (SELECT source AS name, count(*) - count(*) % 4 AS n_sources FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1 HAVING count(*) % 5 <> 0),
+x AS (SELECT *, source || '-' || (doc_id % 60) AS name, doc_id % 60 AS k FROM documents),
+tg AS (SELECT DISTINCT name, k FROM x),
+t AS (SELECT name, count(*) AS total, count(*) FILTER (lang = 'de') AS runtime, count(*) FILTER (lang = 'es') AS imports FROM x WHERE k % 10 <> 1 GROUP BY 1),
+mp AS (SELECT name, count(*) + k % 4 - 1 AS n_sources FROM x WHERE lang IN ('en', 'fr') AND k % 7 <> 0 GROUP BY name, k),
 st AS (SELECT name, total - runtime - imports AS countable, n_sources, total - runtime - imports - n_sources AS diff,
-  CASE WHEN total IS NULL THEN 'NO_TRACE' WHEN n_sources IS NULL THEN 'NO_MAP' WHEN total % 2 = 0 AND abs(total - runtime - imports - n_sources) > 1 THEN 'KNOWN_LIMITATION'
-    WHEN abs(total - runtime - imports - n_sources) = 0 THEN 'EXACT' WHEN abs(total - runtime - imports - n_sources) = 1 THEN 'OFF_BY_ONE' ELSE 'MISMATCH' END AS status FROM mp FULL JOIN t USING (name))"""
+  CASE WHEN k % 11 = 0 THEN 'SKIP' WHEN k % 12 = 1 THEN 'NO_BUNDLE' WHEN n_sources IS NULL THEN 'NO_MAP' WHEN total IS NULL THEN 'NO_TRACE' WHEN k % 6 = 2 THEN 'KNOWN_LIMITATION'
+    WHEN total - runtime - imports = n_sources THEN 'EXACT' WHEN abs(total - runtime - imports - n_sources) = 1 THEN 'OFF_BY_ONE' ELSE 'MISMATCH' END AS status FROM tg LEFT JOIN mp USING (name) LEFT JOIN t USING (name))"""
 
 FP = "len(list_intersect(list_distinct(string_split({0}, ':')), list_distinct(string_split({1}, ':')))) / greatest(len(list_distinct(string_split({0}, ':'))), len(list_distinct(string_split({1}, ':')))) * (least(len(string_split({0}, ':')), len(string_split({1}, ':'))) / greatest(len(string_split({0}, ':')), len(string_split({1}, ':'))))"
 
@@ -215,5 +217,26 @@ ORACLES = {
     "source_map_identifiers": """WITH d AS (SELECT doc_id, unnest(['mod:a', 'mod:b']) AS module, unnest(['firstName', 'otherName']) AS semantic, unnest([substring(text, 1, 100), CASE WHEN length(text) > 16 THEN substring(text, 17, 100) ELSE '' END]) AS t FROM documents), x AS (SELECT *, regexp_extract(t, '^[a-zA-Z_$][a-zA-Z0-9_$]*', 0) AS minified FROM d)
         SELECT doc_id::VARCHAR AS bkg_id, 'var:' || module || ':' || minified AS id, minified, semantic, 'semantic' AS state, 'source_map' AS source FROM x WHERE minified <> ''""",
     "unwrapped": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '// c' || chr(10) || text ELSE '(function (exports) {' || text || '})' END) AS body_md5 FROM documents",
-    "inferred_names": rf"WITH {CODE}, f AS (SELECT b, list_sort(regexp_extract_all(code, '\b[A-Za-z_$][\w$]{{0,3}}\b'))[1] AS m FROM co) SELECT b::VARCHAR AS module, 0::BIGINT AS ord, m AS minified, 'named_' || m AS semantic FROM f",
+    "inferred_names": rf"WITH {CODE}, f AS (SELECT b, list_filter(regexp_extract_all(code, '[a-zA-Z_$][a-zA-Z0-9_$]*'), lambda x: length(x) <= 3 AND x NOT IN ('var', 'new'))[1] AS m FROM co) SELECT b::VARCHAR AS module, 0::BIGINT AS ord, m AS minified, 'named_' || m AS semantic FROM f",
+    "edge_totals": f"WITH {TURNS}, n AS (SELECT bundle_id, count(*) AS top_level_names FROM defs GROUP BY 1), x AS (SELECT bundle_id, count(*) AS total_edges FROM edges GROUP BY 1) SELECT bundle_id, coalesce(total_edges, 0) AS total_edges, top_level_names FROM n LEFT JOIN x USING (bundle_id)",
+    "kinds_by_count": f"""WITH {DOCS}, n AS (SELECT source, "wrapKind", count(*) AS n, min(ord) AS f FROM m GROUP BY ALL) SELECT source, "wrapKind", n, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS rank FROM n""",
+    "full_closure": f"WITH RECURSIVE {CUSTOMERS}, reach AS (SELECT DISTINCT src AS start, src AS id FROM e UNION SELECT reach.start, e.dst FROM reach JOIN e ON e.src = reach.id) SELECT * FROM reach",
+    "merged_documents": f"""WITH {VERSIONS}, va AS (SELECT *, ord // 20 AS g FROM a), vb AS (SELECT *, ord // 20 AS g FROM b), ga AS (SELECT DISTINCT g FROM va), gb AS (SELECT DISTINCT g FROM vb),
+        j AS (SELECT coalesce(va.g, vb.g) AS g, id, coalesce(va.ord, vb.ord) AS ord, va.id IS NULL AS late, va.id IS NOT NULL AND vb.semantic_name <> '' AND coalesce(vb.semantic_confidence, 0) > coalesce(va.semantic_confidence, 0) AS won, va.id IS NULL AS new, va.semantic_name AS na, vb.semantic_name AS nb FROM va FULL JOIN vb USING (id)),
+        mo AS (SELECT g, string_agg(id, ',' ORDER BY late, ord) AS ids, count(*) FILTER (CASE WHEN won OR new THEN nb ELSE na END <> '') AS named, count(*) FILTER (won AND na <> '' AND na <> nb) AS conflicts FROM j GROUP BY g),
+        sh AS (SELECT unnest([0, 1]) AS s), idt AS (SELECT doc_id, doc_id // 20 AS g, s, CASE WHEN doc_id % 3 = s THEN 'semantic' WHEN doc_id % 3 = 2 THEN 'placeholder' ELSE 'raw' END AS state, (doc_id * (3 + s)) % 7 AS c, doc_id % 4 = s AS note FROM documents, sh WHERE doc_id % (5 + s) <> 0),
+        kept AS (SELECT g, 'var:' || doc_id AS id, arg_max(state, (c, -s)) AS state, min(s) AS s FROM idt GROUP BY g, doc_id),
+        ids AS (SELECT g, string_agg(id || '=' || state, ',' ORDER BY s, id) AS identifiers, count(*) FILTER (state = 'semantic') AS semantic FROM kept GROUP BY g), nt AS (SELECT g, count(*) FILTER (note) AS n FROM idt GROUP BY g)
+        SELECT 'g' || g AS bkg_id, mo.ids, named, coalesce(identifiers, '') AS identifiers, coalesce(semantic, 0) AS semantic, coalesce(nt.n, 0) AS n_annotations, 'side0,side1,merge' AS techniques, 'merge: ' || conflicts || ' conflicts resolved by confidence' AS provenance FROM ga JOIN gb USING (g) JOIN mo USING (g) LEFT JOIN ids USING (g) LEFT JOIN nt USING (g)""",
+    "graph_errors": f"""WITH {VERSIONS}, p AS (SELECT ord // 20 AS g, row_number() OVER (PARTITION BY ord // 20 ORDER BY ord) - 1 AS i FROM a), gs AS (SELECT DISTINCT g FROM p)
+        SELECT 'g' || g AS bkg_id, CASE WHEN g % 5 = 0 THEN 'version is 2.0' ELSE 'version is missing' END AS error FROM gs WHERE g % 5 < 2 UNION ALL SELECT 'g' || g, 'bundle is missing' FROM gs WHERE g % 6 = 2
+        UNION ALL SELECT 'g' || g, 'module 1 has no id' FROM p WHERE g % 3 = 0 AND i = 1 UNION ALL SELECT 'g' || g, 'id used twice: same' FROM p WHERE g % 4 = 1 AND i > 13 GROUP BY g HAVING count(*) > 1""",
+    "paired_files": """WITH p AS (SELECT doc_id, doc_id * 2 AS r, text FROM documents WHERE doc_id % 3 <> 1) SELECT 'm' || p.doc_id AS minified_name, 'm' || p.r AS ref_name, md5(p.text) AS target_md5, md5(d.text) AS ref_md5 FROM p JOIN documents d ON d.doc_id = p.r""",
+    "statement_kinds": f"WITH {CODE} SELECT b AS bundle_id, ord, kind FROM st",
+    "runtime_names": f"WITH {CODE}, n AS (SELECT b, unnest(CASE r WHEN 'user' THEN [nm] WHEN 'assistant' THEN [nm, 'm' || (o - 1)] WHEN 'p' THEN ['p0'] WHEN 'system' THEN ['init' || o] ELSE [] END) AS name FROM st WHERE kind = 'RUNTIME') SELECT DISTINCT b AS bundle_id, name FROM n",
+    "run_folders": """WITH o AS (SELECT o_orderkey, '/d' || (o_custkey % 50) AS base, o_custkey % 50 < 40 AS has FROM orders), n AS (SELECT base, max(o_orderkey % 97) + 1 AS nx FROM o WHERE has GROUP BY 1)
+        SELECT o_orderkey, base || '/RUN_' || printf('%02d', CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 30 ELSE coalesce(nx, 0) END) AS folder, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 30 ELSE coalesce(nx, 0) END AS run, o_orderkey % 3 = 0 AS existing FROM o LEFT JOIN n USING (base)""",
+    "provenance": """WITH e AS (SELECT CASE WHEN event_id % 7 = 0 THEN event_id ELSE -(event_id // 7) - 1 END AS run, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, event_id, event_type FROM events),
+        d AS (SELECT run, ts, event_id, '{"timestamp":"' || ts || '","stage":' || event_id || ',"tool":"' || event_type || '"}' AS j FROM e)
+        SELECT run, CASE WHEN count(*) = 1 THEN any_value(j) ELSE '{"stages":[' || string_agg(j, ',' ORDER BY ts, event_id) || '],"last_updated":"' || max(ts) || '"}' END AS document FROM d GROUP BY run""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom import schema
 from graphloom.functions import text
 from graphloom.operators import align, boundary, chain, features, graph, infer, match, ops, profile, rename, report, similarity, sourcemap, unpack
 from graphloom.plans import adapters as a
@@ -420,11 +421,13 @@ def ground_truth(spark, sf):
 
 @query
 def module_counts(spark, sf):
-    """J16, Q1."""
-    d = a.table(spark, sf, "documents")
-    traced = d.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("lang") == "de").alias("runtime"), F.count_if(F.col("lang") == "es").alias("imports"))
-    maps = d.where("lang in ('en', 'fr')").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n % 5 <> 0").select("name", (F.col("n") - F.col("n") % 4).alias("n_sources"))
-    return chain.module_count_check(traced, maps, traced.where("total % 2 = 0").select("name", F.lit("known").alias("known_limitation")))
+    """Documents by source and number as sixty targets."""
+    name = F.concat("source", F.lit("-"), (F.col("doc_id") % 60).cast("string"))
+    d = a.table(spark, sf, "documents").withColumn("name", name).withColumn("k", F.col("doc_id") % 60)
+    traced = d.where("k % 10 <> 1").groupBy("name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("lang") == "de").alias("runtime"), F.count_if(F.col("lang") == "es").alias("imports"))
+    maps = d.where("lang in ('en', 'fr')").groupBy("name", "k").agg(F.count(F.lit(1)).alias("n")).where("k % 7 <> 0").select("name", (F.col("n") + F.col("k") % 4 - 1).alias("n_sources"))
+    targets = d.select("name", "k").distinct().select("name", (F.col("k") % 11 != 0).alias("has_config"), (F.col("k") % 12 != 1).alias("has_bundle"))
+    return chain.module_count_check(traced, maps, d.where("k % 6 = 2").select("name", F.lit("known").alias("known_limitation")).distinct(), targets)
 
 
 @query
@@ -625,3 +628,85 @@ def naming_client(prompt: str) -> str:
 def inferred_names(spark, sf):
     """L1, IO15, F-prompt, F-pred: a client that answers from the prompt."""
     return infer.infer(a.turn_bundles(spark, sf).select(F.col("bundle_id").cast("string").alias("module"), "code"), naming_client)
+
+
+@query
+def edge_totals(spark, sf):
+    """A20."""
+    s = a.turn_statements(spark, sf)
+    return graph.totals(boundary.statement_edges(s), boundary.definitions(s), "bundle_id")
+
+
+@query
+def kinds_by_count(spark, sf):
+    """S5."""
+    return profile.by_count(a.module_docs(spark, sf), "wrapKind", ["source"]).select("source", "wrapKind", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def full_closure(spark, sf):
+    """All that each customer reaches."""
+    edges = a.customer_edges(spark, sf)
+    return graph.closure(edges, edges.select("bkg_id", F.col("src").alias("start")).distinct()).select("start", "id")
+
+
+@query
+def merged_documents(spark, sf):
+    """Whole documents of 20 modules."""
+    m = ops.merge_documents(*a.graph_documents(spark, sf))
+    size = lambda c: F.size(c).cast("long")
+    ids = F.array_join(F.transform("identifiers", lambda i: F.concat(i["id"], F.lit("="), i["state"])), ",")
+    return m.select("bkg_id", F.array_join(F.transform("modules", lambda x: x["id"]), ",").alias("ids"), F.col("coverage.modules_named").cast("long").alias("named"), ids.alias("identifiers"), F.col("coverage.identifiers_semantic").cast("long").alias("semantic"), size("annotations").alias("n_annotations"), F.array_join(F.transform("enrichments", lambda e: e["technique"]), ",").alias("techniques"), F.element_at("enrichments", -1)["provenance"].alias("provenance"))
+
+
+@query
+def graph_errors(spark, sf):
+    """IO4: documents that break a rule, some of them two."""
+    g = a.graph_documents(spark, sf)[0]
+    k = F.substring("bkg_id", 2, 10).cast("long")
+    twice = F.transform("modules", lambda m, i: m.withField("id", F.when((k % 3 == 0) & (i == 1), F.lit("")).when((k % 4 == 1) & (i > 13), F.lit("same")).otherwise(m["id"])))
+    return schema.errors(g.withColumns({"modules": twice, "bkg_version": F.when(k % 5 == 0, "2.0").when(k % 5 != 1, F.col("bkg_version")), "bundle": F.when(k % 6 != 2, F.col("bundle"))}))
+
+
+@query
+def paired_files(spark, sf):
+    """Documents as files, matched to the one of the doubled id."""
+    d = a.table(spark, sf, "documents")
+    name = F.concat(F.lit("m"), F.col("doc_id").cast("string"))
+    file = d.select(F.lit("p").alias("pair"), F.concat(F.lit("mod_"), name, F.lit(".js")).alias("filename"), name.alias("name"), "text")
+    semantic = F.when(F.col("doc_id") % 3 != 1, F.concat(F.when(F.col("doc_id") % 2 == 0, "near_").otherwise(""), F.lit("m"), (F.col("doc_id") * 2).cast("string")))
+    m = d.select(F.lit("p").alias("pair"), name.alias("minified_name"), semantic.alias("semantic_name"))
+    return report.paired_files(file, file, m).select("minified_name", "ref_name", F.md5("target_code").alias("target_md5"), F.md5("ref_code").alias("ref_md5"))
+
+
+@query
+def statement_kinds(spark, sf):
+    """P11, P13, P14."""
+    return boundary.statement_kinds(profile.statements_of(a.turn_bundles(spark, sf))).select("bundle_id", F.col("ord").cast("long").alias("ord"), "kind")
+
+
+@query
+def runtime_names(spark, sf):
+    """What the runtime module of a bundle uses."""
+    b = a.turn_bundles(spark, sf)
+    stmts = profile.statements_of(b)
+    split = features.split_modules(b, boundary.module_rollup(stmts, boundary.assign_modules(stmts)))
+    return align.runtime_names(split).where("name rlike '^[a-z]*[0-9]+$'")
+
+
+@query
+def run_folders(spark, sf):
+    """IO11: inputs inside and outside of runs."""
+    o = a.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c"))
+    base = F.concat(F.lit("/d"), (F.col("c") % 50).cast("string"))
+    inside = F.when(F.col("o_orderkey") % 3 == 0, F.concat(base, F.lit("/RUN_"), F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"), F.lit("/x.js"))).otherwise(F.concat(base, F.lit("/x.js")))
+    runs = o.where("c % 50 < 40").select(base.alias("base"), (F.col("o_orderkey") % 97).alias("run"))
+    return files.run_folders(o.select("o_orderkey", inside.alias("path")), runs).select("o_orderkey", "folder", F.col("run").cast("long").alias("run"), "existing")
+
+
+@query
+def provenance(spark, sf):
+    """IO12, F-date: events as the stages of runs; one of seven is a run of its own."""
+    run = F.when(F.col("event_id") % 7 == 0, F.col("event_id")).otherwise(-F.floor(F.col("event_id") / 7) - 1)
+    e = a.table(spark, sf, "events").select(run.alias("run"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.col("event_id").alias("stage"), F.col("event_type").alias("tool"))
+    return files.provenance(e, ["run"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import boundary, features, profile
+from graphloom.parse.facts import parseable
 from graphloom.sources import files
 
 STAGES = ("scripts", "classified", "assigned", "split", "graph")
@@ -16,6 +17,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def syntax_check(done: dict[str, DataFrame]) -> DataFrame:
+    """``(bundle_id, ok)``: whether the text of each bundle, put together from its modules with a comment before each, still parses."""
+    text = boundary.boundary_text(done["scripts"], done["classified"], done["assigned"])
+    return text.select("bundle_id", parseable()("text").alias("ok"))
+
+
 def run_stages(spark: SparkSession, source: str, out: str, beautify: bool = True, until: str = "graph") -> dict[str, DataFrame]:
     """Reads the scripts below ``source`` and writes one table per stage below ``out``, up to ``until``.
 

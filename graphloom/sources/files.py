@@ -100,12 +100,12 @@ def write_module_files(split: DataFrame, path: str, key: str = "bundle_id") -> N
 
 
 def next_runs(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``next_run``: one more than the highest run number, for each group."""
-    return runs.groupBy(*by).agg((F.coalesce(F.max("run"), F.lit(0)) + 1).cast("long").alias("next_run"))
+    """``next_run``: one more than the highest run number, for each group; 0 where there is none."""
+    return runs.groupBy(*by).agg((F.coalesce(F.max("run"), F.lit(-1)) + 1).cast("long").alias("next_run"))
 
 
 def next_run(runs: DataFrame) -> int:
-    """One more than the highest run number."""
+    """One more than the highest run number; 0 where there is none."""
     return next_runs(runs).first()[0]
 
 
@@ -114,6 +114,32 @@ def run_number(folder: Column, prefix: str = "RUN_") -> Column:
     return F.nullif(F.regexp_extract(folder, rf"(?:^|/){prefix}(\d+)(?:/|$)", 1), F.lit("")).cast("int")
 
 
+def run_folders(inputs: DataFrame, runs: DataFrame, prefix: str = "RUN_") -> DataFrame:
+    """``inputs(path)`` with ``folder, run, existing``: where the output of each input goes.
+
+    An input that lies in a run folder stays in that run; any other gets the next run of its own folder, ``runs(base, run)``
+    being the ones there.  Inputs of one folder get the same next run.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    own = F.nullif(F.regexp_extract(folder, rf"(?:^|/){prefix}(\d+)$", 1), F.lit("")).cast("int")
+    rows = inputs.withColumns({"base": folder, "own": own}).join(next_runs(runs, ("base",)), "base", "left")
+    existing = F.col("own").isNotNull()
+    run = F.coalesce("own", "next_run", F.lit(0)).cast("int")
+    new = F.concat("base", F.lit("/" + prefix), F.lpad(run.cast("string"), F.greatest(F.lit(2), F.length(run.cast("string"))), F.lit("0")))
+    return rows.select(*inputs.columns, F.when(existing, F.col("base")).otherwise(new).alias("folder"), run.alias("run"), existing.alias("existing"))
+
+
+def provenance(records: DataFrame, by: list[str], order: str = "timestamp") -> DataFrame:
+    """``(*by, document)``: one JSON document per run; the only stage of a run is the document, several are its ``stages``.
+
+    All other columns of ``records`` describe a stage; ``last_updated`` is the time of the last one.
+    """
+    stage = F.struct(*(c for c in records.columns if c not in by))
+    runs = records.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, stage.alias("stage")))).alias("s"))
+    many = F.struct(F.transform("s", lambda x: x["stage"]).alias("stages"), F.element_at("s", -1)[order].alias("last_updated"))
+    return runs.select(*by, F.when(F.size("s") == 1, F.to_json(F.element_at("s", 1)["stage"])).otherwise(F.to_json(many)).alias("document"))
+
+
 def record_run(spark: SparkSession, path: str, run: int, stage: str, tool: str, inputs: list[str], outputs: list[str], digest: str | None = None) -> None:
     """Appends a stage to the table of runs."""
     row = [(run, stage, tool, inputs, outputs, digest)]

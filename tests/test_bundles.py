@@ -104,6 +104,11 @@ def test_align_and_votes(spark):
     pairs = spark.createDataFrame([(1, "function a(b,c){var d;{let e}}var f", "function load(url,c){var data;{let item}}var cache"), (2, "var a", "var a,b")], "pair int, target_code string, ref_code string")
     got = {(r["minified"], r["semantic"]) for r in align.align_scopes(pairs).collect()}
     assert got == {("a", "load"), ("f", "cache"), ("b", "url"), ("d", "data"), ("e", "item")}
+    odd = spark.createDataFrame([(1, "var a,b;{let c}", "var first,length;{let third}{}"), (2, "var q,z;{let c}", "var first;{let third}"), (3, "var q,z", "var one,two")], "pair int, target_code string, ref_code string")
+    found = lambda *args: {(r["pair"], r["minified"], r["semantic"]) for r in align.align_scopes(odd, *args).collect()}
+    assert found() == {(2, "c", "third"), (3, "q", "one"), (3, "z", "two")}  # scopes differ in 1, counts in one scope of 2
+    assert found(None, 1) == {(1, "a", "first"), (1, "c", "third"), (2, "c", "third"), (3, "q", "one"), (3, "z", "two")}
+    assert found(spark.createDataFrame([(3, "z"), (2, "q"), (3, "one")], "pair int, name string")) == {(2, "c", "third")}
     raw = spark.createDataFrame([("a", "x")] * 8 + [("a", "y")] * 2 + [("b", "x"), ("b", "y"), ("c", "z")], "minified string, semantic string")
     assert sorted(tuple(r) for r in align.vote(raw, []).collect()) == [("a", "x", 8, 0.8), ("c", "z", 1, 1.0)]
     assert {r["pair"]: r["status"] for r in align.declaration_quality(pairs).collect()} == {1: "exact", 2: "close"}
@@ -170,6 +175,10 @@ def test_inference(spark):
     assert [(r["minified"], r["semantic"]) for r in got.collect()] == [("ab", "counter")]
     truth = spark.createDataFrame([("m", "ab", "total")], "module string, minified string, semantic string")
     assert infer.against_truth(got, truth, ["module"]).count() == 0 and infer.infer(mods).count() == 0
+    both = infer.prompts(spark.createDataFrame([("m", "var ab = longName + if_", "var counter = longName + ab")], "module string, code string, ref_code string"), True).first()["prompt"]
+    assert "Short names: if_\n" in both and "Readable names: counter\n" in both
+    alone = infer.prompts(spark.createDataFrame([("m", "for (var z of abcd) z(ab)")], "module string, code string"), False).first()["prompt"]
+    assert "Short names: z, ab\n" in alone
     assert infer.unreserved(got, spark.createDataFrame([("ab",)], "name string")).count() == 0
 
 
@@ -178,6 +187,10 @@ def test_module_counts(spark):
     maps = spark.createDataFrame([("a", 4), ("b", 4), ("c", 2), ("d", 2), ("f", 1)], "name string, n_sources int")
     got = {r["name"]: r["status"] for r in chain.module_count_check(traced, maps, spark.createDataFrame([("d", "why")], "name string, known_limitation string")).collect()}
     assert got == {"a": "EXACT", "b": "OFF_BY_ONE", "c": "MISMATCH", "d": "KNOWN_LIMITATION", "e": "NO_MAP", "f": "NO_TRACE"}
+    targets = spark.createDataFrame([("a", True, True), ("b", False, True), ("c", True, False), ("x", True, True)], "name string, has_config boolean, has_bundle boolean")
+    limits = spark.createDataFrame([("a", "why"), ("x", "why")], "name string, known_limitation string")
+    got = {r["name"]: r["status"] for r in chain.module_count_check(traced, maps, limits, targets).collect()}
+    assert got == {"a": "KNOWN_LIMITATION", "b": "SKIP", "c": "NO_BUNDLE", "x": "NO_MAP"}
 
 
 @pytest.mark.parametrize("code", ["a=b\n++c", "x=/[/]\\/g/.test(y)/2", "`a${b+`c${d}`}e`", "class A extends B{static #p=1;get x(){return this.#p}static{f()}async *g(){yield* h()}}", "({a,b=1}=c)", "import a,{b as c} from 'm';export{c as d};export default class{}", "for(const [k,v] of m)f(k)", "(a,b)=>()=>(b||a((b={exports:{}}).exports,b),b.exports)", "a?.b?.[c]?.(d)", "x = {get a(){return 1},set a(v){},async b(){},*c(){},[d]:1,'e':2,3:4,get:5}", "if(a){}/x/.test(b)", "label:for(;;){break label}", "let x=a?b:c?(d):e;y??=z**2", "for await(const x of y);", "async x=>await x"])

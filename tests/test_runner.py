@@ -2,9 +2,10 @@ import pytest
 
 from graphloom.functions.text import utf16_length, utf16_order
 from graphloom.operators import profile
+from graphloom.sources import files
 from graphloom.parse import js
 from graphloom.parse.layout import beautify
-from graphloom.plans.runner import STAGES, run_stages
+from graphloom.plans.runner import STAGES, run_stages, syntax_check
 from graphloom.streaming.arrivals import arriving_scripts, keep_graphs
 
 CODE = "#!/usr/bin/env node\nvar u=(a,b)=>()=>(a&&(b=a(a=0)),b);var k=u(()=>{switch(x){case 1:{f()}}});function g(x){if(x){return{a:1}}else return;}// end"
@@ -43,6 +44,7 @@ def test_stages_resume(spark, tmp_path):
     assert list(done) == list(STAGES)
     assert {r["stage"] for r in spark.read.parquet(f"{out}/runs").collect()} == set(STAGES) and spark.read.parquet(f"{out}/runs").count() == 5
     assert done["graph"].where("bkg_id = 'a.js'").count() >= 2 and done["graph"].where("bkg_id = 'bad.js'").count() == 0
+    assert {r["bundle_id"]: r["ok"] for r in syntax_check(done).collect()} == {"a.js": True, "bad.js": False}
     with pytest.raises(ValueError):
         run_stages(spark, str(tmp_path / "in"), out, until="nothing")
 
@@ -57,3 +59,13 @@ def test_arrivals(spark, tmp_path):
         assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["batch"], r["bkg_id"]) for r in got.select("batch", "bkg_id").distinct().collect()} == {(0, "a.js"), (1, "b.js"), (1, "c.js")}
+
+
+def test_runs(spark):
+    inputs = spark.createDataFrame([("/a/RUN_03/x.js",), ("/a/x.js",), ("/a/y.js",), ("/b/x.js",), ("/RUN_1/c/x.js",)], "path string")
+    runs = spark.createDataFrame([("/a", 3), ("/a", 120), ("/a", 9)], "base string, run int")
+    got = {r["path"]: (r["folder"], r["run"], r["existing"]) for r in files.run_folders(inputs, runs).collect()}
+    assert got == {"/a/RUN_03/x.js": ("/a/RUN_03", 3, True), "/a/x.js": ("/a/RUN_121", 121, False), "/a/y.js": ("/a/RUN_121", 121, False), "/b/x.js": ("/b/RUN_00", 0, False), "/RUN_1/c/x.js": ("/RUN_1/c/RUN_00", 0, False)}
+    assert files.next_run(runs.where("base = 'none'")) == 0
+    records = spark.createDataFrame([(1, "t1", "beautify"), (2, "t2", "trace"), (2, "t1", "classify")], "run int, timestamp string, tool string")
+    assert {r["run"]: r["document"] for r in files.provenance(records, ["run"]).collect()} == {1: '{"timestamp":"t1","tool":"beautify"}', 2: '{"stages":[{"timestamp":"t1","tool":"classify"},{"timestamp":"t2","tool":"trace"}],"last_updated":"t2"}'}
