@@ -1,8 +1,8 @@
 """Set-similarity joins, the top-two gate and one-to-one assignment.
 
-Pairs come from an equi-join on set members, so only pairs that share one are ever formed; a frequent
-member is split between tasks by adaptive skew joins and its counts are combined map-side.  No
-member is dropped: every score is exact.
+Pairs come from an equi-join on set members, so only pairs that share one are ever formed, between distinct
+sets where nothing but the set counts; a frequent member is split between tasks by adaptive skew joins and
+its counts are combined map-side.  No member is dropped: every score is exact.
 """
 
 from __future__ import annotations
@@ -62,17 +62,38 @@ def assign(best: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return held.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "t_ord")))
 
 
+def best_seeds(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least: float = 0.15, ratio: float = 1.3) -> DataFrame:
+    """``(*by, t_id, t_ord, r_id, r_ord, score, second)``: targets whose best reference passes the gate.
+
+    Scores depend on the sets of strings only, so sets meet sets, however many modules have them: each
+    set of references stands for its first two.  Pairs well under ``least / ratio`` neither pass nor block.
+    """
+    by, key = list(by), ["k1", "k2"]
+
+    def side(df: DataFrame) -> DataFrame:
+        own = df.where(F.size("strings") >= 2).withColumn("strings", F.array_sort(F.array_distinct("strings")))
+        return own.select(*by, "id", "ord", "strings", F.xxhash64("strings").alias("k1"), F.xxhash64(F.lit(7), "strings").alias("k2"))
+
+    def sets(df: DataFrame) -> DataFrame:
+        return df.groupBy(*by, *key).agg(F.first("strings").alias("strings")).select(*by, F.struct(*key).alias("id"), F.lit(0).alias("ord"), "strings")
+
+    a, b = side(t), side(r)
+    met = jaccard(overlaps(sets(a), sets(b), "strings", by)).where(F.col("score") >= 0.9 * least / ratio).select(*by, "t_id", F.col("r_id").alias("r_set"), "score")
+    first = Window.partitionBy(*by, *key).orderBy("ord")
+    two = b.select(*by, F.struct(*key).alias("r_set"), F.col("id").alias("r_id"), F.col("ord").alias("r_ord"), F.row_number().over(first).alias("n")).where("n <= 2").drop("n")
+    best = gate(top_two(met.join(two, [*by, "r_set"]), by), least, ratio).withColumnRenamed("t_id", "set")
+    return a.select(*by, F.struct(*key).alias("set"), F.col("id").alias("t_id"), F.col("ord").alias("t_ord")).join(best.select(*by, "set", "r_id", "r_ord", "score", "second"), [*by, "set"]).drop("set")
+
+
 def string_seeds(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least: float = 0.15, ratio: float = 1.3) -> DataFrame:
     """First technique: ``(*by, t_id, t_ord, r_id, r_ord, confidence, technique)``."""
-    usable = F.size("strings") >= 2
-    best = gate(top_two(jaccard(overlaps(t.where(usable), r.where(usable), "strings", by)), by), least, ratio)
+    best = best_seeds(t, r, by, least, ratio)
     return assign(best, by).where("rank = 1").select(*by, "t_id", "t_ord", "r_id", "r_ord", F.col("score").alias("confidence"), F.lit("string_seed").alias("technique"))
 
 
 def seed_acceptances(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least: float = 0.15, ratio: float = 1.3) -> DataFrame:
     """How many seeds were accepted, kept and evicted."""
-    usable = F.size("strings") >= 2
-    best = gate(top_two(jaccard(overlaps(t.where(usable), r.where(usable), "strings", by)), by), least, ratio)
+    best = best_seeds(t, r, by, least, ratio)
     return assign(best, by).groupBy(*by).agg(F.count_if("held").alias("accepted"), F.count_if(F.col("rank") == 1).alias("kept"))
 
 

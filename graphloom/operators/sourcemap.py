@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import slices
+
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -101,6 +103,10 @@ def enrich(modules: DataFrame, maps: DataFrame, bundles: DataFrame) -> tuple[Dat
         "source_file": F.coalesce("source", "source_file"), "semantic_name": F.when(hit & open_, base_name(F.col("source"))).otherwise(F.col("semantic_name")),
         "semantic_confidence": F.when(hit & open_, F.lit(0.95)).otherwise(F.col("semantic_confidence")), "semantic_source": F.when(hit & open_, F.lit("source_map_file")).otherwise(F.col("semantic_source")),
     }).select(*modules.columns)
-    idents = placed.where("original is not null").join(bundles, key).withColumn("minified", identifier_at(F.col("code"), F.col("offset").cast("int"))).where("minified <> ''")
+    # a bundle's points are cut out of its text at once, so that the text does not travel with each
+    per = placed.where("original is not null").groupBy(key).agg(F.collect_list(F.struct(F.col("offset").cast("int").alias("offset"), "range_id", "original", "gen_line", "seg")).alias("p"))
+    cut = slices()("code", "p.offset", F.transform("p.offset", lambda x: x + 100))
+    spots = bundles.select(key, "code").join(per, key).select(key, F.explode(F.arrays_zip("p", cut.alias("text"))).alias("z")).select(key, "z.p.*", "z.text")
+    idents = spots.withColumn("minified", identifier_at(F.col("text"), F.lit(0))).where("minified <> ''")
     idents = idents.groupBy(key, F.col("range_id").alias("module"), "minified", F.col("original").alias("semantic")).agg(F.min(order).alias("at"))
     return renamed, idents.select(key, F.concat(F.lit("var:"), "module", F.lit(":"), "minified").alias("id"), "module", "minified", "semantic", F.lit("semantic").alias("state"), F.lit(1.0).alias("confidence"), F.lit("source_map").alias("source"))
