@@ -52,18 +52,39 @@ def _open(t: DataFrame, r: DataFrame, te: DataFrame, matches: DataFrame) -> tupl
     return left, r.join(matches.select(F.col("r_id").alias("id")), "id", "left_anti")
 
 
+def alike_shapes(ka: DataFrame, kb: DataFrame, least: float = 0.58) -> DataFrame:
+    """``(t_kinds, t_len, r_kinds, r_len, score)`` of the shapes whose similarity is at least ``least``.
+
+    Similar shapes are near in length and share that part of the larger set of kinds, hence one of the rarest kinds of
+    each: they meet on the class of the length and such a kind, the first that they have in common.
+    """
+    by = {p: [f"{p}_kinds", f"{p}_len"] for p in "tr"}
+    # lengths within ``least`` of each other lie in the same or neighbouring classes of a base of at least its inverse
+    level = lambda c: F.floor(F.log(c) / F.log(F.lit(1.05 / least)))
+    each = {p: df.select(*by[p], F.explode(f"{p}_kinds").alias("kind")) for p, df in (("t", ka), ("r", kb))}
+    seen = each["t"].select("kind").union(each["r"].select("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(p: str) -> DataFrame:
+        rows = each[p].join(seen, "kind").groupBy(*by[p]).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind"))), lambda x: x["kind"]).alias("k"))
+        size = F.size("k")
+        # slightly below the exact share, so that rounding loses nothing
+        first = F.slice("k", 1, (size - F.ceil(size * (least - 1e-9)) + 1).cast("int"))
+        return rows.select(*by[p], first.alias(f"{p}_first")).withColumn("kind", F.explode(f"{p}_first"))
+
+    a = rare("t").withColumn("c", F.explode(F.array(*(level(F.col("t_len")) + k for k in (-1, 0, 1)))))
+    met = a.join(rare("r").withColumn("c", level(F.col("r_len"))), ["c", "kind"]).where(F.element_at(F.array_intersect("t_first", "r_first"), 1) == F.col("kind"))
+    common = F.size(F.array_intersect("t_kinds", "r_kinds")) / F.greatest(F.size("t_kinds"), F.size("r_kinds"))
+    return met.select(*by["t"], *by["r"], (common * (F.least("t_len", "r_len") / F.greatest("t_len", "r_len"))).alias("score")).where(F.col("score") >= least)
+
+
 def fingerprint_round(t: DataFrame, r: DataFrame, te: DataFrame, matches: DataFrame) -> DataFrame:
     """Third technique.  Similarity depends on the set of kinds and the length only, so both sides are
-    grouped by these; pairs meet on the class of their length and are kept when they could matter (0.7 / 1.2)."""
+    grouped by these; pairs of shapes are kept when they could matter (0.7 / 1.2)."""
     left, free = _open(t, r, te, matches)
     shape = lambda df, p: df.where("ast_fingerprint <> ''").select(F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), F.array_sort(F.array_distinct(F.split("ast_fingerprint", ":"))).alias(f"{p}_kinds"), F.size(F.split("ast_fingerprint", ":")).alias(f"{p}_len"))
-    a, b = shape(left, "t").where("t_len >= 5"), shape(free, "r")
+    a, b = settled(shape(left, "t").where("t_len >= 5"), "shapes"), settled(shape(free, "r"), "shapes")  # read several times below
     ka, kb = (x.select(f"{p}_kinds", f"{p}_len").distinct() for x, p in ((a, "t"), (b, "r")))
-    # lengths within 0.58 of each other lie in the same or neighbouring classes of base 1.8
-    level = lambda c: F.floor(F.log(c) / F.log(F.lit(1.8)))
-    shapes = ka.withColumn("c", F.explode(F.array(*(level(F.col("t_len")) + k for k in (-1, 0, 1))))).join(kb.withColumn("c", level(F.col("r_len"))), "c").drop("c")
-    common = F.size(F.array_intersect("t_kinds", "r_kinds")) / F.greatest(F.size("t_kinds"), F.size("r_kinds"))
-    scored = shapes.withColumn("score", common * (F.least("t_len", "r_len") / F.greatest("t_len", "r_len"))).where("score >= 0.58")
+    scored = alike_shapes(ka, kb)
     # the two first references of a shape decide for every target of a like shape
     first = Window.partitionBy("r_kinds", "r_len").orderBy("r_ord")
     some = b.withColumn("k", F.row_number().over(first)).where("k <= 2").drop("k")

@@ -12,6 +12,7 @@ from graphloom.functions import text
 from graphloom.operators import align, boundary, chain, features, graph, infer, match, ops, profile, rename, report, similarity, sourcemap, unpack
 from graphloom.plans import adapters as a
 from graphloom.sources import files
+from graphloom.sources.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -296,7 +297,7 @@ def structure_scores(spark, sf):
 def fingerprint_match(spark, sf):
     """Fingerprints of targets beside a seed."""
     t, r = a.halves(spark, sf)
-    seeds = similarity.string_seeds(t, r)
+    seeds = settled(similarity.string_seeds(t, r), "seeds")  # read several times
     te = t.select("id", F.concat(F.lit("mod:"), (F.col("ord") + 2).cast("string")).alias("near"), F.lit(True).alias("out"))
     return match.fingerprint_round(t, r, te, seeds).select("t_id", "r_id", F.round("confidence", 9).alias("confidence"))
 

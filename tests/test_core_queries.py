@@ -36,5 +36,6 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    """Their operators are held against brute force or hand-made cases in the other files."""
+    assert queries.QUERIES[name](spark, SF).count() > 0

@@ -181,3 +181,26 @@ def test_merge_rules(modules):
     assert {i: (r["semantic_name"], r["conflict"]) for i, r in got.items()} == {"0": ("one", False), "1": ("same", False), "2": ("kept", False), "3": (None, False), "4": (None, False)}
     assert len(got["0"]["strings"]) == 50 and got["1"]["semantic_confidence"] == 0.9
     assert {r["status"]: r["count"] for r in ops.diff(a, b).groupBy("status").count().collect()} == {"shared": 3, "removed": 1, "added": 1}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_alike_shapes_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    some = [sorted(set(rng.choices("ABCDEFGHIJKL", range(1, 13), k=rng.randint(1, 8)))) for _ in range(120)]
+    shapes = sorted({(tuple(k), len(k) + rng.randint(0, 9)) for k in some})
+    frame = lambda rows, p: spark.createDataFrame([(list(k), n) for k, n in rows], f"{p}_kinds array<string>, {p}_len int")
+    got = {(tuple(x["t_kinds"]), x["t_len"], tuple(x["r_kinds"]), x["r_len"]): x["score"] for x in match.alike_shapes(frame(shapes[::2], "t"), frame(shapes[1::2], "r")).collect()}
+    score = lambda a, m, b, n: len(set(a) & set(b)) / max(len(a), len(b)) * (min(m, n) / max(m, n))
+    want = {(a, m, b, n): s for a, m in shapes[::2] for b, n in shapes[1::2] if (s := score(a, m, b, n)) >= 0.58}
+    assert got == want and len(want) > 50
+
+
+def test_cascade_needs_what_it_matches_on(modules):
+    """Synchronous matching equals matching in order where no match of a pass rests on another one of it."""
+    rng = random.Random(4)
+    strings = [[f"s{rng.randrange(30)}" for _ in range(4)] for _ in range(20)]
+    t, r = (modules([module(k, p, strings=strings[k], bytes=100 + k) for k in range(20)]) for p in ("t", "r"))
+    rows = lambda df: [x.asDict() for x in df.orderBy("ord").collect()]
+    want = {(a, b, round(c, 9)) for a, b, c, how in match.match_in_order(rows(t), rows(r)) if how == "string_seed"}
+    got = {(x["t_id"], x["r_id"], round(x["confidence"], 9)) for x in match.cascade(t, r).collect()}
+    assert got == want and len(want) > 10
