@@ -94,7 +94,7 @@ def merge_documents(a: DataFrame, b: DataFrame, key: str = "bkg_id", at: Column
     entry = F.struct(at.alias("timestamp"), F.lit("merge").alias("technique"), F.lit(None).cast("string").alias("reference_version"), zero("modules_total").alias("modules_enriched"), zero(F.size("identifiers")).alias("identifiers_enriched"), F.format_string("merge: %d conflicts resolved by confidence", zero("conflicts")).alias("provenance"))
     log = F.array(entry).cast(kinds["enrichments"])
     cover = F.struct(*(zero(c).alias(c) for c in ("modules_named", "modules_total", *(f"identifiers_{s}" for s in states))), F.lit(0).alias("identifier_coverage_semantic"), F.lit(0).alias("identifier_coverage_touched"))
-    return j.select(key, F.lit("1.0").alias("bkg_version"), F.col("a_bundle").alias("bundle"), F.coalesce("a_reference", "b_reference").alias("reference"), "modules", F.coalesce("identifiers", both("identifiers")).alias("identifiers"), both("annotations").alias("annotations"), F.concat(both("enrichments"), log).alias("enrichments"), cover.alias("coverage"))
+    return j.select(key, F.lit("1.0").alias("bkg_version"), F.col("a_bundle").alias("bundle"), F.coalesce("a_reference", "b_reference").alias("reference"), F.coalesce("modules", F.array().cast(modules.schema["modules"].dataType)).alias("modules"), F.coalesce("identifiers", both("identifiers")).alias("identifiers"), both("annotations").alias("annotations"), F.concat(both("enrichments"), log).alias("enrichments"), cover.alias("coverage"))
 
 
 def diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

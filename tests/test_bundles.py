@@ -206,3 +206,20 @@ def test_parser_refuses(code):
 def test_units_and_names():
     s = facts.statements("var {a:[b,...c],d=1,...e}=x,f='😀';")
     assert s[0]["names"] == ["b", "c", "e", "f"] and s[0]["bytes"] == s[0]["end"] - s[0]["start"] + 1
+
+
+def test_merge_of_documents_without_lists(spark):
+    base = dict.fromkeys(("reference", "identifiers", "annotations", "enrichments", "coverage"))
+    one = [{"id": "b", "semantic_name": "x", "semantic_confidence": 0.2}, {"id": "a"}]
+    two = [{"id": "c"}, {"id": "b", "semantic_name": "y", "semantic_confidence": 0.4}]
+    ids = [{"id": "v2", "confidence": 0.5, "state": "raw"}, {"id": "v1", "confidence": None, "state": "semantic"}]
+    kind = f"bkg_id string, {schema.GRAPH}"
+    doc = lambda key, modules, **more: base | {"bkg_id": key, "bkg_version": "1.0", "bundle": {"file": "f"}, "modules": modules} | more
+    a = spark.createDataFrame([doc("k", one), doc("none", None), doc("left", one)], kind)
+    b = spark.createDataFrame([doc("k", two, identifiers=ids, reference={"version": "2"}), doc("none", None), doc("right", one)], kind)
+    got = {r["bkg_id"]: r for r in ops.merge_documents(a, b, at=F.lit("now")).collect()}
+    assert got.keys() == {"k", "none"}
+    assert [(m["id"], m["semantic_name"]) for m in got["k"]["modules"]] == [("b", "y"), ("a", None), ("c", None)]
+    assert [i["id"] for i in got["k"]["identifiers"]] == ["v2", "v1"] and got["k"]["reference"]["version"] == "2" and got["k"]["annotations"] == []
+    assert [(e["timestamp"], e["technique"], e["modules_enriched"], e["identifiers_enriched"], e["provenance"]) for e in got["k"]["enrichments"]] == [("now", "merge", 3, 2, "merge: 1 conflicts resolved by confidence")]
+    assert got["none"]["modules"] == [] and got["none"]["identifiers"] == [] and got["none"]["coverage"]["modules_total"] == 0

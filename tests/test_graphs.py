@@ -271,4 +271,4 @@ def test_cascade_equals_plain_rounds(modules, seed):
     rows = lambda df: [x.asDict() for x in df.orderBy("ord").collect()]
     got = {(x["t_id"], x["r_id"], x["technique"], round(x["confidence"], 9)) for x in match.cascade(t, r).collect()}
     assert got == brute_cascade(rows(t), rows(r))
-    assert len({how for _, _, how, _ in got}) >= 3
+    assert len({how for _, _, how, _ in got}) == 4
