@@ -39,7 +39,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Bits of the largest bitmap.
 BITS = 1 << 22
 GAP = r"[\x20\x09-\x0D]{1,3}"
-CAPITALISED = r"\p{Lu}\p{Ll}+[\p{L}\p{M}\p{N}]*"
+# possessive, as every loop over a group below: Java takes stack for each turn that it could give back, and what follows never needs one back
+CAPITALISED = r"\p{Lu}\p{Ll}++[\p{L}\p{M}\p{N}]*+"
 UNITS = "km|cm|mm|m|mi|miles?|kilomet(?:er|re)s?|met(?:er|re)s?|feet|foot|ft|inch(?:es)?|yards?|kg|kilograms?|mg|g|grams?|lbs?|pounds?|ounces?|oz|tons?|l|lit(?:er|re)s?|ml|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kph|usd|eur|dollars?|euros?|cents?|percent|degrees?"
 
 
@@ -64,8 +65,8 @@ def plain_words(text: Column) -> Column:
 
 def template_words(text: Column) -> Column:
     """Words with placeholders, one for each of :func:`plain_words`."""
-    text = F.regexp_replace(_unmarked(text), rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;:%]{GAP}\p{{Lu}})\p{{Ll}}+[\p{{L}}\p{{M}}\p{{N}}]*(?:{GAP}{CAPITALISED})*", NAME)
-    text = F.regexp_replace(F.lower(text), r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
+    text = F.regexp_replace(_unmarked(text), rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;:%]{GAP}\p{{Lu}})\p{{Ll}}+[\p{{L}}\p{{M}}\p{{N}}]*(?:{GAP}{CAPITALISED})*+", NAME)
+    text = F.regexp_replace(F.lower(text), r"\p{N}+(?:[.,:/]\p{N}+)*+", NUMBER)
     return _split(F.regexp_replace(text, rf"({NUMBER}[\x20\x09-\x0D]*)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"))
 
 

@@ -227,6 +227,18 @@ def test_decontamination_finds_changed_questions(docs, spark):
         assert sorted(r["text"] for r in kept) == ["clean text", "clean text", "some other text"]
 
 
+def test_decontamination_of_long_runs(docs, spark):
+    """Runs of names or of numbers in one text, and words, of any length."""
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    runs = [" Anna" * 20_000, " 1" + ".1" * 20_000, " A" + "b" * 20_000, " Anna Bea" * 10_000 + " 3" + ":4" * 10_000]
+    texts = [f"we saw{r} here. {ITEM}" for r in runs] + [f"we saw{r} here" for r in runs]
+    words = docs(texts).select("doc_id", template_decontam.template_words(F.col("text")).alias("t"), template_decontam.plain_words(F.col("text")).alias("p")).orderBy("doc_id").collect()
+    assert [r["t"][2:-1] for r in words[4:]] == [["\ue000"], ["\ue001"], ["\ue000"], ["\ue000", "\ue001"]]
+    assert [len(r["t"]) for r in words] == [len(r["p"]) for r in words]
+    got = sorted((r["doc_id"], r["kind"]) for r in template_decontam.leaks(docs(texts), items).collect())
+    assert got == [(k, "verbatim") for k in range(4)]
+
+
 def brute_leaks(docs, items, window=5, fixed=2, share=0.5, least=4, shift=3):
     """Pairs found by the rule on lists of words: ``docs`` and ``items`` as (id, [(template words, plain words), ...], raw words)."""
     slot = lambda w: any(c in w for c in "\ue000\ue001\ue002")
