@@ -1,8 +1,8 @@
 """Set-similarity joins, the top-two gate and one-to-one assignment.
 
 Pairs come from an equi-join on set members, so only pairs that share one are ever formed, between distinct
-sets where nothing but the set counts; a frequent member is split between tasks by adaptive skew joins and
-its counts are combined map-side.  No member is dropped: every score is exact.
+sets where nothing but the set counts; sets that share frequent members alone are compared by profile, not one by
+one.  No member is dropped: every score is exact.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import settled
+
 
 def fingerprint_similarity(a: Column, b: Column) -> Column:
     """Shared kinds over the larger number of kinds, times the ratio of lengths; 0 if either is missing."""
@@ -62,27 +64,70 @@ def assign(best: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return held.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "t_ord")))
 
 
+def hot_members(sides: Sequence[DataFrame], by: Sequence[str] = (), most: int = 64) -> DataFrame:
+    """``(*by, member)`` of the members that more than ``most`` rows of either side have, of ``(*by, member)`` rows.
+
+    Any other member yields at most ``most`` pairs for each row that has it.
+    """
+    on = [*by, "member"]
+    one, two = (df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*on) for df in sides)
+    return one.join(two, on, "left_semi")
+
+
 def best_seeds(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least: float = 0.15, ratio: float = 1.3) -> DataFrame:
     """``(*by, t_id, t_ord, r_id, r_ord, score, second)``: targets whose best reference passes the gate.
 
     Scores depend on the sets of strings only, so sets meet sets, however many modules have them: each
     set of references stands for its first two.  Pairs well under ``least / ratio`` neither pass nor block.
+
+    Sets that share a string of few sets are paired by it.  Any other pair shares hot strings alone, so that its score
+    is equal for all sets of one profile (hot strings, size): profiles meet profiles, each stands for its first two
+    references, and each profile of targets keeps two of them.  For pairs of the first kind that is a lower bound.
     """
-    by, key = list(by), ["k1", "k2"]
+    by, key, profile, floor = list(by), ["k1", "k2"], ["hot", "n"], 0.9 * least / ratio
 
     def side(df: DataFrame) -> DataFrame:
         own = df.where(F.size("strings") >= 2).withColumn("strings", F.array_sort(F.array_distinct("strings")))
         return own.select(*by, "id", "ord", "strings", F.xxhash64("strings").alias("k1"), F.xxhash64(F.lit(7), "strings").alias("k2"))
 
-    def sets(df: DataFrame) -> DataFrame:
-        return df.groupBy(*by, *key).agg(F.first("strings").alias("strings")).select(*by, F.struct(*key).alias("id"), F.lit(0).alias("ord"), "strings")
+    def named(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*by, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in by))
 
     a, b = side(t), side(r)
-    met = jaccard(overlaps(sets(a), sets(b), "strings", by)).where(F.col("score") >= 0.9 * least / ratio).select(*by, "t_id", F.col("r_id").alias("r_set"), "score")
+    sets = [settled(df.groupBy(*by, *key).agg(F.first("strings").alias("strings")), "sets") for df in (a, b)]  # read several times below
+    each = [df.select(*by, *key, F.explode("strings").alias("member")) for df in sets]
+    hot = settled(hot_members(each, by), "hot")
+    profiles = []
+    for df, members in zip(sets, each, strict=True):
+        own = members.join(hot, [*by, "member"]).groupBy(*by, *key).agg(F.array_sort(F.collect_list("member")).alias("hot"))
+        rows = df.select(*by, *key, F.size("strings").alias("n")).join(own, [*by, *key], "left")
+        profiles.append(settled(rows.withColumn("hot", F.coalesce("hot", F.array().cast("array<string>"))), "profiles"))
+    (ta, rb), out = (named(df, p) for df, p in zip(profiles, "tr", strict=True)), [*by, "t_k1", "t_k2", "r_id", "r_ord", "score"]
+    both = F.size(F.array_intersect("t_hot", "r_hot"))
+    score = lambda shared: shared / (F.col("t_n") + F.col("r_n") - shared)
+
+    cold = [named(df.join(hot, [*by, "member"], "left_anti"), p).withColumnRenamed(f"{p}_member", "member") for df, p in zip(each, "tr", strict=True)]
+    pairs = cold[0].join(cold[1], [*by, "member"]).groupBy(*by, "t_k1", "t_k2", "r_k1", "r_k2").agg(F.count(F.lit(1)).alias("shared"))
+    met = pairs.join(ta, [*by, "t_k1", "t_k2"]).join(rb, [*by, "r_k1", "r_k2"]).withColumn("score", score(F.col("shared") + both)).where(F.col("score") >= floor)
     first = Window.partitionBy(*by, *key).orderBy("ord")
-    two = b.select(*by, F.struct(*key).alias("r_set"), F.col("id").alias("r_id"), F.col("ord").alias("r_ord"), F.row_number().over(first).alias("n")).where("n <= 2").drop("n")
-    best = gate(top_two(met.join(two, [*by, "r_set"]), by), least, ratio).withColumnRenamed("t_id", "set")
-    return a.select(*by, F.struct(*key).alias("set"), F.col("id").alias("t_id"), F.col("ord").alias("t_ord")).join(best.select(*by, "set", "r_id", "r_ord", "score", "second"), [*by, "set"]).drop("set")
+    two = named(b.select(*by, *key, "id", "ord", F.row_number().over(first).alias("k")).where("k <= 2").drop("k"), "r")
+    alike = met.select(*by, "t_k1", "t_k2", "r_k1", "r_k2", "score").join(two, [*by, "r_k1", "r_k2"]).select(*out)
+
+    # profiles that can reach the floor at all
+    able = (F.size("hot") > 0) & (F.size("hot") / F.col("n") >= floor)
+    some = two.select(*by, F.col("r_k1").alias("k1"), F.col("r_k2").alias("k2"), F.col("r_id").alias("id"), F.col("r_ord").alias("ord")).join(profiles[1].where(able), [*by, *key])
+    first = Window.partitionBy(*by, *profile).orderBy("ord")
+    some = named(some.select(*by, *profile, "id", "ord", F.row_number().over(first).alias("k")).where("k <= 2").drop("k"), "r")
+    tp, rp = (named(df.where(able).select(*by, *profile).distinct(), p).withColumn("member", F.explode(f"{p}_hot")) for df, p in zip(profiles, "tr", strict=True))
+    near = (F.least(F.size("t_hot"), F.size("r_hot")) >= floor * F.greatest("t_n", "r_n")) & (F.element_at(F.array_intersect("t_hot", "r_hot"), 1) == F.col("member"))
+    stand = tp.join(rp, [*by, "member"]).where(near).withColumn("score", score(both)).where(F.col("score") >= floor).drop("member").join(some, [*by, "r_hot", "r_n"])
+    best = Window.partitionBy(*by, "t_hot", "t_n").orderBy(F.desc("score"), "r_ord")
+    stand = stand.withColumn("k", F.row_number().over(best)).where("k <= 2").select(*by, "t_hot", "t_n", "r_id", "r_ord", "score")
+    plain = ta.join(stand, [*by, "t_hot", "t_n"]).select(*out)
+
+    found = alike.union(plain).groupBy(*out[:-1]).agg(F.max("score").alias("score")).withColumn("t_id", F.struct(F.col("t_k1").alias("k1"), F.col("t_k2").alias("k2")))
+    won = gate(top_two(found, by), least, ratio).select(*by, F.col("t_k1").alias("k1"), F.col("t_k2").alias("k2"), "r_id", "r_ord", "score", "second")
+    return a.select(*by, *key, F.col("id").alias("t_id"), F.col("ord").alias("t_ord")).join(won, [*by, *key]).drop(*key)
 
 
 def string_seeds(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least: float = 0.15, ratio: float = 1.3) -> DataFrame:

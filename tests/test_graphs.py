@@ -103,6 +103,36 @@ def test_seeds_agree_with_matching_in_order(modules, seed):
     assert pairs(similarity.string_seeds(t, r)) == {(a, b): round(c, 6) for a, b, c, how in one if how == "string_seed"}
 
 
+def rows_made(df):
+    """The most rows that an operator of ``df``'s plan has made."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_string_of_many_sets_is_not_paired_in_full(modules):
+    make = lambda p: modules([module(k, p, strings=["common", f"{p}{k}", f"own{k // 3}", *map(str, range(k % 4))], bytes=0) for k in range(300)])
+    assert rows_made(similarity.string_seeds(make("t"), make("r"))) < 20_000  # 300 x 300 pairs share a string
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_strings_agree_with_matching_in_order(modules, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    often = [300 / (k + 1) for k in range(400)]  # a few strings are in over 64 sets of each side
+    make = lambda p: modules([module(k, p, strings=rng.choices(words, often, k=rng.randint(1, 7)), bytes=0) for k in range(400)])
+    t, r = make("t"), make("r")
+    one = match.match_in_order([x.asDict() for x in t.collect()], [x.asDict() for x in r.collect()])
+    want = {(a, b): round(c, 6) for a, b, c, how in one if how == "string_seed"}
+    assert len(want) > 20 and pairs(similarity.string_seeds(t, r)) == want
+
+
 def test_sequential_matching_takes_one_sided_pairs(modules):
     t = modules([module(0, strings=["a", "b"])]).withColumn("pair", F.lit("x"))
     r = modules([module(0, "r", strings=["a", "b"])]).withColumn("pair", F.lit("y"))
