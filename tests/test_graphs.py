@@ -133,6 +133,18 @@ def test_hot_strings_agree_with_matching_in_order(modules, seed):
     assert len(want) > 20 and pairs(similarity.string_seeds(t, r)) == want
 
 
+def test_targets_of_one_shape_share_their_candidates(modules):
+    prints = lambda k: ":".join(["A", "B", "C", "D", f"r{k % 50}", *["A"] * (k // 50)])
+    t = modules([module(k, ast_fingerprint="A:B:C:D:E", bytes=0) for k in range(200)])
+    r = modules([module(k, "r", ast_fingerprint=prints(k), bytes=0) for k in range(100)])
+    seeds = modules([module(0)]).select(F.lit("seed").alias("t_id"), F.lit("none").alias("r_id"))
+    te = t.select("id", F.lit("seed").alias("near"), F.lit(True).alias("out"))
+    assert rows_made(match.fingerprint_round(t, r, te, seeds)) < 10_000  # 200 targets are like 100 shapes
+    only = [module(0, "r", ast_fingerprint="A:B:C:D:E", bytes=0)]
+    got = match.fingerprint_round(t, modules(only), te, seeds).collect()
+    assert [(x["t_id"], x["r_id"], x["confidence"]) for x in got] == [("t0", "r0", 0.8)]
+
+
 def test_sequential_matching_takes_one_sided_pairs(modules):
     t = modules([module(0, strings=["a", "b"])]).withColumn("pair", F.lit("x"))
     r = modules([module(0, "r", strings=["a", "b"])]).withColumn("pair", F.lit("y"))
