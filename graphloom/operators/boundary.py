@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graphloom.functions.text import inserted
 from graphloom.operators.profile import declarator_helpers
+from graphloom.sources.tables import settled
 
 
 def definitions(statements: DataFrame, key: str = "bundle_id") -> DataFrame:
@@ -119,21 +124,31 @@ def fold_runs(rows: list[tuple[int, str, int | None, list[int]]], least: float =
 def assign_modules(statements: DataFrame, key: str = "bundle_id") -> DataFrame:
     """``(bundle_id, ord, kind, module_id)``; modules are numbered by their first statement.
 
-    Everything but the fold over free statements is set-oriented; the fold gets ids only.
+    Everything but the fold over free statements is set-oriented; the fold gets ids only.  Written, because
+    what follows reads them several times.
     """
     placed = anchored(statement_kinds(statements, key), key)
     used = statement_edges(statements, key).groupBy(key, F.col("src").alias("ord")).agg(F.collect_set("dst").alias("uses"))
     rows = placed.join(used, [key, "ord"], "left").select(key, "ord", "kind", "module", "uses")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        facts = [(int(o), k, None if pd.isna(m) else int(m), [int(u) for u in us] if us is not None else []) for o, k, m, us in zip(pdf["ord"], pdf["kind"], pdf["module"], pdf["uses"], strict=True)]
-        found = fold_runs(facts)
-        return pd.DataFrame([(pdf[key].iloc[0], o, found[o][1] if o in found else k, found[o][0] if o in found else m) for o, k, m, _ in facts], columns=[key, "ord", "kind", "module"])
-
-    folded = rows.groupBy(key).applyInPandas(run, f"{key} {statements.schema[key].dataType.simpleString()}, ord int, kind string, module int")
+    # a row per bundle, so that a batch holds many; dealt out, because the fold takes longer than their size lets Spark expect
+    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "module", "uses"))).alias("s"))
+    per = per.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = StructType([statements.schema[key], *StructType.fromDDL("ord int, kind string, module int")])
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256).to_pydict(), []
+                for k, stmts in zip(part[key], part["s"], strict=True):
+                    found = fold_runs([(x["ord"], x["kind"], x["module"], x["uses"] or []) for x in stmts])
+                    out += [{key: k, "ord": x["ord"], "kind": found[x["ord"]][1], "module": found[x["ord"]][0]} if x["ord"] in found else {key: k, "ord": x["ord"], "kind": x["kind"], "module": x["module"]} for x in stmts]
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    folded = per.mapInArrow(run, schema)
     first = folded.withColumn("first", F.min("ord").over(Window.partitionBy(key, "module")))
-    return first.withColumn("module_id", F.dense_rank().over(Window.partitionBy(key).orderBy("first")) - 1).select(key, "ord", "kind", "module_id")
+    numbered = first.withColumn("module_id", F.dense_rank().over(Window.partitionBy(key).orderBy("first")) - 1)
+    return settled(numbered.select(key, "ord", "kind", "module_id"), "assigned")
 
 
 def module_rollup(statements: DataFrame, assigned: DataFrame, key: str = "bundle_id") -> DataFrame:

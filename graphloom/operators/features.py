@@ -42,10 +42,8 @@ def graph_modules(split: DataFrame, edges: DataFrame, key: str = "bundle_id") ->
 
 def bundle_graph(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
     """``bundles(bundle_id, code)`` to graph modules: parse, trace, split and extract in one plan."""
-    from graphloom.sources.tables import settled
-
-    stmts = settled(profile.statements_of(bundles, key), "statements")  # parsed once
-    assigned = settled(boundary.assign_modules(stmts, key), "assigned")
+    stmts = profile.statements_of(bundles, key)
+    assigned = boundary.assign_modules(stmts, key)
     split = split_modules(bundles, boundary.module_rollup(stmts, assigned, key), key)
     return graph_modules(split, boundary.module_edges(boundary.statement_edges(stmts, key), assigned, key), key)
 

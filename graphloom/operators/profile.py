@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import inserted, numbered
-from graphloom.parse.facts import parse_statements
+from graphloom.parse.facts import parsed_statements
 from graphloom.parse.layout import beautify_of
+from graphloom.sources.tables import settled
 
 LABELS = {"FunctionDeclaration": "FUNCTION_DECL", "ClassDeclaration": "CLASS_DECL", "ExpressionStatement": "EXPRESSION", "ExportNamedDeclaration": "EXPORT_NAMED", "ExportDefaultDeclaration": "EXPORT_DEFAULT", "ExportAllDeclaration": "EXPORT_ALL", "ImportDeclaration": "IMPORT", "IfStatement": "IF_STMT", "ForStatement": "FOR_STMT", "ForInStatement": "FOR_STMT", "ForOfStatement": "FOR_STMT", "WhileStatement": "WHILE_STMT", "DoWhileStatement": "WHILE_STMT", "TryStatement": "TRY_STMT", "SwitchStatement": "SWITCH_STMT", "BlockStatement": "BLOCK_STMT", "EmptyStatement": "EMPTY"}
 FACTORY = {"__commonJS": "MODULE_FACTORY.__commonJS", "__esm": "MODULE_FACTORY.__esm", "__toESM": "ADAPTED_IMPORT.__toESM", "__copyProps": "REEXPORT.__copyProps"}
@@ -29,8 +30,13 @@ def beautified(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
 
 
 def statements_of(bundles: DataFrame, key: str = "bundle_id") -> DataFrame:
-    """One row per top-level statement of ``bundles(bundle_id, code)``; none for text that does not parse."""
-    return bundles.select(key, F.explode(parse_statements()("code")).alias("s")).select(key, "s.*")
+    """One row per top-level statement of ``bundles(bundle_id, code)``; none for text that does not parse.
+
+    Parsed once and written, as what follows reads them several times; texts are dealt out first, because
+    parsing takes far longer than their size lets Spark expect.
+    """
+    spread = bundles.select(key, "code").repartition(int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return settled(parsed_statements(spread, key), "statements")
 
 
 def helpers(statements: DataFrame, key: str = "bundle_id") -> DataFrame:

@@ -223,3 +223,11 @@ def test_merge_of_documents_without_lists(spark):
     assert [i["id"] for i in got["k"]["identifiers"]] == ["v2", "v1"] and got["k"]["reference"]["version"] == "2" and got["k"]["annotations"] == []
     assert [(e["timestamp"], e["technique"], e["modules_enriched"], e["identifiers_enriched"], e["provenance"]) for e in got["k"]["enrichments"]] == [("now", "merge", 3, 2, "merge: 1 conflicts resolved by confidence")]
     assert got["none"]["modules"] == [] and got["none"]["identifiers"] == [] and got["none"]["coverage"]["modules_total"] == 0
+
+
+def test_texts_are_parsed_and_folded_once(spark):
+    bundles = spark.createDataFrame([("b", "var y=(a,b)=>()=>(b||a((b={exports:{}}).exports,b),b.exports);var m=y(()=>{});f(m);")], "bundle_id string, code string")
+    stmts = profile.statements_of(bundles)
+    for df in (stmts, boundary.assign_modules(stmts)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan  # read from a table
