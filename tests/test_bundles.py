@@ -231,3 +231,11 @@ def test_texts_are_parsed_and_folded_once(spark):
     for df in (stmts, boundary.assign_modules(stmts)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan  # read from a table
+
+
+def test_batches_do_not_change_statements(spark):
+    rows = [("a", "f();g()"), ("b", None), ("c", "var ("), ("d", ""), ("e", "var x=1,y=2;\nh(x)")]
+    bundles = spark.createDataFrame(rows, "bundle_id string, code string").coalesce(1)
+    got = [sorted(facts.parsed_statements(bundles, "bundle_id", n).collect()) for n in (1, 2, 256)]
+    assert [(x["bundle_id"], x["ord"]) for x in got[0]] == [("a", 0), ("a", 1), ("e", 0), ("e", 1)]
+    assert got[0] == got[1] == got[2] and [d["name"] for d in got[0][2]["declarators"]] == ["x", "y"]
