@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +47,21 @@ def carve(data: bytes, marker: bytes = MARKER) -> list[tuple[int, int]]:
     return [(a, payload_end(data, a, b)) for a, b in zip(at, [*at[1:], len(data)], strict=False)]
 
 
-def payloads(binaries: DataFrame, marker: bytes = MARKER, key: str = "path") -> DataFrame:
-    """``(path, payload_ix, start, size, text)`` of ``binaries(path, content)``."""
+def payloads(binaries: DataFrame, marker: bytes = MARKER, key: str = "path", at_once: int = 64) -> DataFrame:
+    """``(path, payload_ix, start, size, text)`` of ``binaries(path, content)``; Python holds the payloads of ``at_once`` of them at most."""
+    kind = pa.schema([(key, pa.string()), ("payload_ix", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("text", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, n, a, b - a, bytes(c[a:b]).decode("utf-8", "replace")) for k, c in zip(pdf[key], pdf["content"], strict=True) for n, (a, b) in enumerate(carve(bytes(c), marker))]
-            yield pd.DataFrame(rows, columns=[key, "payload_ix", "start", "size", "text"])
+    def rows(path: str | None, data: bytes) -> list[tuple]:
+        return [(path, n, a, b - a, data[a:b].decode("utf-8", "replace")) for n, (a, b) in enumerate(carve(data, marker))]
 
-    return binaries.select(key, "content").mapInPandas(run, f"{key} string, payload_ix long, start long, size long, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once).to_pydict()
+                found = [x for k, c in zip(part[key], part["content"], strict=True) for x in rows(k, c)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else [()] * 5, kind, strict=True)], schema=kind)
+
+    return binaries.select(F.col(key).cast("string").alias(key), "content").mapInArrow(run, f"{key} string, payload_ix long, start long, size long, text string")
 
 
 #: White space as scripts count it.

@@ -239,3 +239,11 @@ def test_batches_do_not_change_statements(spark):
     got = [sorted(facts.parsed_statements(bundles, "bundle_id", n).collect()) for n in (1, 2, 256)]
     assert [(x["bundle_id"], x["ord"]) for x in got[0]] == [("a", 0), ("a", 1), ("e", 0), ("e", 1)]
     assert got[0] == got[1] == got[2] and [d["name"] for d in got[0][2]["declarators"]] == ["x", "y"]
+
+
+def test_batches_do_not_change_payloads(spark):
+    blob = b"\0head // @bun one\n" + b"\0" * 8 + b"// @bun two\n\0// @bun"
+    rows = [("a", blob), ("b", b""), ("c", b"none"), ("d", b"// @bun \xff\n")]
+    binaries = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    got = [sorted(unpack.payloads(binaries, at_once=n).collect()) for n in (1, 3, 64)]
+    assert got[0] == got[1] == got[2] and [x["path"] for x in got[0]].count("a") == 3
