@@ -56,6 +56,14 @@ def declaration_quality(pairs: DataFrame, key: str = "pair") -> DataFrame:
     return n.withColumn("status", F.when(F.col("t") == F.col("r"), "exact").when(F.abs(F.col("t") - F.col("r")) <= 2, "close").otherwise("mismatch"))
 
 
+def zipped_words(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, minified, semantic)``: the words of two texts by place, as far as both go; texts travel whole, not by word."""
+    words = pairs.select(*by, F.split("minified", " ").alias("a"), F.split("semantic", " ").alias("b"))
+    n = F.least(F.size("a"), F.size("b"))
+    cut = words.where("a is not null and b is not null").select(*by, F.explode(F.arrays_zip(F.slice("a", 1, n).alias("minified"), F.slice("b", 1, n).alias("semantic"))).alias("z"))
+    return cut.select(*by, "z.minified", "z.semantic")
+
+
 def name_quality(zipped: DataFrame, by: list[str]) -> DataFrame:
     """How many aligned names are the same, renamed, or too short to tell."""
     same, short = F.col("minified") == F.col("semantic"), F.length("semantic") < 2

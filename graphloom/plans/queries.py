@@ -447,9 +447,9 @@ def identifier_coverage(spark, sf):
 @query
 def positional_zip(spark, sf):
     """Words of neighbouring documents by place."""
-    w = a.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    z = w.select("doc_id", "pos", F.col("word").alias("minified")).join(w.select((F.col("doc_id") - 1).alias("doc_id"), "pos", F.col("word").alias("semantic")), ["doc_id", "pos"])
-    return align.name_quality(z, ["doc_id"])
+    d = a.table(spark, sf, "documents")
+    both = d.select("doc_id", F.col("text").alias("minified")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("semantic")), "doc_id")
+    return align.name_quality(align.zipped_words(both, ["doc_id"]), ["doc_id"])
 
 
 def _flagged(doc_id, text):

@@ -247,3 +247,9 @@ def test_batches_do_not_change_payloads(spark):
     binaries = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
     got = [sorted(unpack.payloads(binaries, at_once=n).collect()) for n in (1, 3, 64)]
     assert got[0] == got[1] == got[2] and [x["path"] for x in got[0]].count("a") == 3
+
+
+def test_words_are_zipped_without_a_row_for_each_in_the_join(spark):
+    pairs = spark.createDataFrame([(1, "a b c", "a x"), (2, None, "q"), (3, "", "zz")], "k int, minified string, semantic string")
+    assert sorted(map(tuple, align.zipped_words(pairs, ["k"]).collect())) == [(1, "a", "a"), (1, "b", "x"), (3, "", "zz")]
+    assert sorted(map(tuple, align.name_quality(align.zipped_words(pairs, ["k"]), ["k"]).collect())) == [(1, 1, 0, 1), (3, 0, 1, 0)]
