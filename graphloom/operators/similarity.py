@@ -142,52 +142,86 @@ def seed_acceptances(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least:
     return assign(best, by).groupBy(*by).agg(F.count_if("held").alias("accepted"), F.count_if(F.col("rank") == 1).alias("kept"))
 
 
+def _blocks(low: Column, high: Column) -> Column:
+    """The aligned blocks ``(level, block)`` of ``2 ** level`` whole numbers that make up ``low`` to ``high``, two a level at most."""
+
+    def at(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        left, right = F.floor((low + width - 1) / width), F.floor((high + 1) / width)
+        take = lambda end, block: F.when((left < right) & (end % 2 == 1), F.struct(k.alias("level"), block.alias("block")))
+        return F.array(take(left, left), take(right, right - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(high))), at)))
+
+
 def structure_scores(t: DataFrame, r: DataFrame, by: Sequence[str] = (), least_features: int = 3, floor: float = 0.10 / 1.3) -> DataFrame:
     """``(*by, t_id, t_ord, r_id, r_ord, score)`` for the fourth technique: Jaccard of string prefixes plus
     boosts for equal structure; all pairs that can be a target's best or its runner-up.
 
-    Pairs that share a prefix are formed from it.  Any other pair has its boosts alone, equal for all
-    modules of one shape (statement count, kind, size), so shapes meet shapes, each shape stands for
-    its first two references, and each target keeps two of them.  Boosts under ``floor`` neither pass
-    the gate nor block a score that does.
+    Pairs that share a prefix of few modules are formed from it.  Any other pair shares a set of hot prefixes alone, often
+    the empty one.  Of the references that have such a set, those with the fewest prefixes score best, whatever
+    the target is; so for each combination of boosts a target needs the first two references, by number of prefixes and
+    order, among those of its count, kind and near size.  Sizes near to a target's are an interval, made up of aligned
+    blocks, each of which keeps its first two.  Boosts alone under ``floor`` neither pass the gate nor block a score that does.
     """
-    by = list(by)
+    by, name = list(by), ["s1", "s2"]
     features = F.array_distinct(F.transform(F.filter("strings", lambda s: F.length(s) >= 6), lambda s: F.substring(s, 1, 30)))
-    shape = {p: [f"{p}_n", f"{p}_kind", f"{p}_bytes"] for p in "tr"}
+    out = [*by, "t_id", "t_ord", "r_id", "r_ord", "score"]
 
     def side(df: DataFrame, p: str) -> DataFrame:
         rows = df.withColumn("features", features).where(F.size("features") >= least_features)
-        return rows.select(*by, F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), "features", F.size("features").alias(f"{p}_size"), F.col("stmtCount").alias(f"{p}_n"), F.col("wrapKind").alias(f"{p}_kind"), F.col("bytes").alias(f"{p}_bytes"))
+        rows = rows.select(*by, F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"), "features", F.size("features").alias(f"{p}_size"), F.col("stmtCount").alias(f"{p}_n"), F.col("wrapKind").alias(f"{p}_kind"), F.col("bytes").alias(f"{p}_bytes"))
+        return settled(rows, "features")  # read several times below
 
-    # sizes within 30 % of the larger lie in the same or neighbouring classes of base 1.43
-    level = lambda c: F.floor(F.log(F.greatest(c, F.lit(1))) / F.log(F.lit(1.43)))
-    close = (F.col("t_bytes") > 0) & (F.col("r_bytes") > 0) & (F.abs(F.col("t_bytes") - F.col("r_bytes")) / F.greatest("t_bytes", "r_bytes") < 0.3)
-    boost = F.when(F.col("t_n") == F.col("r_n"), 0.05).otherwise(0.0) + F.when(F.col("t_kind") == F.col("r_kind"), 0.03).otherwise(0.0) + F.when(close, 0.05).otherwise(0.0)
-    a, b = side(t, "t"), side(r, "r")
-    out = [*by, "t_id", "t_ord", "r_id", "r_ord", "score"]
+    sides = {p: side(df, p) for p, df in (("t", t), ("r", r))}
+    each = {p: df.select(*by, f"{p}_id", F.explode("features").alias("member")) for p, df in sides.items()}
+    hot = settled(hot_members([df.select(*by, "member") for df in each.values()], by), "hot")
 
-    x = a.select(*by, "t_id", F.explode("features").alias("f")).join(b.select(*by, "r_id", F.explode("features").alias("f")), [*by, "f"])
-    shared = x.groupBy(*by, "t_id", "r_id").agg(F.count(F.lit(1)).alias("shared"))
-    alike = shared.join(a.drop("features"), [*by, "t_id"]).join(b.drop("features"), [*by, "r_id"])
-    alike = alike.withColumn("score", F.col("shared") / (F.col("t_size") + F.col("r_size") - F.col("shared")) + boost).select(*out)
-
-    ts, rs = a.select(*by, *shape["t"]).distinct(), b.select(*by, *shape["r"]).distinct()
-    ts = ts.withColumn("c", F.explode(F.array(*(level(F.col("t_bytes")) + k for k in (-1, 0, 1)))))
-    rs = rs.withColumn("c", level(F.col("r_bytes")))
-
-    def met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-        sides = [df.select("*", *(F.col(f"{p}_{k}").alias(k) for k in keys if k != "c")) for df, p in ((left, "t"), (right, "r"))]
-        return sides[0].join(sides[1], [*by, *keys]).select(*by, *shape["t"], *shape["r"])
-
-    # of one count and kind the first two references decide, be they near in size or not
-    order = Window.partitionBy(*by, "r_n", "r_kind").orderBy("r_ord")
-    early = b.select(*by, "r_ord", *shape["r"]).withColumn("k", F.row_number().over(order)).where("k <= 2").select(*by, *shape["r"])
-    pairs = met(ts, rs, "c", "n").union(met(ts, rs, "c", "kind")).union(met(ts.drop("c").distinct(), early, "n", "kind")).distinct().withColumn("score", boost).where(F.col("score") >= floor)
-    first = Window.partitionBy(*by, *shape["r"]).orderBy("r_ord")
-    two = b.select(*by, "r_id", "r_ord", *shape["r"]).withColumn("k", F.row_number().over(first)).where("k <= 2").drop("k")
-    key = lambda cols: F.struct(*cols)  # noqa: E731  shapes that hold a null still equal themselves
-    stand = pairs.withColumn("rs", key(shape["r"])).select(*by, *shape["t"], "rs", "score").join(two.withColumn("rs", key(shape["r"])).select(*by, "rs", "r_id", "r_ord"), [*by, "rs"]).drop("rs")
-    best = Window.partitionBy(*by, *shape["t"]).orderBy(F.desc("score"), "r_ord")
-    stand = stand.withColumn("k", F.row_number().over(best)).where("k <= 2").withColumn("ts", key(shape["t"])).select(*by, "ts", "r_id", "r_ord", "score")
-    plain = a.withColumn("ts", key(shape["t"])).select(*by, "ts", "t_id", "t_ord").join(stand, [*by, "ts"]).select(*out)
-    return alike.union(plain).groupBy(*out[:-1]).agg(F.max("score").alias("score"))
+    def profiled(p: str) -> DataFrame:
+        own = each[p].join(hot, [*by, "member"]).groupBy(*by, f"{p}_id").agg(F.array_sort(F.collect_list("member")).alias(f"{p}_hot"))
+        rows = sides[p].drop("features").join(own, [*by, f"{p}_id"], "left")
+        return settled(rows.withColumn(f"{p}_hot", F.coalesce(f"{p}_hot", F.array().cast("array<string>"))), "profiles")
+
+    a, b = profiled("t"), profiled("r")
+    close = (F.col("t_bytes") > 0) & (F.col("r_bytes") > 0) & (F.abs(F.col("t_bytes") - F.col("r_bytes")) / F.greatest("t_bytes", "r_bytes", F.lit(1)) < 0.3)
+    boost = F.when(F.col("t_n") == F.col("r_n"), 0.05).otherwise(0.0) + F.when(F.col("t_kind") == F.col("r_kind"), 0.03).otherwise(0.0) + F.when(close, 0.05).otherwise(0.0)
+    score = lambda shared: shared / (F.col("t_size") + F.col("r_size") - shared) + boost
+
+    cold = [each[p].join(hot, [*by, "member"], "left_anti") for p in "tr"]
+    shared = cold[0].join(cold[1], [*by, "member"]).groupBy(*by, "t_id", "r_id").agg(F.count(F.lit(1)).alias("shared"))
+    alike = shared.join(a, [*by, "t_id"]).join(b, [*by, "r_id"]).withColumn("score", score(F.col("shared") + F.size(F.array_intersect("t_hot", "r_hot")))).select(*out)
+
+    # the sets of hot prefixes that some target and some reference have in common, and who has them
+    have = {p: df.where(F.size(f"{p}_hot") > 0).select(*by, f"{p}_hot").distinct() for p, df in (("t", a), ("r", b))}
+    met = have["t"].withColumn("member", F.explode("t_hot")).join(have["r"].withColumn("member", F.explode("r_hot")), [*by, "member"]).where(F.element_at(F.array_intersect("t_hot", "r_hot"), 1) == F.col("member"))
+    met = settled(met.select(*by, "t_hot", "r_hot", F.array_intersect("t_hot", "r_hot").alias("common")).select(*by, "t_hot", "r_hot", F.xxhash64("common").alias("s1"), F.xxhash64(F.lit(7), "common").alias("s2"), F.size("common").alias("n")), "common")
+
+    def placed(df: DataFrame, p: str) -> DataFrame:
+        none = df.select("*", F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"), F.lit(0).alias("n"))
+        some = df.join(met.select(*by, f"{p}_hot", *name, "n").distinct(), [*by, f"{p}_hot"]).select(*none.columns)
+        return none.union(some).drop(f"{p}_hot").withColumn("rank", F.when(F.col("n") > 0, F.col(f"{p}_size")).otherwise(0))
+
+    x, y = placed(a, "t"), placed(b, "r").drop("n")
+    size = F.col("t_bytes").cast("long")
+    # the interval by the very comparison of ``close``, so that rounding agrees
+    low = F.element_at(F.filter(F.sequence(F.floor(size * 0.7) - 1, F.floor(size * 0.7) + 2), lambda v: (v > 0) & ((size - v) / F.greatest(size, F.lit(1)) < 0.3)), 1)
+    high = F.array_max(F.filter(F.sequence(F.floor(size / 0.7) - 2, F.floor(size / 0.7) + 2), lambda v: (v > 0) & ((v - size) / F.greatest(v, F.lit(1)) < 0.3)))
+    wide = x.where("t_bytes > 0").withColumns({"low": low, "high": high}).withColumn("z", F.explode(_blocks(F.col("low"), F.col("high")))).select(*x.columns, "z.level", "z.block")
+    length = F.col("r_bytes").cast("long")
+    level = y.where("r_bytes > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(length))))).withColumn("block", F.floor(length / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))))
+
+    def first(left: DataFrame, right: DataFrame, near: bool, *equal: str) -> DataFrame:
+        """Candidates among the references of equal count or kind, near in size or not."""
+        keys = [*by, *name, *(("level", "block") if near else ())]
+        if 0.05 * ("n" in equal) + 0.03 * ("kind" in equal) + 0.05 * near < floor:
+            left, right = left.where("n > 0"), right.where("s1 <> 0 or s2 <> 0")
+        rights = right.select(*keys, *(F.col(f"r_{k}").alias(f"of_{k}") for k in equal), "rank", *(f"r_{c}" for c in ("id", "ord", "size", "n", "kind", "bytes")))
+        on = [*keys, *(f"of_{k}" for k in equal)]
+        two = rights.withColumn("k", F.row_number().over(Window.partitionBy(*on).orderBy("rank", "r_ord"))).where("k <= 2").drop("k", "rank")
+        lefts = left.select(*keys, *(F.col(f"t_{k}").alias(f"of_{k}") for k in equal), F.col("n").alias("shared"), *(f"t_{c}" for c in ("id", "ord", "size", "n", "kind", "bytes")))
+        return lefts.join(two, on).withColumn("score", score(F.col("shared"))).where(F.col("score") >= floor).select(*out)
+
+    found = alike
+    for equal in ((), ("n",), ("kind",), ("n", "kind")):
+        found = found.union(first(x, y, False, *equal)).union(first(wide, level, True, *equal))
+    return found.groupBy(*out[:-1]).agg(F.max("score").alias("score"))

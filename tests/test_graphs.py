@@ -94,6 +94,24 @@ def test_structure_equals_brute_force(modules, seed):
     assert {x["t_id"]: (x["r_id"], round(x["score"], 6)) for x in got} == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_prefixes_equal_brute_force(modules, seed):
+    rng = random.Random(seed)
+    words = [f"string{k}" for k in range(300)]
+    often = [300 / (k + 1) for k in range(300)]  # a few prefixes are in over 64 modules of each side
+    size = lambda: rng.choice([0, 1, 2, 3, rng.randint(1, 40), rng.randint(1, 3000), 2 ** rng.randint(0, 12)])
+    make = lambda p: [module(k, p, strings=rng.choices(words, often, k=rng.randint(3, 8)), stmtCount=rng.randint(1, 30), wrapKind=rng.choice(["CJS", "ESM", "None", "X"]), bytes=size()) for k in range(220)]
+    t, r = modules(make("t")), modules(make("r"))
+    got = similarity.gate(similarity.top_two(similarity.structure_scores(t, r)), 0.10, 1.3).collect()
+    want = brute_structure(*([x.asDict() for x in df.collect()] for df in (t, r)))
+    assert len(want) > 20 and {x["t_id"]: (x["r_id"], round(x["score"], 6)) for x in got} == want
+
+
+def test_sizes_and_prefixes_of_many_modules_are_not_paired_in_full(modules):
+    make = lambda p: modules([module(k, p, strings=["common", f"{p} {k} first", f"{p} {k} second"], stmtCount=k, wrapKind="X", bytes=5000 + k) for k in range(400)])
+    assert rows_made(similarity.structure_scores(make("t"), make("r"))) < 60_000  # 400 x 400 pairs share a prefix, and are near in size
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_seeds_agree_with_matching_in_order(modules, seed):
     rng = random.Random(seed)
